@@ -90,24 +90,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+class Spans:
+    """The words (runs of bytes that separator does not mark) of the texts data[at[i]:at[i+1]]; begin tells where each text's begin in start and end."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE):
+        n = len(data)
+        word = ~separator[data]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        edge = at[(at > 0) & (at < n)]
+        first[edge] = word[edge]
+        last[edge - 1] = word[edge - 1]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.begin = np.searchsorted(self.start, at)
+        up, self.down = powers(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE[data] * up, out=self.sums[1:])
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """64-bit hashes of the words, or of their first bytes, A-Z lower-cased."""
+        end = self.end if most is None else np.minimum(self.end, self.start + most)
+        return mixed((self.sums[end] - self.sums[self.start]) * self.down[self.start] + (end - self.start).astype(np.uint64))
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of bytes other than ASCII white space, A-Z lower-cased) of the texts data[at[i]:at[i+1]], and where each text's words begin in them."""
-    n, rows = len(data), len(at) - 1
-    if not n:
-        return np.empty(0, np.uint64), np.zeros(rows + 1, np.int64)
-    word = ~SPACE[data]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    edge = at[(at > 0) & (at < n)]
-    first[edge] = word[edge]
-    last[edge - 1] = word[edge - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * up, out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
-    return mixed(h), np.searchsorted(start, at)
+    """Hashes of the words, divided by ASCII white space, of the texts, and where each text's begin."""
+    spans = Spans(data, at)
+    return spans.hashes(), spans.begin
 
 
 def shingles(h: np.ndarray, begin: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -124,9 +134,9 @@ def shingles(h: np.ndarray, begin: np.ndarray, width: int = 5) -> list[np.ndarra
             s = np.sort(a[lo : hi - width + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif hi > lo:
-            x = np.uint64(hi - lo)
-            for w in h[lo:hi]:
-                x = (x * m + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
+            x = hi - lo
+            for w in h[lo:hi].tolist():
+                x = (x * int(m) + w) % (1 << 64)
             out.append(mixed(np.array([x], np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, mpeg, packing, url_filter
+from . import jaccard, lm, mpeg, packing, url_filter
 
 QUERIES = {
     "op1_media_mpeg": mpeg.op1_media_mpeg,
     "op3_url_filter": url_filter.op3_url_filter,
     "op7_lm_score": lm.op7_lm_score,
     "op9_packing": packing.op9_packing,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
