@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, lm, mpeg, packing, url_filter
+from . import jaccard, lm, mpeg, packing, toxicity, url_filter
 
 QUERIES = {
     "op1_media_mpeg": mpeg.op1_media_mpeg,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op7_lm_score": lm.op7_lm_score,
     "op9_packing": packing.op9_packing,
