@@ -3,8 +3,9 @@
 1. A document's set is that of its hashed 5-word shingles; equal sets are one node, known by a 64-bit digest.
 2. Prefix filter: two sets can only link if they share a shingle among the first n - ceil(t*n) + 1 of each, in any order that
    is the same for all. The order puts very frequent shingles last, so that shared passages do not bring documents together.
-3. Every node of a group is first compared with the group's smallest node. What links is joined to one component.
-4. Groups that still hold several components become signature trees: leaves of bounded size, grouped by size range and component.
+3. Every node of a group is first compared with the group's smallest node, then, in groups of several components, with the node
+   that shares the most prefix shingles with others. What links is joined to one component.
+4. Groups whose other nodes still lie in several components become signature trees: leaves of bounded size, grouped by size range and component.
    A node holds the OR of its sets' bitmaps, its size range and its component range. Leaf pairs are pruned by size range,
    by maximum possible overlap and where both sides lie in one component; dual traversal goes on inside each leaf pair.
    What is left is compared exactly; only links that join two components leave a task.
@@ -129,11 +130,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The join's settings. leaf: sets in a leaf. frequent: uses from which a shingle goes last, most_frequent: the most such shingles (8 bytes each
+    """The join's settings. leaf: sets in a leaf. rounds: of comparisons with hubs. frequent: uses from which a shingle goes last, most_frequent: the most such shingles (8 bytes each
     to every task; any choice of them gives the same links). filter_bits: the size of the bitmap that spares unneeded sets the shuffle."""
 
-    def __init__(self, percent: int = 80, width: int = 5, leaf: int = 64, frequent: int = 32, most_frequent: int = 1 << 17, filter_bits: int = 1 << 23):
-        self.percent, self.width, self.leaf, self.frequent, self.most_frequent, self.filter_bits = percent, width, leaf, frequent, most_frequent, filter_bits
+    def __init__(self, percent: int = 80, width: int = 5, leaf: int = 512, frequent: int = 32, rounds: int = 2, most_frequent: int = 1 << 17, filter_bits: int = 1 << 23):
+        self.percent, self.width, self.leaf, self.rounds = percent, width, leaf, rounds
+        self.frequent, self.most_frequent, self.filter_bits = frequent, most_frequent, filter_bits
 
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
@@ -231,16 +233,26 @@ class Join:
                 yield t.select(["a", "b"]).filter(pa.array([overlap(p, q) >= needed(len(p), len(q), percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
         pairs = members.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-        side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+        side = lambda c, *more: nodes.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in more))
         fit = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        open_ = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(fit).mapInArrow(possible, "a long, b long"))
+        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fit)
+        open_ = saved(sized.join(side("b", "bits"), "b").join(side("a", "bits"), "a").mapInArrow(possible, "a long, b long"))
         full = saved(self.full_sets(docs, open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         side = lambda c: full.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
         return open_.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long")
 
+    def hubs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """members of groups of several components; low is now the node with the most partners over all such groups."""
+        known = members.join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("comp"))
+        groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
+        mixed = saved(known.join(groups, "h"))
+        partners = mixed.groupBy("id").agg(F.sum("size").alias("partners"))
+        low = mixed.join(partners, "id").groupBy("h").agg(F.max_by("id", "partners").alias("low"))
+        return saved(mixed.select("h", "id").join(low, "h"))
+
     def leaves(self, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """h, leaf, id, n, comp: the members of groups that hold several components, dealt to leaves."""
-        known = members.select("h", "id").join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("comp"))
+        known = members.join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("comp"))
         known = saved(known.join(nodes.select("id", "n"), "id"))
         groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
         mixed = saved(known.join(groups, "h"))
@@ -255,18 +267,15 @@ class Join:
     def tree_links(self, docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         percent = self.percent
         leaves = saved(self.leaves(members, nodes, labels))
+        # leaves of the same sets need one look
+        known = [F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
+        alone = leaves.groupBy("h", "leaf").agg(*known).where("first != last").groupBy("size", "x1", "x2").agg(F.min("leaf").alias("l"), F.min_by("h", "leaf").alias("h")).select("h", "l", F.col("l").alias("r"))
+        # leaves of large groups are also paired with the group's others
         word = lambda k: F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long")
-        wide = leaves.join(nodes.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
-        stats = saved(
-            wide.groupBy("h", "leaf").agg(
-                F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("size"),
-                F.max(F.col("n") - sum((F.bit_count(f"w{k}") for k in range(1, WORDS64)), F.bit_count("w0"))).alias("spare"),
-                F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("x2"), *(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS64)),
-            )
-        )
-        # leaves of the same sets need one look; the group is part of the key only where a leaf pairs with others of its group
-        alone = stats.where("first != last").groupBy("size", "x1", "x2").agg(F.min(F.struct("leaf", "h")).alias("one")).select(F.col("one.h").alias("h"), F.col("one.leaf").alias("l"), F.col("one.leaf").alias("r"))
-        large = stats.where(F.col("leaf") != F.col("h"))
+        wide = leaves.where(F.col("leaf") != F.col("h")).join(nodes.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
+        spare = F.col("n") - sum((F.bit_count(f"w{k}") for k in range(1, WORDS64)), F.bit_count("w0"))
+        ors = [F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS64)]
+        large = saved(wide.groupBy("h", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(spare).alias("spare"), *known[1:3], *ors))
         x, y = large.alias("x"), large.alias("y")
         most = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(1, WORDS64)), F.bit_count(F.col("x.w0").bitwiseAND(F.col("y.w0")))) + F.least("x.spare", "y.spare")
         least = F.ceil((F.col("x.lo") + F.col("y.lo")) * percent / (100 + percent))
@@ -296,6 +305,8 @@ class Join:
 
         members_of = lambda df, *c: df.groupBy("pair").agg(F.collect_list(F.struct("id", "n", "comp", *c)).alias("m"))  # noqa: E731  of two leaves at most
         open_ = saved(members_of(looks.join(nodes.select("id", "bits"), "id"), "bits").mapInArrow(possible, "pair long, id long, comp long"))
+        same = open_.groupBy("pair").agg(F.count("*").alias("size"), *known[3:]).groupBy("size", "x1", "x2").agg(F.min("pair").alias("pair"))
+        open_ = open_.join(same.select("pair"), "pair", "left_semi")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
@@ -321,6 +332,12 @@ class Join:
         members = saved(uses.join(shared, "h").select("h", "id", "low").distinct())
         stars = saved(self.star_links(docs, members, nodes))
         labels = components(stars)
+        members = members.where("id != low").select("h", "id")  # low was compared with all others
+        for _ in range(self.rounds):
+            hubs = self.hubs(members, labels)
+            members = hubs.where("id != low").select("h", "id")
+            stars = saved(stars.union(self.star_links(docs, hubs, nodes)))
+            labels = components(stars)
         trees = saved(self.tree_links(docs, members, nodes, labels))
         labels = components(stars.union(trees)) if trees.limit(1).count() else labels
         first = filled.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
