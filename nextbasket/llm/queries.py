@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, lm, mpeg, packing, toxicity, url_filter, warc
+from . import jaccard, lm, mpeg, packing, secrets, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_media_mpeg": mpeg.op1_media_mpeg,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
     "op7_lm_score": lm.op7_lm_score,
     "op9_packing": packing.op9_packing,
