@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lm, mpeg, packing, secrets, toxicity, url_filter, warc
+from . import jaccard, lines, lm, mpeg, packing, secrets, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_media_mpeg": mpeg.op1_media_mpeg,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_lm_score": lm.op7_lm_score,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
