@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, lm, mpeg, packing, secrets, toxicity, url_filter, warc
+from . import decontaminate, jaccard, lines, lm, mpeg, packing, secrets, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_media_mpeg": mpeg.op1_media_mpeg,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_lm_score": lm.op7_lm_score,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
 }
