@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, shingles, slices, table, words
 
-WORDS64 = 32  # a bitmap of 2,048 bits
+WORDS64 = 32  # the bitmap of a tree's node has 2,048 bits; that of a large set is a multiple, and folds to it
 FAN = 8
 
 
@@ -34,11 +34,25 @@ def needed(n, m, percent: int):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * WORDS64, np.uint8)
-    bits[s & np.uint64(64 * WORDS64 - 1)] = 1
+    """Of a power of two bits, two or more for each shingle, up to 2**18."""
+    size = max(64 * WORDS64, min(1 << 18, 1 << (2 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[s & np.uint64(size - 1)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int = WORDS64) -> np.ndarray:
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """By what each bitmap has alone, at the narrower one's width."""
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return most >= needed(n, m, percent)
+
+
 def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
 
@@ -54,9 +68,9 @@ def tree(bits: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[np.nda
     return levels
 
 
-def dual_traversal(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def dual_traversal(wide: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j (places in the arrays, which are sorted by n) of different components whose maximum possible overlap allows a link."""
-    levels = tree(bits, n, comp)
+    levels = tree(np.stack([folded(b) for b in wide]), n, comp)
     i = j = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
         b, lo, hi, spare, first, last = levels[depth]
@@ -76,7 +90,8 @@ def dual_traversal(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: i
         ok = np.concatenate(keep) if keep else np.zeros(0, bool)
         i, j = i[ok], j[ok]
         if not depth:
-            return i, j
+            fine = np.array([len(wide[x]) == WORDS64 or may_link(wide[x], wide[y], int(n[x]), int(n[y]), percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            return i[fine], j[fine]
         below = len(levels[depth - 1][0])
         i, j = (np.repeat(i, FAN * FAN) * FAN + np.tile(np.repeat(np.arange(FAN), FAN), len(i)), np.repeat(j, FAN * FAN) * FAN + np.tile(np.arange(FAN), len(j) * FAN))
         ok = (i < below) & (j < below) & (i <= j)
@@ -84,6 +99,11 @@ def dual_traversal(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: i
     return i, j
 
 
+def fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array([folded(np.frombuffer(x, np.uint64)).tobytes() for x in b["bits"].to_pylist()], pa.binary())], ["id", "bits"])
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Of sorted distinct arrays."""
     if len(a) > len(b):
@@ -129,6 +149,21 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def bitset(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of a fixed number of bits (a power of two) of the column's values modulo it: other values may seem to be in df."""
+    place = F.pmod(column, F.lit(bits)) + 1
+    blocks = df.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for block, part in blocks:
+        out[(block - 1) * 4096 : (block - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def in_bitset(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & (8 * len(held) - 1)
+    return (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Join:
     """The join's settings. leaf: sets in a leaf. rounds: of comparisons with hubs. frequent: uses from which a shingle goes last, most_frequent: the most such shingles (8 bytes each
     to every task; any choice of them gives the same links). filter_bits: the size of the bitmap that spares unneeded sets the shuffle."""
@@ -190,13 +225,7 @@ class Join:
 
     def full_sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """id, shingles (8 bytes each) of the wanted ids; a bitmap of fixed size keeps nearly all others from the shuffle."""
-        bits, width = self.filter_bits, self.width
-        place = F.pmod("id", F.lit(bits))
-        blocks = ids.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # filter_bits in all
-        held = np.zeros((bits // 32768 + 2) * 4096, np.uint8)
-        for block, part in blocks:
-            held[block * 4096 : block * 4096 + len(part)] = np.frombuffer(part, np.uint8)
-        shared = docs.sparkSession.sparkContext.broadcast(held)
+        width, shared = self.width, docs.sparkSession.sparkContext.broadcast(bitset(ids, "id", self.filter_bits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = shared.value
@@ -206,9 +235,7 @@ class Join:
                     for s in shingles(*words(data, at), width):
                         if len(s):
                             i = digest(s)
-                            p = i % bits
-                            block, bit = (0, 0) if p == 0 else (1 + (p - 1) // 32768, (p - 1) % 32768)
-                            if wanted[block * 4096 + bit // 8] >> bit % 8 & 1:
+                            if in_bitset(wanted, np.array([i])).any():
                                 found.append((i, s.tobytes()))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([x for _, x in found], pa.binary())], ["id", "shingles"])
@@ -221,11 +248,9 @@ class Join:
 
         def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
-                if t.num_rows:
-                    x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, WORDS64) for c in ("a_bits", "b_bits"))
-                    n, m = t["a_n"].to_numpy(), t["b_n"].to_numpy()
-                    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1).astype(np.int64), m - np.bitwise_count(y & ~x).sum(1).astype(np.int64))
-                    yield t.select(["a", "b"]).filter(pa.array(most >= needed(n, m, percent)))
+                rows = zip(*(t[c].to_pylist() for c in ("a_bits", "b_bits", "a_n", "b_n")), strict=True)
+                keep = [may_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, percent) for x, y, n, m in rows]
+                yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
@@ -272,7 +297,8 @@ class Join:
         alone = leaves.groupBy("h", "leaf").agg(*known).where("first != last").groupBy("size", "x1", "x2").agg(F.min("leaf").alias("l"), F.min_by("h", "leaf").alias("h")).select("h", "l", F.col("l").alias("r"))
         # leaves of large groups are also paired with the group's others
         word = lambda k: F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long")
-        wide = leaves.where(F.col("leaf") != F.col("h")).join(nodes.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
+        fold = nodes.mapInArrow(fold_batches, "id long, bits binary")
+        wide = leaves.where(F.col("leaf") != F.col("h")).join(fold.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
         spare = F.col("n") - sum((F.bit_count(f"w{k}") for k in range(1, WORDS64)), F.bit_count("w0"))
         ors = [F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS64)]
         large = saved(wide.groupBy("h", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(spare).alias("spare"), *known[1:3], *ors))
@@ -295,7 +321,7 @@ class Join:
                 pair, ids, comps = [], [], []
                 for k in range(t.num_rows):
                     _, n, comp, node, raw = arrays(t, k, "bits")
-                    i, j = dual_traversal(np.frombuffer(b"".join(raw), np.uint64).reshape(-1, WORDS64), n, comp, percent)
+                    i, j = dual_traversal([np.frombuffer(x, np.uint64) for x in raw], n, comp, percent)
                     use = np.unique(np.concatenate([i, j]))
                     pair.append(np.full(len(use), t["pair"][k].as_py()))
                     ids.append(node[use])
@@ -314,7 +340,7 @@ class Join:
                 for k in range(t.num_rows):
                     _, n, comp, node, raw = arrays(t, k, "shingles")
                     sets = [np.frombuffer(s, np.uint64) for s in raw]
-                    i, j = dual_traversal(np.stack([bitmap(s) for s in sets]), n, comp, percent)
+                    i, j = dual_traversal([bitmap(s) for s in sets], n, comp, percent)
                     out += [(int(node[x]), int(node[y])) for x, y in spanning_links(sets, comp, i, j, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -322,6 +348,18 @@ class Join:
         ready = open_.join(full, "id").withColumn("n", (F.length("shingles") / 8).cast("long"))
         return members_of(ready, "shingles").mapInArrow(exact, "a long, b long")
 
+    def uses_of(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
+        """h, id: the prefix shingles that may be among the shared ones; a bitmap of fixed size keeps the most others from the shuffle."""
+        held = sets.sparkSession.sparkContext.broadcast(bitset(shared, "h", self.filter_bits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h, sizes = b["prefix"].flatten().to_numpy(), np.diff(b["prefix"].offsets.to_numpy())
+                keep = in_bitset(held.value, h)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(np.repeat(b["id"].to_numpy(), sizes)[keep])], ["h", "id"])
+
+        return sets.select("id", "prefix").mapInArrow(run, "h long, id long")
+
     def run(self, docs: DataFrame) -> DataFrame:
         docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         sets = saved(self.sets(docs))
@@ -329,7 +367,7 @@ class Join:
         nodes = saved(filled.select("id", "n", "bits").dropDuplicates(["id"]))
         uses = filled.select(F.explode("prefix").alias("h"), "id")
         shared = saved(uses.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low"))
-        members = saved(uses.join(shared, "h").select("h", "id", "low").distinct())
+        members = saved(self.uses_of(filled, shared).join(shared, "h").select("h", "id", "low").distinct())
         stars = saved(self.star_links(docs, members, nodes))
         labels = components(stars)
         members = members.where("id != low").select("h", "id")  # low was compared with all others
@@ -358,5 +396,11 @@ def near_duplicates(docs: DataFrame, **settings: int) -> DataFrame:
     return Join(**settings).run(docs)
 
 
+def one_of_each(docs: DataFrame, **settings: int) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is their component's smallest; of rows that repeat it (or have none) each stays."""
+    found = near_duplicates(docs, **settings).where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
