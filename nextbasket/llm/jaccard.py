@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shingles, slices, table, words
+from .common import bitset, in_bitset, saved, shingles, slices, table, words
 
 WORDS64 = 32  # the bitmap of a tree's node has 2,048 bits; that of a large set is a multiple, and folds to it
 FAN = 8
@@ -149,21 +149,6 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def bitset(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of a fixed number of bits (a power of two) of the column's values modulo it: other values may seem to be in df."""
-    place = F.pmod(column, F.lit(bits)) + 1
-    blocks = df.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for block, part in blocks:
-        out[(block - 1) * 4096 : (block - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def in_bitset(held: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values & (8 * len(held) - 1)
-    return (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
-
 class Join:
     """The join's settings. leaf: sets in a leaf. rounds: of comparisons with hubs. frequent: uses from which a shingle goes last, most_frequent: the most such shingles (8 bytes each
     to every task; any choice of them gives the same links). filter_bits: the size of the bitmap that spares unneeded sets the shuffle."""

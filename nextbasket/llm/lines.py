@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, powers, saved, slices, table
+from .common import bitset, in_bitset, mixed, powers, saved, slices, table
 
 #: A 64-bit value for each byte, case kept.
 RAW = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+#: Bits of the bitmap that keeps the texts of most unrepeated chunks from the shuffle.
+FILTER_BITS = 1 << 23
+
+
 @dataclass(frozen=True)
 class Chunking:
     """A chunk ends after a line where the hash of this line and the one before is a multiple of divisor, if it has `least` lines; with `most` at the latest."""
@@ -61,7 +65,7 @@ def chunked(docs: DataFrame, c: Chunking) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for _, _, data, at in slices(b["_text"]):
+            for _, _, data, at in slices(b["_doc"].field("text")):
                 raw = data.tobytes()
                 for begin, own in zip(at[:-1].tolist(), chunks(data, at, c), strict=True):
                     row = []
@@ -72,7 +76,7 @@ def chunked(docs: DataFrame, c: Chunking) -> DataFrame:
                     found.append(row)
             yield b.append_column("_chunks", pa.array(found, arrow))
 
-    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"))
     schema = T.StructType([*whole.schema.fields, T.StructField("_chunks", T._parse_datatype_string(kind))])
     return saved(whole.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
 
@@ -82,12 +86,24 @@ def repeats(held: DataFrame) -> DataFrame:
     each = held.select("_row", "_id", F.posexplode("_chunks").alias("no", "chunk")).select("_row", "_id", "no", F.col("chunk.hash").alias("hash")).where("hash is not null")
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"), "no")
     first = saved(each.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first"))
-    part = F.substring(F.col("_text").cast("binary"), F.col("chunk.from") + 1, F.col("chunk.to") - F.col("chunk.from"))
-    texts = held.select("_row", "_text", F.posexplode("_chunks").alias("no", "chunk")).where("chunk.hash is not null").select("_row", "no", F.col("chunk.hash").alias("hash"), part.alias("bytes"))
-    found = saved(texts.join(first, "hash"))
+    shared = held.sparkSession.sparkContext.broadcast(bitset(first, "hash", FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row, text, own in zip(b["_row"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["_chunks"].to_pylist(), strict=True):
+                known = [(k, c) for k, c in enumerate(own) if c["hash"] is not None]
+                if known:
+                    keep = in_bitset(shared.value, np.array([c["hash"] for _, c in known]))
+                    out += [(row, k, c["hash"], text[c["from"] : c["to"]]) for (k, c), x in zip(known, keep.tolist(), strict=True) if x]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["_row", "no", "hash", "bytes"])
+
+    texts = held.select("_row", F.coalesce("_doc.text", F.lit("")).alias("text"), "_chunks").mapInArrow(run, "_row long, no int, hash long, bytes binary")
+    found = saved(texts.join(first.hint("merge"), "hash"))
     keeper = saved(found.where("_row = first.row and no = first.no").select("hash", F.col("bytes").alias("kept")))
     # a hot hash is a skewed join of two written tables, which Spark splits
-    gone = found.where("not (_row = first.row and no = first.no)").join(keeper, "hash").where("bytes = kept")
+    gone = found.where("not (_row = first.row and no = first.no)").join(keeper.hint("merge"), "hash").where("bytes = kept")
     return gone.groupBy("_row").agg(F.collect_set("no").alias("removed"))
 
 
@@ -100,12 +116,13 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), drop_emptied:
     for those that had nothing else before. An empty table gives no rows.
     """
     held = chunked(docs, chunking)
-    joined = held.select("_row", "_doc", "_text", "_chunks").join(repeats(held), "_row", "left")
+    # a merge join at every size; a side that happens to be small is not broadcast
+    joined = held.select("_row", "_doc", "_chunks").join(repeats(held).hint("merge"), "_row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lines, gone = [], [], []
-            for text, own, removed in zip(b["_text"].cast(pa.binary()).to_pylist(), b["_chunks"].to_pylist(), b["removed"].to_pylist(), strict=True):
+            for text, own, removed in zip(b["_doc"].field("text").fill_null("").cast(pa.binary()).to_pylist(), b["_chunks"].to_pylist(), b["removed"].to_pylist(), strict=True):
                 out = set(removed or ())
                 texts.append(b"\n".join(text[c["from"] : c["to"]] for k, c in enumerate(own) if k not in out) if out else text)
                 lines.append(sum(c["lines"] for c in own))
@@ -113,7 +130,7 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), drop_emptied:
             yield pa.RecordBatch.from_arrays([b["_doc"], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["_doc", "_new", "_lines", "_gone"])
 
     kinds = T.StructType([joined.schema["_doc"], T.StructField("_new", T.StringType()), T.StructField("_lines", T.LongType()), T.StructField("_gone", T.LongType())])
-    done = joined.select("_doc", "_text", "_chunks", "removed").mapInArrow(run, kinds)
+    done = joined.select("_doc", "_chunks", "removed").mapInArrow(run, kinds)
     if drop_emptied:
         done = done.where("_gone = 0 or _new rlike '[^\\\\s]'")
     new = {"text": F.when(F.col("_doc.text").isNotNull(), F.col("_new")), "n_lines": F.col("_lines"), "removed_lines": F.col("_gone")}
