@@ -51,7 +51,7 @@ def encode_ids(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def write_processed(transactions: DataFrame, path: str) -> DataFrame:
     """Transactions by week, so that date filters skip whole folders; read back."""
-    transactions.write.mode("overwrite").partitionBy("week").parquet(path)
+    transactions.repartition("week").write.mode("overwrite").partitionBy("week").parquet(path)
     return transactions.sparkSession.read.parquet(path)
 
 
