@@ -120,8 +120,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def linear(c: Context) -> DataFrame:
-    x = X.compact(c.past(), c.compact(), c.t)
-    return L.best(x.withColumn("score", F.round(F.col("ui_count") + F.col("pop_bias") / 10 + F.col("recency_bias"), 6)))
+    x = rounded(X.compact(c.past(), c.compact(), c.t))
+    return L.best(x.withColumn("score", F.round(F.col("ui_count") + F.col("pop_bias") + F.col("recency_bias"), 6)))
 
 
 def fused(c: Context) -> DataFrame:
@@ -242,9 +242,9 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "training_frame": (lambda c: c.frame().groupBy("label_week").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.sum("i_tx").alias("i_tx"), F.sum("u_tx").alias("u_tx")), None),
     "group_sizes": (lambda c: L.group_sizes(c.frame()), None),
     "fit_ranker": (lambda c: c.two_stage()[0].select("customer_id", "article_id", "score"), None),
-    "score_top_k": (linear, f"{Q_HIST}, f AS ({Q.feature_sql(Q.COMPACT, 'hist', Q.T0)}) {Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', '(SELECT customer_id, article_id, round(ui_count + pop_bias / 10 + recency_bias, 6) AS score FROM f)', 12)}"),
+    "score_top_k": (linear, f"{Q_HIST}, f AS ({Q.feature_sql(Q.COMPACT, 'hist', Q.T0)}) {Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', '(SELECT customer_id, article_id, round(ui_count + pop_bias + recency_bias, 6) AS score FROM f)', 12)}"),
     "feature_importance": (lambda c: L.feature_importance(*c.two_stage()[1:]), None),
-    "rrf_fusion": (fused, f"{Q.CTES}{Q.CF} {Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', f'(SELECT customer_id, article_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT 3.0::DOUBLE AS w, customer_id, rank, article_id FROM ({Q.REPURCHASE}) UNION ALL SELECT 2.0, customer_id, rank, article_id FROM ({Q.ITEM_CF}) UNION ALL SELECT 1.0, customer_id, rank, article_id FROM ({Q.RECENT_POP})) GROUP BY 1, 2)', 12)}"),
+    "rrf_fusion": (fused, f"{Q.CTES}{Q.CF} SELECT customer_id, rank, article_id, round(score, 6) AS score FROM ({Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', f'(SELECT customer_id, article_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT 3.0::DOUBLE AS w, customer_id, rank, article_id FROM ({Q.REPURCHASE}) UNION ALL SELECT 2.0, customer_id, rank, article_id FROM ({Q.ITEM_CF}) UNION ALL SELECT 1.0, customer_id, rank, article_id FROM ({Q.RECENT_POP})) GROUP BY 1, 2)', 12)})"),
     "run_ensemble": (ensemble, None),
     "ap_at_k": (lambda c: c.ap(), f"{Q.CTES} SELECT customer_id, round(ap, 6) AS ap FROM ({Q.ap(Q.REPURCHASE)})"),
     "map_at_k": (lambda c: M.map_at_k(c.repurchase(), c.truth), f"{Q.CTES} SELECT round(avg(ap), 6) AS map, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)})"),
