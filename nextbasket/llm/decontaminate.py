@@ -75,11 +75,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     Empty tables give no rows. Other columns are dropped.
     """
     items = item_windows(benchmark)
-    if items.count() <= broadcast_rows:
-        items = F.broadcast(items)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("token"))
-    each = windows(texts).select("doc_id", "text_hash", "row", "token", F.posexplode_outer("hash").alias("doc_at", "hash"))
-    hits = each.join(items, "hash").select("doc_id", "text_hash", "row", "doc_at", "item_id", "item_row", "item_at", "item_tokens", "item_slice", "slots", F.slice("token", F.col("doc_at") + 1, WIDTH).alias("doc_slice"))
+    item = ["item_id", "item_row", "item_at", "item_tokens", "item_slice", "slots"]
+    part = F.slice("token", F.col("doc_at") + 1, WIDTH).alias("doc_slice")
+    if items.count() <= broadcast_rows:
+        each = windows(texts).select("doc_id", "text_hash", "row", "token", F.posexplode_outer("hash").alias("doc_at", "hash"))
+        hits = each.join(F.broadcast(items), "hash").select("doc_id", "text_hash", "row", "doc_at", *item, part)
+    else:  # windows shuffle without their texts; those of hits come by a second join
+        each = windows(texts).select("doc_id", "text_hash", "row", F.posexplode_outer("hash").alias("doc_at", "hash"))
+        found = each.join(items, "hash").select("doc_id", "text_hash", "row", "doc_at", *item)
+        whole = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "token").dropDuplicates(["_id", "_hash"])
+        hits = found.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "row", "doc_at", *item, part)
     hits = hits.withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     line = ["doc_id", "text_hash", "row", "item_id", "item_row", "item_tokens", "diagonal"]
     new = F.least(F.lit(WIDTH), F.coalesce(F.col("doc_at") - F.lag("doc_at").over(Window.partitionBy("row", "item_row", "diagonal").orderBy("doc_at")), F.lit(WIDTH)))
