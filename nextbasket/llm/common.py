@@ -38,10 +38,11 @@ def saved(df: DataFrame, **options: str) -> DataFrame:
 
 
 def bitset(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of a fixed number of bits (a power of two) of the column's values modulo it: other values may seem to be in df."""
+    """A bitmap of a fixed number of bits (a power of two, 32,768 at least) of the column's values modulo it: other values may seem to be in df."""
+    bits = max(bits, 32768)
     place = F.pmod(column, F.lit(bits)) + 1
     blocks = df.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for block, part in blocks:
         out[(block - 1) * 4096 : (block - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
     return out

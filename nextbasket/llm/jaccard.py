@@ -135,25 +135,24 @@ def spanning_links(sets: list[np.ndarray], comp: np.ndarray, i: np.ndarray, j: n
 def components(links: DataFrame) -> DataFrame:
     """id, label (the smallest id of its component) for all ids of links(a, b): alternating large and small stars."""
     e = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     while True:
+        # done where every u has one v, and no v is a u
+        ends = e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 1 or up = 1 and down = 1").limit(1).count():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = saved(both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = saved(pairs.select("p.u", "p.v").where("u != v").distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-        state = now
 
 
 class Join:
     """The join's settings. leaf: sets in a leaf. rounds: of comparisons with hubs. frequent: uses from which a shingle goes last, most_frequent: the most such shingles (8 bytes each
     to every task; any choice of them gives the same links). filter_bits: the size of the bitmap that spares unneeded sets the shuffle."""
 
-    def __init__(self, percent: int = 80, width: int = 5, leaf: int = 512, frequent: int = 32, rounds: int = 2, most_frequent: int = 1 << 17, filter_bits: int = 1 << 23):
+    def __init__(self, percent: int = 80, width: int = 5, leaf: int = 512, frequent: int = 32, rounds: int = 1, most_frequent: int = 1 << 17, filter_bits: int = 1 << 23):
         self.percent, self.width, self.leaf, self.rounds = percent, width, leaf, rounds
         self.frequent, self.most_frequent, self.filter_bits = frequent, most_frequent, filter_bits
 
@@ -242,28 +241,26 @@ class Join:
                 x, y = ([np.frombuffer(s, np.uint64) for s in t[c].to_pylist()] for c in ("a_set", "b_set"))
                 yield t.select(["a", "b"]).filter(pa.array([overlap(p, q) >= needed(len(p), len(q), percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-        pairs = members.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+        fit = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
+        sized = members.where("id != low").where(fit).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
         side = lambda c, *more: nodes.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in more))
-        fit = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fit)
-        open_ = saved(sized.join(side("b", "bits"), "b").join(side("a", "bits"), "a").mapInArrow(possible, "a long, b long"))
+        open_ = saved(sized.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a").mapInArrow(possible, "a long, b long"))
         full = saved(self.full_sets(docs, open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         side = lambda c: full.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
         return open_.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long")
 
     def hubs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """members of groups of several components; low is now the node with the most partners over all such groups."""
-        known = members.join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("comp"))
+        known = members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("comp"))
         groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
         mixed = saved(known.join(groups, "h"))
         partners = mixed.groupBy("id").agg(F.sum("size").alias("partners"))
-        low = mixed.join(partners, "id").groupBy("h").agg(F.max_by("id", "partners").alias("low"))
-        return saved(mixed.select("h", "id").join(low, "h"))
+        low = mixed.join(partners, "id").groupBy("h").agg(F.max(F.struct("partners", "id", "n")).alias("top")).select("h", F.col("top.id").alias("low"), F.col("top.n").alias("low_n"))
+        return saved(mixed.select("h", "id", "n").join(low, "h"))
 
-    def leaves(self, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    def leaves(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """h, leaf, id, n, comp: the members of groups that hold several components, dealt to leaves."""
-        known = members.join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("comp"))
-        known = saved(known.join(nodes.select("id", "n"), "id"))
+        known = saved(members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("comp")))
         groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
         mixed = saved(known.join(groups, "h"))
         small = mixed.where(F.col("size") <= self.leaf).select("h", F.col("h").alias("leaf"), "id", "n", "comp")
@@ -276,7 +273,7 @@ class Join:
 
     def tree_links(self, docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         percent = self.percent
-        leaves = saved(self.leaves(members, nodes, labels))
+        leaves = saved(self.leaves(members, labels))
         # leaves of the same sets need one look
         known = [F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
         alone = leaves.groupBy("h", "leaf").agg(*known).where("first != last").groupBy("size", "x1", "x2").agg(F.min("leaf").alias("l"), F.min_by("h", "leaf").alias("h")).select("h", "l", F.col("l").alias("r"))
@@ -334,31 +331,31 @@ class Join:
         return members_of(ready, "shingles").mapInArrow(exact, "a long, b long")
 
     def uses_of(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
-        """h, id: the prefix shingles that may be among the shared ones; a bitmap of fixed size keeps the most others from the shuffle."""
+        """h, id, n: the prefix shingles that may be among the shared ones; a bitmap of fixed size keeps the most others from the shuffle."""
         held = sets.sparkSession.sparkContext.broadcast(bitset(shared, "h", self.filter_bits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 h, sizes = b["prefix"].flatten().to_numpy(), np.diff(b["prefix"].offsets.to_numpy())
                 keep = in_bitset(held.value, h)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(np.repeat(b["id"].to_numpy(), sizes)[keep])], ["h", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(pa.array(np.repeat(b[c].to_numpy(), sizes)[keep]) for c in ("id", "n"))], ["h", "id", "n"])
 
-        return sets.select("id", "prefix").mapInArrow(run, "h long, id long")
+        return sets.select("id", "n", "prefix").mapInArrow(run, "h long, id long, n long")
 
     def run(self, docs: DataFrame) -> DataFrame:
         docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         sets = saved(self.sets(docs))
         filled = sets.where("id is not null")
         nodes = saved(filled.select("id", "n", "bits").dropDuplicates(["id"]))
-        uses = filled.select(F.explode("prefix").alias("h"), "id")
-        shared = saved(uses.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low"))
-        members = saved(self.uses_of(filled, shared).join(shared, "h").select("h", "id", "low").distinct())
+        uses = filled.select(F.explode("prefix").alias("h"), "id", "n")
+        shared = saved(uses.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("n", "id").alias("low_n")).where("low < high").select("h", "low", "low_n"))
+        members = saved(self.uses_of(filled, shared).join(shared, "h").select("h", "id", "n", "low", "low_n").distinct())
         stars = saved(self.star_links(docs, members, nodes))
         labels = components(stars)
-        members = members.where("id != low").select("h", "id")  # low was compared with all others
+        members = members.where("id != low").select("h", "id", "n")  # low was compared with all others
         for _ in range(self.rounds):
             hubs = self.hubs(members, labels)
-            members = hubs.where("id != low").select("h", "id")
+            members = hubs.where("id != low").select("h", "id", "n")
             stars = saved(stars.union(self.star_links(docs, hubs, nodes)))
             labels = components(stars)
         trees = saved(self.tree_links(docs, members, nodes, labels))
