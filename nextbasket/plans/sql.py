@@ -122,7 +122,7 @@ NEGATIVES = f"SELECT customer_id, article_id, source, cand_rank, label FROM (SEL
 _TREND = ranked("product_group_name, article_id, n", "product_group_name", "n DESC, article_id", "(SELECT product_group_name, article_id, count(*) AS n FROM r2 JOIN art USING (article_id) GROUP BY 1, 2)", 5, "place")
 TRENDING = ranked("product_group_name, article_id", "", "product_group_name, place", f"({_TREND})", 50)
 R2 = f", r2 AS (SELECT * FROM {RECENT})"
-COLD = f"""SELECT customer_id, rank, article_id, CASE at % 3 WHEN 0 THEN 'cold_start_age' WHEN 1 THEN 'cold_start_category' ELSE 'cold_start_global' END AS source FROM (SELECT customer_id, CASE WHEN age_group IN (SELECT age_group FROM names) THEN age_group ELSE '' END AS age_group FROM users LEFT JOIN cust USING (customer_id)) JOIN ({ranked('age_group, article_id, at', 'age_group', 'at', '''(SELECT age_group, article_id, min(3 * (rank - 1) + turn) AS at FROM lists GROUP BY 1, 2)''', 200)}) USING (age_group)"""
+COLD = f"""SELECT customer_id, rank, article_id, CASE pos % 3 WHEN 0 THEN 'cold_start_age' WHEN 1 THEN 'cold_start_category' ELSE 'cold_start_global' END AS source FROM (SELECT customer_id, CASE WHEN age_group IN (SELECT age_group FROM names) THEN age_group ELSE '' END AS age_group FROM users LEFT JOIN cust USING (customer_id)) JOIN ({ranked('age_group, article_id, pos', 'age_group', 'pos', '''(SELECT age_group, article_id, min(3 * (rank - 1) + turn) AS pos FROM lists GROUP BY 1, 2)''', 200)}) USING (age_group)"""
 COLD_CTES = R2 + f""", seg AS ({segment('r2', 50)}), names AS (SELECT DISTINCT age_group FROM seg UNION ALL SELECT ''), overall AS ({top('r2', 50)}),
 lists AS (SELECT age_group, article_id, rank, 0 AS turn FROM seg UNION ALL SELECT '', article_id, rank, 0 FROM overall UNION ALL SELECT age_group, article_id, rank, 1 FROM names, ({TRENDING}) WHERE rank <= 30 UNION ALL SELECT age_group, article_id, rank, 2 FROM names, overall WHERE rank <= 30)"""
 RECALL = """SELECT 'all' AS source, count(*) AS users, CAST(sum(coalesce(n, 0)) AS BIGINT) AS candidates, round(avg(coalesce(hits, 0) / size), 6) AS recall, round(median(coalesce(hits, 0) / size), 6) AS median_recall FROM sizes LEFT JOIN (SELECT customer_id, count(DISTINCT hit) AS hits, count(*) AS n FROM h GROUP BY 1) USING (customer_id)
