@@ -132,20 +132,33 @@ def spanning_links(sets: list[np.ndarray], comp: np.ndarray, i: np.ndarray, j: n
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, label (the smallest id of its component) for all ids of links(a, b): alternating large and small stars."""
-    e = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+def star_step(e: DataFrame) -> DataFrame:
+    """One large and one small star on the edges e(u > v): the same components, with edges nearer to each one's smallest id."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    pairs = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+    return saved(pairs.select("p.u", "p.v").where("u != v").distinct())
+
+
+def edges(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+
+
+def labels_of(e: DataFrame) -> DataFrame:
+    """id, label: a smaller id of the same component; ids without one are left out."""
+    return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
+
+
+def components(e: DataFrame) -> DataFrame:
+    """id, label (the smallest id of its component) for all other ids of the edges e(u > v)."""
     while True:
+        e = star_step(e)
         # done where every u has one v, and no v is a u
         ends = e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if not ends.where("up > 1 or up = 1 and down = 1").limit(1).count():
-            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = saved(both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        e = saved(pairs.select("p.u", "p.v").where("u != v").distinct())
+            return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
 class Join:
@@ -260,7 +273,7 @@ class Join:
 
     def leaves(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """h, leaf, id, n, comp: the members of groups that hold several components, dealt to leaves."""
-        known = saved(members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("comp")))
+        known = members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("comp"))
         groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
         mixed = saved(known.join(groups, "h"))
         small = mixed.where(F.col("size") <= self.leaf).select("h", F.col("h").alias("leaf"), "id", "n", "comp")
@@ -283,14 +296,14 @@ class Join:
         wide = leaves.where(F.col("leaf") != F.col("h")).join(fold.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
         spare = F.col("n") - sum((F.bit_count(f"w{k}") for k in range(1, WORDS64)), F.bit_count("w0"))
         ors = [F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS64)]
-        large = saved(wide.groupBy("h", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(spare).alias("spare"), *known[1:3], *ors))
+        large = wide.groupBy("h", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(spare).alias("spare"), *known[1:3], *ors)
         x, y = large.alias("x"), large.alias("y")
         most = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(1, WORDS64)), F.bit_count(F.col("x.w0").bitwiseAND(F.col("y.w0")))) + F.least("x.spare", "y.spare")
         least = F.ceil((F.col("x.lo") + F.col("y.lo")) * percent / (100 + percent))
         apart = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
         near = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
         across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.leaf") < F.col("y.leaf")) & near & apart & (most >= least)).select("x.h", F.col("x.leaf").alias("l"), F.col("y.leaf").alias("r"))
-        pairs = saved(alone.union(across).withColumn("pair", F.xxhash64("h", "l", "r")))
+        pairs = alone.union(across).withColumn("pair", F.xxhash64("h", "l", "r"))
         looks = pairs.select("h", "pair", F.explode(F.array_distinct(F.array("l", "r"))).alias("leaf")).join(leaves, ["h", "leaf"]).select("pair", "id", "n", "comp")
 
         def arrays(t: pa.RecordBatch, k: int, name: str) -> tuple[np.ndarray, ...]:
@@ -326,7 +339,7 @@ class Join:
                     out += [(int(node[x]), int(node[y])) for x, y in spanning_links(sets, comp, i, j, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-        full = saved(self.full_sets(docs, open_.select("id").distinct()))
+        full = self.full_sets(docs, open_.select("id").distinct())
         ready = open_.join(full, "id").withColumn("n", (F.length("shingles") / 8).cast("long"))
         return members_of(ready, "shingles").mapInArrow(exact, "a long, b long")
 
@@ -351,19 +364,20 @@ class Join:
         shared = saved(uses.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("n", "id").alias("low_n")).where("low < high").select("h", "low", "low_n"))
         members = saved(self.uses_of(filled, shared).join(shared, "h").select("h", "id", "n", "low", "low_n").distinct())
         stars = saved(self.star_links(docs, members, nodes))
-        labels = components(stars)
+        # labels that are not yet their component's smallest only spare less work
+        joined = star_step(edges(stars))
+        labels = labels_of(joined)
         members = members.where("id != low").select("h", "id", "n")  # low was compared with all others
         for _ in range(self.rounds):
             hubs = self.hubs(members, labels)
             members = hubs.where("id != low").select("h", "id", "n")
-            stars = saved(stars.union(self.star_links(docs, hubs, nodes)))
-            labels = components(stars)
+            joined = star_step(joined.union(edges(saved(self.star_links(docs, hubs, nodes)))))
+            labels = labels_of(joined)
         trees = saved(self.tree_links(docs, members, nodes, labels))
-        labels = components(stars.union(trees)) if trees.limit(1).count() else labels
+        labels = components(joined.union(edges(trees)))
         first = filled.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        first = saved(first)
         component = first.groupBy("label").agg(F.min("first").alias("component_id"))
-        component = saved(first.join(component, "label").select("id", "component_id"))
+        component = first.join(component, "label").select("id", "component_id")
         return sets.select("doc_id", "n", "id").join(component, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
