@@ -366,15 +366,15 @@ class Join:
         stars = saved(self.star_links(docs, members, nodes))
         # labels that are not yet their component's smallest only spare less work
         joined = star_step(edges(stars))
-        labels = labels_of(joined)
         members = members.where("id != low").select("h", "id", "n")  # low was compared with all others
         for _ in range(self.rounds):
-            hubs = self.hubs(members, labels)
+            hubs = self.hubs(members, labels_of(joined))
             members = hubs.where("id != low").select("h", "id", "n")
-            joined = star_step(joined.union(edges(saved(self.star_links(docs, hubs, nodes)))))
-            labels = labels_of(joined)
+            joined = joined.union(edges(saved(self.star_links(docs, hubs, nodes))))
+        labels = components(joined)  # whole ones: what the trees look at grows with the labels in a group
         trees = saved(self.tree_links(docs, members, nodes, labels))
-        labels = components(joined.union(edges(trees)))
+        if trees.limit(1).count():
+            labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(edges(trees)))
         first = filled.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         component = first.groupBy("label").agg(F.min("first").alias("component_id"))
         component = first.join(component, "label").select("id", "component_id")
