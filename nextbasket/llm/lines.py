@@ -1,4 +1,8 @@
-"""Line dedup: content-defined chunks of lines; chunks that repeat anywhere in the corpus are removed after a comparison of their bytes."""
+"""Line dedup: runs of lines that repeat anywhere in the corpus are removed after a comparison of their bytes.
+
+dedup_runs finds each repeated run, as it looks at every pair of neighbouring lines; dedup_lines looks at disjoint
+content-defined chunks, which is less work, but misses most repeated runs of few lines.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitset, in_bitset, mixed, powers, saved, slices, table
+from .common import SPACE, bitset, in_bitset, mixed, powers, saved, slices, table
 
 #: A 64-bit value for each byte, case kept.
 RAW = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -20,6 +24,8 @@ RAW = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 #: Bits of the bitmap that keeps the texts of most unrepeated chunks from the shuffle.
 FILTER_BITS = 1 << 23
+#: A line of so many bytes (about 50 words) counts alone as a repeated passage.
+LONG = 300
 
 
 @dataclass(frozen=True)
@@ -129,8 +135,15 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), drop_emptied:
                 gone.append(sum(own[k]["lines"] for k in out))
             yield pa.RecordBatch.from_arrays([b["_doc"], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["_doc", "_new", "_lines", "_gone"])
 
-    kinds = T.StructType([joined.schema["_doc"], T.StructField("_new", T.StringType()), T.StructField("_lines", T.LongType()), T.StructField("_gone", T.LongType())])
-    done = joined.select("_doc", "_chunks", "removed").mapInArrow(run, kinds)
+    return finished(docs, joined.select("_doc", "_chunks", "removed").mapInArrow(run, shortened(joined)), drop_emptied)
+
+
+def shortened(joined: DataFrame) -> T.StructType:
+    return T.StructType([joined.schema["_doc"], T.StructField("_new", T.StringType()), T.StructField("_lines", T.LongType()), T.StructField("_gone", T.LongType())])
+
+
+def finished(docs: DataFrame, done: DataFrame, drop_emptied: bool) -> DataFrame:
+    """done (_doc, _new, _lines, _gone) with the columns of docs."""
     if drop_emptied:
         done = done.where("_gone = 0 or _new rlike '[^\\\\s]'")
     new = {"text": F.when(F.col("_doc.text").isNotNull(), F.col("_new")), "n_lines": F.col("_lines"), "removed_lines": F.col("_gone")}
@@ -140,5 +153,103 @@ def dedup_lines(docs: DataFrame, chunking: Chunking = Chunking(), drop_emptied:
     return done.select(*kept, *(e.alias(c) for c, e in new.items()))
 
 
+def windows(data: np.ndarray, at: np.ndarray, long: int) -> tuple[np.ndarray, ...]:
+    """Of the texts: text, code, first byte, end byte and hash of each two neighbouring lines and each line of at least long bytes.
+
+    Lines of white space alone are passed over: those between two lines belong to their window. code is twice the number of the
+    window's first other line in its text, and one more for two lines.
+    """
+    breaks = np.flatnonzero(data == 10)
+    counts = np.diff(np.searchsorted(breaks, at)) + 1
+    start, end = np.sort(np.concatenate([at[:-1], breaks + 1])), np.sort(np.concatenate([breaks, at[1:]]))
+    filled = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~SPACE[data], out=filled[1:])
+    some = filled[end] > filled[start]
+    of, start, end = np.repeat(np.arange(len(at) - 1), counts)[some], start[some], end[some]
+    code = 2 * (np.arange(len(of)) - np.searchsorted(of, of))
+    two, one = np.flatnonzero(of[1:] == of[:-1]), np.flatnonzero(end - start >= long)
+    first, last = np.concatenate([start[two], start[one]]), np.concatenate([end[two + 1], end[one]])
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(RAW[data] * up[:-1], out=sums[1:])
+    h = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    return np.concatenate([of[two], of[one]]), np.concatenate([code[two] + 1, code[one]]), first, last, h.view(np.int64)
+
+
+def repeated_windows(held: DataFrame, long: int) -> DataFrame:
+    """_row, removed: the codes of the windows of each row that an earlier place (by doc_id, row, number) holds byte for byte.
+
+    Two lines do not repeat those that begin one line before: of a line that follows itself the first two stay.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, at in slices(b["text"]):
+                h, n = np.unique(windows(data, at, long)[-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["hash", "n"])
+
+    texts = held.select("_row", "_id", F.coalesce("_doc.text", F.lit("")).alias("text"))
+    again = saved(texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
+    shared = held.sparkSession.sparkContext.broadcast(bitset(again, "hash", FILTER_BITS))
+
+    def places(with_bytes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, j, data, at in slices(b["text"]):
+                    of, code, first, last, h = windows(data, at, long)
+                    keep = np.flatnonzero(in_bitset(shared.value, h))
+                    of = pa.array(of[keep])
+                    out = {"_row": b["_row"].slice(i, j - i).take(of), "_id": b["_id"].slice(i, j - i).take(of), "code": pa.array(code[keep]), "hash": pa.array(h[keep])}
+                    if with_bytes:
+                        raw = data.tobytes()
+                        out["bytes"] = pa.array([raw[x:y] for x, y in zip(first[keep].tolist(), last[keep].tolist(), strict=True)], pa.binary())
+                        del out["_id"]
+                    yield pa.RecordBatch.from_arrays([*out.values()], [*out])
+
+        id_field = [] if with_bytes else [held.schema["_id"]]
+        rest = [T.StructField("code", T.LongType()), T.StructField("hash", T.LongType())] + ([T.StructField("bytes", T.BinaryType())] if with_bytes else [])
+        return texts.mapInArrow(run, T.StructType([T.StructField("_row", T.LongType()), *id_field, *rest]))
+
+    place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"), "code")
+    first = saved(places(False).groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first.row", F.col("first.code").alias("at")))
+    found = saved(places(True).join(first.hint("merge"), "hash"))
+    keeper = saved(found.where("_row = row and code = at").select("hash", F.col("bytes").alias("kept")))
+    # a hot hash is a skewed join of two written tables, which Spark splits
+    later = found.where("not (_row = row and (code = at or code % 2 = 1 and code = at + 2))")
+    gone = later.join(keeper.hint("merge"), "hash").where("bytes = kept")
+    return gone.groupBy("_row").agg(F.collect_set("code").alias("removed"))
+
+
+def dedup_runs(docs: DataFrame, long: int = LONG, drop_emptied: bool = False) -> DataFrame:
+    """docs without repeated runs of lines in text, and n_lines, removed_lines (both new; clashing columns are replaced).
+
+    A line goes where it and a neighbour, or it alone if it has at least long bytes, stand at an earlier place by doc_id, also
+    of the same document; so each repeated run of two or more lines goes whole, wherever it begins. Neighbours may have lines of
+    white space between them, which have to be the same and go with them. Nulls, n_chars, repeated rows and drop_emptied are as in dedup_lines.
+    """
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"))
+    held = saved(whole.withColumn("_row", F.monotonically_increasing_id()))
+    # a merge join at every size; a side that happens to be small is not broadcast
+    joined = held.select("_row", "_doc").join(repeated_windows(held, long).hint("merge"), "_row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, lines, gone = [], [], []
+            for text, removed in zip(b["_doc"].field("text").fill_null("").cast(pa.binary()).to_pylist(), b["removed"].to_pylist(), strict=True):
+                lines.append(text.count(b"\n") + 1)
+                if not removed:
+                    texts.append(text)
+                    gone.append(0)
+                    continue
+                own = text.split(b"\n")
+                filled = [k for k, x in enumerate(own) if x.strip()]
+                out = {k for c in removed for k in range(filled[c // 2], filled[c // 2 + c % 2] + 1)}
+                texts.append(b"\n".join(x for k, x in enumerate(own) if k not in out))
+                gone.append(len(out))
+            yield pa.RecordBatch.from_arrays([b["_doc"], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["_doc", "_new", "_lines", "_gone"])
+
+    return finished(docs, joined.select("_doc", "removed").mapInArrow(run, shortened(joined)), drop_emptied)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -213,6 +213,31 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(copies).count() == 2
 
 
+def test_repeated_runs_equal_brute_force(spark):
+    r = random.Random(14)
+    shared = [[sentence(r, 8) for _ in range(2 + k % 5)] for k in range(20)] + [[sentence(r, 80)], ["", *[sentence(r, 3), "", " "] * 2]]
+    rows = [(100 + i, "\n".join([sentence(r, 5) for _ in range(i % 5)] + shared[i % 22] + [sentence(r, 5) for _ in range(i % 4)])) for i in range(66)]
+    rows += [*EDGE, (70, "k\nk\nk\nl"), (71, "m\nm\nm\nm\nm"), (72, "k\nk\n\nn"), (73, "k\n\nk"), (74, "é\no\né\no"), (None, "n2\nn3"), (75, "n2\nn3")]
+    first, want = {}, []
+    for row, (i, t) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))):
+        own = (t or "").split("\n")
+        filled = [k for k, x in enumerate(own) if x.strip(" \n")]
+        spans = [(a, b) for a, b in zip(filled, filled[1:])] + [(k, k) for k in filled if len(own[k].encode()) >= 300]
+        out = set()
+        for a, b in spans:
+            at = first.setdefault(tuple(own[a : b + 1]), (row, a, b))
+            if at != (row, a, b) and not (at[0] == row and at[2] == a < b):
+                out |= set(range(a, b + 1))
+        want.append((str(i), None if t is None else "\n".join(x for k, x in enumerate(own) if k not in out), len(own), len(out)))
+    got = lines.dedup_runs(docs(spark, rows)).collect()
+    assert sorted((tuple(map(str, (x["doc_id"], x["text"], x["n_lines"], x["removed_lines"]))) for x in got)) == sorted(tuple(map(str, x)) for x in want)
+    text = {x["doc_id"]: x["text"].split("\n") for x in got if x["text"] is not None}
+    for k in range(100, 121):  # the whole run stays once and goes from every later place, whatever stands before it
+        assert all(x in text[k] for x in shared[k - 100]) and not any(x in text[i] for i in (k + 22, k + 44) for x in shared[k - 100])
+    assert lines.dedup_runs(docs(spark, [])).count() == 0
+    assert [x["doc_id"] for x in lines.dedup_runs(docs(spark, [(1, "a b\nc"), (2, "a b\nc"), (3, " ")]), drop_emptied=True).collect()] in ([1, 3], [3, 1])
+
+
 # 7 ---------------------------------------------------------------------------------------------
 def test_lm_base_and_model(spark):
     r = random.Random(5)
