@@ -1,6 +1,7 @@
 """Benchmark decontamination: template windows with typed placeholders are hash-joined, then slots are checked for consistency.
 
-Numbers, names and units become placeholders, so a question whose values were changed has the same template. A hit has to
+Numbers, names and units become placeholders, whole numbers ('1,200.5') and names of several words ('Mary Ann') one each, so
+a question whose values were changed has the same template, whatever the width of the values. A hit has to
 cover enough of an item on one diagonal (document place minus item place), and every value of the item has to be
 replaced by the same value wherever it stands. DataFrame expressions only.
 """
@@ -14,16 +15,29 @@ from .common import table
 
 #: A capital word after a word that ends no sentence: a name.
 NAME = r"(?<=[^.!?:\s]\s)(?=\p{Lu}\p{Ll})"
-MARK = "\x01"
-NOT_TOKEN = r"[^\p{L}\p{N}\x01]+"
+MARK, JOIN = "\x01", "\x02"
+#: Between two words of one name: a space and the mark of the second, or a hyphen or apostrophe before a capital word.
+IN_NAME = r"(?:\s\x01|['’-](?=\p{Lu}\p{Ll}))(?<=\x01[\p{L}\p{N}'’-]{1,99}(?:\s\x01|['’-]))"
+#: Separators between two digits belong to a number.
+NOT_TOKEN = r"(?:[^\p{L}\p{N}\x01\x02.,:/'’]|[.,:/'’](?!(?<=[0-9].)[0-9]))+"
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "miles", "mg", "g", "kg", "lb", "tons", "ml", "l", "liters", "litres", "ms", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "percent", "usd", "eur", "dollars", "euros", "cents", "kmh", "mph", "degrees")
 WIDTH = 8
 
 
-def tokens(text):
-    """Words in lower case, without punctuation; names keep MARK before them."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, MARK)
-    return F.split(F.trim(F.lower(F.regexp_replace(marked, NOT_TOKEN, " "))), " +")
+def spelled(text):
+    """Words in lower case, without punctuation, one space apart; names begin with MARK. A number with its separators is one word, and so is a name of several, with JOIN between them."""
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), NAME, MARK), IN_NAME, JOIN)
+    return F.trim(F.lower(F.regexp_replace(marked, NOT_TOKEN, " ")))
+
+
+def formed(df: DataFrame, keep: list[str], form: str) -> DataFrame:
+    """df (with a column text) with form and token, a row for each form: 0 with each word of a name for itself, 1 with names of several words as one, if there are any.
+
+    Whether the first word of a sentence belongs to a name depends on what stands before it, so one form alone would miss hits.
+    """
+    df = df.select(*keep, spelled(F.col("text")).alias("spelled"))
+    both = F.array_distinct(F.array(F.replace("spelled", F.lit(JOIN), F.lit(" " + MARK)), "spelled"))
+    return df.select(*keep, F.posexplode_outer(both).alias(form, "spelled")).select(*keep, form, F.split("spelled", " +").alias("token"))
 
 
 def is_number(x):
@@ -53,11 +67,11 @@ def _joined(step: int):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_row, item_at, item_tokens, item_slice, slots, hash; windows of more than half placeholders are left out."""
-    items = benchmark.select("item_id", F.monotonically_increasing_id().alias("item_row"), tokens(F.col("text")).alias("token"))
-    each = windows(items).select("item_id", "item_row", "token", F.posexplode_outer("hash").alias("item_at", "hash"))
+    """item_id, item_row, item_form, item_at, item_tokens, item_slice, slots, hash; windows of more than half placeholders are left out."""
+    items = formed(benchmark.withColumn("item_row", F.monotonically_increasing_id()), ["item_id", "item_row"], "item_form")
+    each = windows(items).select("item_id", "item_row", "item_form", "token", F.posexplode_outer("hash").alias("item_at", "hash"))
     slot = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: _slot(F.get("token", F.col("item_at") + k), F.get("token", F.col("item_at") + k - 1)))
-    out = each.where("hash is not null").select("item_id", "item_row", "item_at", F.size("token").alias("item_tokens"), F.slice("token", F.col("item_at") + 1, WIDTH).alias("item_slice"), slot.alias("slots"), "hash")
+    out = each.where("hash is not null").select("item_id", "item_row", "item_form", "item_at", F.size("token").alias("item_tokens"), F.slice("token", F.col("item_at") + 1, WIDTH).alias("item_slice"), slot.alias("slots"), "hash")
     return out.where(F.size(F.filter("slots", lambda x: x)) * 2 <= WIDTH)
 
 
@@ -75,27 +89,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     Empty tables give no rows. Other columns are dropped.
     """
     items = item_windows(benchmark)
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("token"))
-    item = ["item_id", "item_row", "item_at", "item_tokens", "item_slice", "slots"]
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    texts = formed(texts, ["doc_id", "text_hash", "row"], "form")
+    item = ["item_id", "item_row", "item_form", "item_at", "item_tokens", "item_slice", "slots"]
     part = F.slice("token", F.col("doc_at") + 1, WIDTH).alias("doc_slice")
     if items.count() <= broadcast_rows:
-        each = windows(texts).select("doc_id", "text_hash", "row", "token", F.posexplode_outer("hash").alias("doc_at", "hash"))
-        hits = each.join(F.broadcast(items), "hash").select("doc_id", "text_hash", "row", "doc_at", *item, part)
+        each = windows(texts).select("doc_id", "text_hash", "row", "form", "token", F.posexplode_outer("hash").alias("doc_at", "hash"))
+        hits = each.join(F.broadcast(items), "hash").select("doc_id", "text_hash", "row", "form", "doc_at", *item, part)
     else:  # windows shuffle without their texts; those of hits come by a second join
-        each = windows(texts).select("doc_id", "text_hash", "row", F.posexplode_outer("hash").alias("doc_at", "hash"))
-        found = each.join(items, "hash").select("doc_id", "text_hash", "row", "doc_at", *item)
-        whole = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "token").dropDuplicates(["_id", "_hash"])
-        hits = found.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "row", "doc_at", *item, part)
+        each = windows(texts).select("doc_id", "text_hash", "row", "form", F.posexplode_outer("hash").alias("doc_at", "hash"))
+        found = each.join(items, "hash").select("doc_id", "text_hash", "row", "form", "doc_at", *item)
+        whole = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("form").alias("_form"), "token").dropDuplicates(["_id", "_hash", "_form"])
+        hits = found.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("form") == F.col("_form"))).select("doc_id", "text_hash", "row", "form", "doc_at", *item, part)
     hits = hits.withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
-    line = ["doc_id", "text_hash", "row", "item_id", "item_row", "item_tokens", "diagonal"]
-    new = F.least(F.lit(WIDTH), F.coalesce(F.col("doc_at") - F.lag("doc_at").over(Window.partitionBy("row", "item_row", "diagonal").orderBy("doc_at")), F.lit(WIDTH)))
+    line = ["doc_id", "text_hash", "row", "form", "item_id", "item_row", "item_form", "item_tokens", "diagonal"]
+    new = F.least(F.lit(WIDTH), F.coalesce(F.col("doc_at") - F.lag("doc_at").over(Window.partitionBy("row", "form", "item_row", "item_form", "diagonal").orderBy("doc_at")), F.lit(WIDTH)))
     pair = F.filter(F.arrays_zip(F.col("item_slice").alias("item"), F.col("doc_slice").alias("doc"), F.col("slots").alias("slot")), lambda x: x["slot"])
     # an item's windows bound the rows of a diagonal
     found = hits.select(*line, "doc_at", "item_at", new.alias("new"), F.transform(pair, lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc"))).alias("pair"))
     found = found.groupBy(*line).agg(F.min("doc_at").alias("doc_at"), F.min("item_at").alias("item_at"), F.sum("new").alias("covered"), F.array_distinct(F.flatten(F.collect_list("pair"))).alias("pairs"))
     distinct = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
     found = found.where((F.col("covered") >= F.least(F.lit(least), F.ceil(F.col("item_tokens") * share))) & (distinct == F.size("pairs")))
-    best = F.row_number().over(Window.partitionBy("row", "item_row").orderBy(F.desc("covered"), "diagonal"))
+    best = F.row_number().over(Window.partitionBy("row", "item_row").orderBy(F.desc("covered"), "diagonal", "form", "item_form"))
     same = F.forall("pairs", lambda x: x["item"] == x["doc"])
     return found.withColumn("best", best).where("best = 1").select("doc_id", "text_hash", "item_id", "doc_at", "item_at", "covered", "item_tokens", F.size("pairs").alias("slots"), F.when(same, "verbatim").otherwise("reparameterised").alias("kind"))
 

@@ -300,6 +300,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d.limit(0), bench).count() == 0 and decontaminate.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_values_of_other_widths(spark):
+    item = "if a baker sells 12 loaves an hour to people like Bob and bakes 40 more each day, how many does Bob buy?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    forms = {
+        1: ("3.5", "Bob", "1,400", "Bob"), 2: ("12", "Mary Ann", "40", "Mary Ann"), 3: ("1/2", "Jean-Luc Le Clerc", "1.400,75", "Jean-Luc Le Clerc"),
+        4: ("12", "Mary Ann", "40", "Mary Sue"), 5: ("12", "Mary Ann", "40", "Mary"), 6: ("12", "Bob", "40", "Bob"),
+    }
+    text = "if a baker sells {} loaves an hour to people like {} and bakes {} more each day, how many does {} buy?"
+    got = decontaminate.leaks(docs(spark, [(i, text.format(*v)) for i, v in forms.items()]), bench).collect()
+    assert {r["doc_id"]: (r["kind"], r["covered"]) for r in got} == {1: ("reparameterised", 23), 2: ("reparameterised", 23), 3: ("reparameterised", 23), 6: ("verbatim", 23)}
+    one = spark.createDataFrame([("He paid 1,200.50, then 3. Then 4, for the Mary Ann, Bob.",)], "t string").select(decontaminate.spelled(decontaminate.F.col("t"))).first()[0]
+    assert one.split(" ") == ["he", "paid", "1,200.50", "then", "3", "then", "4", "for", "the", "\x01mary\x02ann", "\x01bob"]
+
+
 # 9 ---------------------------------------------------------------------------------------------
 def test_boundaries_are_optimal():
     import itertools
