@@ -75,6 +75,47 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return out.where(F.size(F.filter("slots", lambda x: x)) * 2 <= WIDTH)
 
 
+def whole_keys(benchmark: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+    """item_id, item_row, item_form, item_tokens, item_slice, slots, width, raw, hash: of each item form whose windows (items) cover less than a hit needs.
+
+    The hash is that of the first `width` tokens (WIDTH, or all of a shorter item): of their templates, or where placeholders
+    prevail or the item is longer, of the tokens (raw). item_slice and slots are those of the whole item.
+    """
+    form = ["item_row", "item_form"]
+    new = F.least(F.lit(WIDTH), F.coalesce(F.col("item_at") - F.lag("item_at").over(Window.partitionBy(*form).orderBy("item_at")), F.lit(WIDTH)))
+    reach = items.select(*form, new.alias("new")).groupBy(*form).agg(F.sum("new").alias("reach"))
+    all_items = formed(benchmark.withColumn("item_row", F.monotonically_increasing_id()), ["item_id", "item_row"], "item_form").where(F.get("token", F.lit(0)) != "")
+    n = F.size("token")
+    short = all_items.join(reach, form, "left").where(F.coalesce("reach", F.lit(0)) < F.least(F.lit(least), F.ceil(n * share)))
+    slots = F.transform("token", lambda x, i: _slot(x, F.when(i > 0, F.get("token", i - 1))))
+    short = short.select("item_id", *form, n.alias("item_tokens"), F.col("token").alias("item_slice"), slots.alias("slots"), F.least(n, F.lit(WIDTH)).alias("width"))
+    raw = (F.col("item_tokens") >= WIDTH) | (F.size(F.filter("slots", lambda x: x)) * 2 > F.col("item_tokens"))
+    short = short.withColumn("raw", raw)
+    hash_ = F.lit(None).cast("long")
+    for width in range(1, WIDTH + 1):
+        for is_raw in (False, True):
+            hash_ = F.when((F.col("width") == width) & (F.col("raw") == is_raw), _key("item_slice", F.lit(0), width, is_raw)).otherwise(hash_)
+    return short.withColumn("hash", hash_)
+
+
+def _unmarked(x):
+    """An item's first token is no name; whether that of its copy seems to be one depends on what stands before."""
+    return F.replace(x, F.lit(MARK), F.lit(""))
+
+
+def _key(tokens: str, at, width: int, raw: bool):
+    """The hash of so many tokens, or their templates, from a place on; width and raw tell kinds of keys apart."""
+    first = _unmarked(F.get(tokens, at))
+    one = lambda k: first if raw and not k else F.get(tokens, at + k) if raw else template(F.get(tokens, at + k), F.get(tokens, at + k - 1)) if k else template(first, F.lit(None).cast("string"))
+    return F.xxhash64(F.lit(width), F.lit(raw), *(one(k) for k in range(width)))
+
+
+def _keys(width: int, raw: bool):
+    """The places of a text's keys of this kind, and their hashes."""
+    begins = F.slice("token", 1, F.greatest(F.size("token") - width + 1, F.lit(0)))
+    return F.transform(begins, lambda _, at: F.struct(at.alias("doc_at"), _key("token", at, width, raw).alias("hash")))
+
+
 def _slot(x, before):
     return F.coalesce((F.ascii(x) == 1) | is_number(x) | (x.isin(*UNITS) & is_number(before)), F.lit(False))
 
@@ -83,8 +124,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     """doc_id, text_hash, item_id, doc_at, item_at, covered, item_tokens, slots, kind: the best diagonal of each document and item.
 
     A hit covers `least` tokens, or `share` of a shorter item. kind is verbatim or reparameterised; hits whose slots are
-    replaced inconsistently are left out. Items of fewer than WIDTH tokens have no window and cannot be found. The windows of
-    the benchmark go to the tasks where they are at most broadcast_rows, which is counted; otherwise both sides shuffle.
+    replaced inconsistently are left out. Items whose windows cover less, as they are short or made mainly of placeholders, are
+    found where they stand whole, by one key each: short ones by their template, those made mainly of placeholders and longer ones
+    verbatim. An item without any token is never found. The windows of the benchmark go to the tasks where they are at most broadcast_rows, which is counted; otherwise both sides shuffle.
     Nulls: null texts have no window, null ids stay. Repeated rows of documents each give a row, repeated items each count.
     Empty tables give no rows. Other columns are dropped.
     """
@@ -92,6 +134,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
     texts = formed(texts, ["doc_id", "text_hash", "row"], "form")
     item = ["item_id", "item_row", "item_form", "item_at", "item_tokens", "item_slice", "slots"]
+    known = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("form").alias("_form"), "token").dropDuplicates(["_id", "_hash", "_form"])
+    same_text = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("form") == F.col("_form"))
     part = F.slice("token", F.col("doc_at") + 1, WIDTH).alias("doc_slice")
     if items.count() <= broadcast_rows:
         each = windows(texts).select("doc_id", "text_hash", "row", "form", "token", F.posexplode_outer("hash").alias("doc_at", "hash"))
@@ -99,15 +143,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     else:  # windows shuffle without their texts; those of hits come by a second join
         each = windows(texts).select("doc_id", "text_hash", "row", "form", F.posexplode_outer("hash").alias("doc_at", "hash"))
         found = each.join(items, "hash").select("doc_id", "text_hash", "row", "form", "doc_at", *item)
-        whole = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("form").alias("_form"), "token").dropDuplicates(["_id", "_hash", "_form"])
-        hits = found.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("form") == F.col("_form"))).select("doc_id", "text_hash", "row", "form", "doc_at", *item, part)
+        hits = found.join(known, same_text).select("doc_id", "text_hash", "row", "form", "doc_at", *item, part)
     hits = hits.withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     line = ["doc_id", "text_hash", "row", "form", "item_id", "item_row", "item_form", "item_tokens", "diagonal"]
     new = F.least(F.lit(WIDTH), F.coalesce(F.col("doc_at") - F.lag("doc_at").over(Window.partitionBy("row", "form", "item_row", "item_form", "diagonal").orderBy("doc_at")), F.lit(WIDTH)))
-    pair = F.filter(F.arrays_zip(F.col("item_slice").alias("item"), F.col("doc_slice").alias("doc"), F.col("slots").alias("slot")), lambda x: x["slot"])
+    pair = F.transform(F.filter(F.arrays_zip(F.col("item_slice").alias("item"), F.col("doc_slice").alias("doc"), F.col("slots").alias("slot")), lambda x: x["slot"]), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc")))
     # an item's windows bound the rows of a diagonal
-    found = hits.select(*line, "doc_at", "item_at", new.alias("new"), F.transform(pair, lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc"))).alias("pair"))
+    found = hits.select(*line, "doc_at", "item_at", new.alias("new"), pair.alias("pair"))
     found = found.groupBy(*line).agg(F.min("doc_at").alias("doc_at"), F.min("item_at").alias("item_at"), F.sum("new").alias("covered"), F.array_distinct(F.flatten(F.collect_list("pair"))).alias("pairs"))
+    whole = whole_keys(benchmark, items, least, share)
+    kinds = sorted(tuple(r) for r in whole.select("width", "raw").distinct().collect())  # WIDTH + 7 at most
+    if kinds:
+        each = texts.select("doc_id", "text_hash", "row", "form", "token", F.explode_outer(F.flatten(F.array(*(_keys(*kind) for kind in kinds)))).alias("key")).select("doc_id", "text_hash", "row", "form", "token", "key.*")
+        if whole.count() <= broadcast_rows:
+            each = each.join(F.broadcast(whole), "hash")
+        else:
+            each = each.drop("token").join(whole, "hash").join(known, same_text)
+        each = each.withColumn("doc_slice", F.concat(F.array(_unmarked(F.get("token", "doc_at"))), F.slice("token", F.col("doc_at") + 2, F.col("item_tokens") - 1))).where("not raw or item_slice = doc_slice")
+        each = each.select(*line[:-1], (F.col("doc_at") + 0).alias("diagonal"), "doc_at", F.lit(0).alias("item_at"), F.col("item_tokens").cast("long").alias("covered"), F.array_distinct(pair).alias("pairs"))
+        found = found.unionByName(each)
     distinct = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
     found = found.where((F.col("covered") >= F.least(F.lit(least), F.ceil(F.col("item_tokens") * share))) & (distinct == F.size("pairs")))
     best = F.row_number().over(Window.partitionBy("row", "item_row").orderBy(F.desc("covered"), "diagonal", "form", "item_form"))

@@ -314,6 +314,18 @@ def test_decontamination_of_values_of_other_widths(spark):
     assert one.split(" ") == ["he", "paid", "1,200.50", "then", "3", "then", "4", "for", "the", "\x01mary\x02ann", "\x01bob"]
 
 
+def test_decontamination_of_items_without_windows(spark):
+    items = {1: "What is 12 times 7 plus 30?", 2: "Add 12 34 56 78 90 11 and 13 14 15 16", 3: "12 7", 4: "...", 5: None, 6: "one two three four five six seven eight 1 2 3 4 5 6 7 8 9 10 11 12"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(10 + k, f"so {t}, yes") for k, t in items.items() if t] + [(20, "what is 3.5 times 9 plus 1?"), (21, "add 12 34 56 78 90 11 and 13 14 15 17"), (22, "12 8"), (23, items[2]), (24, "what is 12 times 7 minus 30")]
+    want = {(11, 1, "verbatim"), (12, 2, "verbatim"), (13, 3, "verbatim"), (16, 6, "verbatim"), (20, 1, "reparameterised"), (23, 2, "verbatim")}
+    for broadcast_rows in (1000, 0):
+        got = decontaminate.leaks(docs(spark, rows + EDGE), bench, broadcast_rows=broadcast_rows).collect()
+        assert {(r["doc_id"], r["item_id"], r["kind"]) for r in got} == want and len(got) == len(want)
+    kept = decontaminate.drop_leaked(docs(spark, rows), bench)
+    assert {r["doc_id"] for r in kept.collect()} == {14, 21, 22, 24}
+
+
 # 9 ---------------------------------------------------------------------------------------------
 def test_boundaries_are_optimal():
     import itertools
