@@ -93,16 +93,51 @@ def one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at this place, inflated, and its end."""
+def member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be inflated of the gzip member at this place, its end, and the check that failed (the end is not known then)."""
     z = zlib.decompressobj(31)
     try:
         out = z.decompress(memoryview(data)[at:])
-    except zlib.error:
-        raise ValueError("broken member") from None
-    if not z.eof:
-        raise ValueError("truncated member")
-    return out, len(data) - len(z.unused_data)
+    except zlib.error as e:
+        return inflated(memoryview(data)[at:]), at, "broken member" + (", wrong checksum" if "incorrect" in str(e) and "check" in str(e) and "header" not in str(e) else "")
+    return out, len(data) - len(z.unused_data), "" if z.eof else "truncated member"
+
+
+def inflated(data: memoryview, steps: tuple[int, ...] = (1 << 16, 256, 1)) -> bytes:
+    """The bytes before the first error of a broken member."""
+    z, at, out = zlib.decompressobj(31), 0, []
+    for step in steps:
+        while at < len(data):
+            before = z.copy()
+            try:
+                out.append(z.decompress(data[at : at + step]))
+            except zlib.error:
+                z = before
+                break
+            at += step
+    return b"".join(out)
+
+
+def salvage(plain: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The valid records in inflated bytes, and the gaps between them."""
+    found, gaps, p, gap, why = [], [], 0, -1, ""
+    while p < len(plain):
+        try:
+            fields, block, end = one(plain, p)
+        except ValueError as e:
+            if gap < 0:
+                gap, why = p, str(e)
+            near = VERSION.search(plain, p + 1)
+            p = near.start() if near else len(plain)
+            continue
+        if gap >= 0:
+            gaps.append((gap, p, why))
+            gap = -1
+        found.append((fields, block))
+        p = end
+    if gap >= 0:
+        gaps.append((gap, len(plain), why))
+    return found, gaps
 
 
 def starts(data: bytes, at: int) -> bool:
@@ -116,18 +151,22 @@ def starts(data: bytes, at: int) -> bool:
 
 
 def read(data: bytes) -> Archive:
+    """Gaps inside a whole member have its bytes, and the inflated ones in their text. Of a broken member the gap is all of it, though records before the fault are kept."""
     out, at, gap, why = Archive(), 0, -1, ""
     while at < len(data):
+        begin, kept, inner = at, [], []
         try:
             if data.startswith(GZIP, at):
-                plain, end = member(data, at)
-                found, p = [], 0
-                while p < len(plain):
-                    fields, block, p = one(plain, p)
-                    found.append(Record(at, end - at, fields, block))
+                plain, end, fault = member(data, at)
+                kept, inner = salvage(plain)
+                if fault.startswith("broken"):
+                    # a checksum that no bad record explains means a wrong header, and no digest tells which
+                    kept = [x for x in kept if x[0].get("warc-block-digest", "").startswith("sha1:")] if inner or "checksum" not in fault else []
+                if fault:
+                    raise ValueError(fault.split(",")[0])
             else:
                 fields, block, end = one(data, at)
-                found = [Record(at, end - at, fields, block)]
+                kept = [(fields, block)]
         except ValueError as e:
             if gap < 0:
                 gap, why = at, str(e)
@@ -138,11 +177,14 @@ def read(data: bytes) -> Archive:
                 if at == len(data) or starts(data, at):
                     break
                 at += 1
+            out.records += [Record(begin, at - begin, *x) for x in kept]
             continue
+        found = [Record(at, end - at, *x) for x in kept]
         if gap >= 0:
             out.gaps.append((gap, at, why))
             gap = -1
         out.records += found
+        out.gaps += [(at, end, f"{x} (inflated bytes {a} to {b})") for a, b, x in inner]
         at = end
     if gap >= 0:
         out.gaps.append((gap, len(data), why))

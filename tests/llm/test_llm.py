@@ -177,6 +177,26 @@ def test_warc_salvage():
     assert warc.read(b"").records == []
 
 
+def test_warc_salvage_inside_members():
+    r = random.Random(15)
+    blocks = [bytes(r.choices(b"abcdefgh", k=3000)) for _ in range(40)]
+    plain = [gzip.decompress(warc.write_record({"WARC-Target-URI": f"u{i}"}, x)) for i, x in enumerate(blocks)]
+    bad = plain[3].replace(blocks[3], blocks[3][::-1])
+    other = warc.write_record({"WARC-Target-URI": "last"}, b"z")
+    whole = gzip.compress(b"".join([*plain[:3], bad, *plain[4:]]))
+    got = warc.read(whole + other)
+    assert [x.fields["warc-target-uri"] for x in got.records] == [f"u{i}" for i in range(40) if i != 3] + ["last"]
+    a = sum(map(len, plain[:3]))
+    assert got.gaps == [(0, len(whole), f"block digest differs (inflated bytes {a} to {a + len(bad)})")]
+    one = gzip.compress(b"".join(plain))
+    got = warc.read(one[: len(one) // 2])
+    assert 15 <= len(got.records) < 40 and [x.block for x in got.records] == blocks[: len(got.records)] and got.gaps == [(0, len(one) // 2, "truncated member")]
+    broken = bytearray(one)
+    broken[len(one) // 2 : len(one) // 2 + 40] = b"\xff" * 40
+    got = warc.read(bytes(broken) + other)
+    assert len(got.records) > 10 and [x.block for x in got.records[:10]] == blocks[:10] and got.records[-1].block == b"z" and got.gaps == [(0, len(one), "broken member")]
+
+
 def test_warc_round_trip(spark):
     pages = [(5, "http://a/", "same"), (3, None, "same"), (9, "u\r\nv", "same"), (4, "u", None), (7, "u", ""), (None, "u", "other"), (8, "u", "é" * 5000), (3, "u", "same")]
     d = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, record_type string")
