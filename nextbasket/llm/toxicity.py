@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Spans, slices, table
+from .common import Spans, saved, slices, table
 
-#: Groups of identity terms; a term is swapped for the others of its group.
+#: Fixed values. Groups of identity terms in the languages of the corpus (en, es, fr, de); a term is swapped for the others of its group.
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -24,6 +24,26 @@ IDENTITY = (
     ("immigrant", "native", "refugee", "foreigner"),
     ("old", "young", "elderly"),
     ("blind", "deaf", "disabled"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("lesbiana", "heterosexual", "homosexual", "transexual"),
+    ("negro", "blanco", "asiático", "africano", "europeo", "árabe"),
+    ("musulmán", "cristiano", "judío", "budista", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("inmigrante", "refugiado", "extranjero"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("lesbienne", "hétérosexuel", "homosexuel", "transgenre"),
+    ("noir", "blanc", "asiatique", "africain", "européen", "arabe"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigré", "réfugié", "étranger"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("lesbisch", "schwul", "heterosexuell", "bisexuell"),
+    ("schwarzer", "weißer", "asiate", "afrikaner", "europäer", "araber"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("einwanderer", "flüchtling", "ausländer"),
 )
 #: Bytes of words: letters, digits and all of non-ASCII text.
 SEPARATOR = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
@@ -71,7 +91,8 @@ def swaps(text: str, groups: Sequence[Sequence[str]] = IDENTITY) -> list[str]:
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 10_000  # labelled rows to fit on, at most; chosen by a hash of their doc_id
+    sample: int = 10_000  # distinct (doc_id, text) rows to fit on, at most; the first by a hash of both
+    sample_bytes: int = 1 << 26  # of their texts, at most
     least: int = 3  # sampled rows that a feature must be in
     ridge: float = 1e-3
     counterfactual: float = 1.0
@@ -79,20 +100,54 @@ class Settings:
     rate: float = 0.1
 
 
+@dataclass(frozen=True)
+class Model:
+    weights: np.ndarray  # by feature
+    bias: float
+    rows: int = 0  # texts it was fitted on
+    pairs: int = 0  # (text, swapped text) of the counterfactual term
+
+
 class Sparse:
-    """Rows of column numbers with values: products by bincount."""
+    """Rows of column numbers (flat, and where each row begins), with a sign each if there are signs: products by parts, so that no array of floats of all entries is made."""
 
-    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None, width: int):
-        self.n, self.width = len(rows), width
-        self.column = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-        self.value = np.concatenate(values) if values else 1.0
+    PART = 1 << 18
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray, width: int, sign: np.ndarray | None = None):
+        self.flat, self.begin, self.width, self.sign, self.n = flat, begin, width, sign, len(begin) - 1
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | float]]:
+        i = 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(self.begin, self.begin[i] + self.PART, "right")) - 1)
+            a, b = self.begin[i], self.begin[j]
+            yield i, j, self.flat[a:b], np.repeat(np.arange(j - i), np.diff(self.begin[i : j + 1])), 1.0 if self.sign is None else self.sign[a:b]
+            i = j
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.column], self.n)
+        out = np.zeros(self.n)
+        for i, j, column, row, sign in self.parts():
+            out[i:j] = np.bincount(row, sign * w[column], j - i)
+        return out
 
     def transposed(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * r[self.row], self.width)
+        out = np.zeros(self.width)
+        for i, j, column, row, sign in self.parts():
+            out += np.bincount(column, sign * r[i:j][row], self.width)
+        return out
+
+    def taken(self, rows: np.ndarray) -> Sparse:
+        """Without signs."""
+        sizes = np.diff(self.begin)
+        return Sparse(self.flat[np.repeat(rows, sizes)], ends(sizes[rows]), self.width)
+
+
+def ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def flat_lists(lists: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *lists]), ends(np.array([len(x) for x in lists], np.int64))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -111,77 +166,109 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Weights by feature, and the bias. rows: features of the texts; changes: for each swapped text the features that it gains and loses.
+def kept(flat: np.ndarray, begin: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that have a column, as columns."""
+    new = column[flat]
+    at = np.concatenate([[0], np.cumsum(new >= 0, dtype=np.int64)])
+    return new[new >= 0], at[begin]
+
+
+def fit(rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, gains: tuple[np.ndarray, np.ndarray], losses: tuple[np.ndarray, np.ndarray], settings: Settings = Settings()) -> Model:
+    """rows: features of the texts, flat and where each text begins; gains, losses: of each swapped text the features that it has more and less, likewise.
 
     Full-batch Adam on log loss + ridge * |w|^2 + counterfactual * mean (w . (x - x'))^2. Every fifth row is left out and
     serves to calibrate the scores. Without both labels among the rows every score is the share of label 1, smoothed.
     """
     weights, y = np.zeros(SIZE, np.float32), labels.astype(np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
+    pairs = len(gains[1]) - 1
     if len(set(y.tolist())) < 2:
-        return weights, float(np.log(share / (1 - share))) if len(y) else -5.0
-    use = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=SIZE) >= settings.least)
+        return Model(weights, float(np.log(share / (1 - share))) if len(y) else -5.0, len(y), pairs)
+    use = np.flatnonzero(np.bincount(rows[0], minlength=SIZE) >= settings.least)
     column = np.full(SIZE, -1, np.int32)
     column[use] = np.arange(len(use))
-    known = lambda f: column[f][column[f] >= 0]
-    test = np.arange(len(rows)) % 5 == 4
-    if len(rows) < 50 or len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
+    test = np.arange(len(y)) % 5 == 4
+    if len(y) < 50 or len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
         test[:] = False
-    x = Sparse([known(r) for r, t in zip(rows, test, strict=True) if not t], None, len(use))
-    gain, loss = [known(a) for a, _ in changes], [known(b) for _, b in changes]
-    d = Sparse([np.concatenate(c) for c in zip(gain, loss, strict=True)], [np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in zip(gain, loss, strict=True)], len(use))
+    every = Sparse(*kept(*rows, column), len(use))
+    x, left_out = every.taken(~test), every.taken(test)
+    del every
+    more, less = kept(*gains, column), kept(*losses, column)
+    d = Sparse(np.concatenate([more[0], less[0]]), np.zeros(1), len(use))
+    if pairs:
+        of = np.concatenate([np.repeat(np.arange(pairs), np.diff(more[1])), np.repeat(np.arange(pairs), np.diff(less[1]))])
+        sign = np.repeat([1.0, -1.0], [len(more[0]), len(less[0])])
+        order = np.argsort(of, kind="stable")
+        d = Sparse(d.flat[order], ends(np.bincount(of, minlength=pairs)), len(use), sign[order])
     target, w, bias = y[~test], np.zeros(len(use)), float(np.log(share / (1 - share)))
     m1, m2 = np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     for step in range(1, settings.steps + 1):
         r = (sigmoid(x.times(w) + bias) - target) / x.n
         g = x.transposed(r) + 2 * settings.ridge * w
-        if d.n:
-            g += 2 * settings.counterfactual / d.n * d.transposed(d.times(w))
+        if pairs:
+            g += 2 * settings.counterfactual / pairs * d.transposed(d.times(w))
         g = np.append(g, r.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = settings.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    slope, shift = 1.0, 0.0
-    if test.any():
-        slope, shift = calibrate(Sparse([known(r) for r, t in zip(rows, test, strict=True) if t], None, len(use)).times(w) + bias, y[test])
+    slope, shift = calibrate(left_out.times(w) + bias, y[test]) if test.any() else (1.0, 0.0)
     weights[use] = w * slope
-    return weights, bias * slope + shift
+    return Model(weights, bias * slope + shift, len(y), pairs)
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn, settings: Settings = Settings(), groups: Sequence[Sequence[str]] = IDENTITY) -> tuple[np.ndarray, float]:
-    """fit() on a bounded sample of the labelled rows that may_learn, a boolean column of labels, allows.
+def sampled(docs: DataFrame, labels: DataFrame, may_learn, settings: Settings) -> DataFrame:
+    """doc_id, text, toxic, h: the distinct (doc_id, text) of labelled rows to fit on, within both bounds of settings.
 
-    A null label is none; a doc_id that is labelled twice is toxic if one of its labels is.
+    doc_ids are chosen first, by a hash; of their rows, which may be more, as many as fit are kept.
     """
-    labels = labels.where("toxic is not null and doc_id is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.where("toxic is not null and doc_id is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # settings.sample rows of two numbers
+    held = saved(texts.withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "h"]))
+    first = held.select("doc_id", "h", F.octet_length("text").alias("bytes")).orderBy("h", "doc_id").limit(settings.sample)
+    within = F.sum("bytes").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) <= settings.sample_bytes  # of settings.sample rows
+    return held.join(F.broadcast(first.where("bytes is not null").select("doc_id", "h", within.alias("within")).where("within").drop("within")), ["doc_id", "h"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, may_learn, settings: Settings = Settings(), groups: Sequence[Sequence[str]] = IDENTITY) -> Model:
+    """fit() on a bounded sample of the labelled rows that may_learn, a boolean column of labels, allows.
+
+    A null label or doc_id is none; a doc_id that is labelled twice is toxic if one of its labels is. Rows that repeat doc_id and
+    text count once, a null text is empty. The features of the sample, of sample_bytes of text at most, are all that the driver gets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].to_pylist()
-            rows = features_of(texts)
-            both = [[(np.setdiff1d(f, row), np.setdiff1d(row, f)) for f in features_of(swaps(t, groups))] for t, row in zip(texts, rows, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b["doc_id"], b["toxic"], pa.array(rows, pa.list_(pa.int32())),
-                    pa.array([[{"gain": g, "loss": x} for g, x in p] for p in both], pa.list_(pa.struct([("gain", pa.list_(pa.int32())), ("loss", pa.list_(pa.int32()))]))),
-                ],
-                ["doc_id", "toxic", "row", "changes"],
-            )
-
-    # settings.sample rows of two numbers
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(run, "doc_id long, toxic int, row array<int>, changes array<struct<gain:array<int>,loss:array<int>>>").toArrow().sort_by("doc_id")
-    lists = got["row"].combine_chunks()
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    changes = [(np.array(c["gain"], np.int32), np.array(c["loss"], np.int32)) for row in got["changes"].to_pylist() for c in row]
-    return fit([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], got["toxic"].to_numpy(), changes, settings)
-
-
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, out: str = "score") -> DataFrame:
-    """docs with a column of scores; a null text is empty. All other columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+            for k in range(b.num_rows):
+                text = b["text"][k].as_py()
+                (row,) = features_of([text])
+                more = features_of(swaps(text, groups))
+                gain = [row, *(np.setdiff1d(f, row) for f in more)]
+                loss = [row[:0], *(np.setdiff1d(row, f) for f in more)]
+                n = len(gain)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b[c][k].as_py()] * n, t) for c, t in (("doc_id", pa.int64()), ("h", pa.int64()), ("toxic", pa.int32()))] + [pa.array(np.arange(n)), pa.array(gain, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.int32()))],
+                    ["doc_id", "h", "toxic", "swap", "gain", "loss"],
+                )
+
+    rows = sampled(docs, labels, may_learn, settings).withColumn("doc_id", F.col("doc_id").cast("long"))
+    got = rows.mapInArrow(run, "doc_id long, h long, toxic int, swap long, gain array<int>, loss array<int>").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("swap", "ascending")]).combine_chunks()
+    own = got["swap"].to_numpy() == 0
+
+    def lists(name: str, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = got.filter(pa.array(which))[name].combine_chunks()
+        x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+        at = x.offsets.to_numpy().astype(np.int64)
+        return x.values.to_numpy()[at[0] : at[-1]] if len(x) else np.zeros(0, np.int32), at - at[0]
+
+    texts, gains, losses, toxic = lists("gain", own), lists("gain", ~own), lists("loss", ~own), got["toxic"].to_numpy()[own]
+    del got
+    return fit(texts, toxic, gains, losses, settings)
+
+
+def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with a column of scores; a null text is empty. All other columns stay. An empty table gives no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, shift = shared.value
@@ -197,14 +284,21 @@ def held_out():
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of documents; rows without text get the score of an empty text."""
+    """doc_id, held_out, score, predicted, swapped_pairs for each row of documents.
+
+    Rows without text get the score of an empty text; repeated rows are scored each, a null doc_id is not held out. Empty
+    tables give no rows. swapped_pairs: the pairs of the fit's counterfactual term.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights, bias = learn(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return scored(docs, weights, bias).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    model = learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.lit(model.pairs).cast("long").alias("swapped_pairs"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject (score < 0.5), with all their columns."""
-    weights, bias = learn(docs, labels, ~held_out())
+    """The rows of docs that the classifier does not reject (score < 0.5), with all their columns, whatever their names.
+
+    Rows without text get the score of an empty text; repeated rows and null doc_ids are scored like others. Without labels nothing goes.
+    """
+    model = learn(docs, labels, ~held_out())
     out = next(c for c in ("toxicity", *(f"toxicity_{i}" for i in range(len(docs.columns)))) if c not in docs.columns)
-    return scored(docs, weights, bias, out).where(F.col(out) < 0.5).drop(out)
+    return scored(docs, model, out).where(F.col(out) < 0.5).drop(out)
