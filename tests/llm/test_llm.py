@@ -88,10 +88,11 @@ def test_counterfactual_penalty_lowers_the_gap():
     labels = np.array([int("vile" in t) for t in texts])
     rows = toxicity.features_of(texts)
     changes = [(np.setdiff1d(f, row), np.setdiff1d(row, f)) for t, row in zip(texts, rows) for f in toxicity.features_of(toxicity.swaps(t))]
+    gains, losses = (toxicity.flat_lists([c[k] for c in changes]) for k in (0, 1))
     probe = toxicity.features_of(["one muslim here", "one zzz here"])
     gaps = []
     for weight in (0.0, 20.0):
-        w, _ = toxicity.fit(rows, labels, changes, toxicity.Settings(counterfactual=weight, least=1))
+        w = toxicity.fit(toxicity.flat_lists(rows), labels, gains, losses, toxicity.Settings(counterfactual=weight, least=1)).weights
         gaps.append(abs(float(w[probe[0]].sum() - w[probe[1]].sum())))
     assert gaps[1] < gaps[0]
 
@@ -105,8 +106,20 @@ def test_toxicity_edges_and_accuracy(spark):
     assert kept.columns == d.columns
     left = {x["doc_id"] for x in kept.collect()}
     assert not {i for i in range(8, 400, 4)} & left and {i for i in range(9, 400) if i % 4} <= left
-    weights, bias = toxicity.learn(d, labels.limit(0), toxicity.held_out())
-    assert toxicity.scored(d, weights, bias, "s").where("s >= 0 and s <= 1").count() == len(rows) + len(EDGE)
+    model = toxicity.learn(d, labels.limit(0), toxicity.held_out())
+    assert toxicity.scored(d, model, "s").where("s >= 0 and s <= 1").count() == len(rows) + len(EDGE)
+
+
+def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark):
+    hot = [(1, f"text {i} frau") for i in range(300)] + [(1, "text 0 frau")] * 50 + [(2, None), (3, "x " * 600)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int, toxic int")
+    rows = lambda **x: toxicity.sampled(docs(spark, hot), labels, toxicity.F.lit(True), toxicity.Settings(**x)).count()
+    assert (rows(), rows(sample=10)) == (302, 10)
+    assert rows(sample_bytes=1200) < 120 and rows(sample_bytes=0) <= 1
+    model = toxicity.learn(docs(spark, hot), labels, toxicity.F.lit(True))
+    assert (model.rows, model.pairs) == (302, 300)
+    again = toxicity.learn(docs(spark, hot[::-1]), labels, toxicity.F.lit(True))
+    assert again.bias == model.bias and (again.weights == model.weights).all()
 
 
 # 3 ---------------------------------------------------------------------------------------------
@@ -281,26 +294,56 @@ def test_lm_base_and_model(spark):
     assert lm.adaptive(d).where("score < 0").count() == len(rows)
 
 
-def test_ppm_is_a_distribution():
-    texts = ["abracadabra", "abc", "", "bra bra"]
-    grams = np.concatenate([lm.quads(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts])
-    model = lm.Ppm(*np.unique(grams, return_counts=True))
-    for context in (b"abr", b"xyz", b"zab", b"\xfe\xfe\xfe", b"rab"):
-        every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint32)
-        p = 10 ** model.logs(every)
-        assert p.sum() == pytest.approx(1) and np.allclose(model.logs(every), model.backed_off(every))
-    assert lm.Ppm(np.zeros(0, np.uint32), np.zeros(0, np.int64)).logs(np.array([5], np.uint32))[0] == pytest.approx(-np.log10(256))
-
-
-def test_ppm_by_hand():
-    # training text "ab": after the start and "a" comes "b"; an unseen symbol escapes through all orders
-    g, n = np.unique(lm.quads(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))[0], return_counts=True)
-    model = lm.Ppm(g, n)
-    key = lambda s: np.array([int.from_bytes(b"\xfe\xfea" + s, "big")], np.uint32)
-    assert 10 ** model.logs(key(b"b"))[0] == pytest.approx(1 / 2)
-    # escape 1/2; orders 2 and 1 hold nothing new; order 0 has "a" and the end left: two counts, two symbols
-    assert 10 ** model.logs(key(b"a"))[0] == pytest.approx(1 / 2 * 1 / 4)
-    assert 10 ** model.logs(key(b"q"))[0] == pytest.approx(1 / 2 * 2 / 4 / 253)
+def ppm(training, order):
+    """A function of (context, symbol): log10 by counts of every context, escapes by method C and exclusion."""
+    trie = collections.defaultdict(collections.Counter)
+    for t in training:
+        seq = b"\xfe" * order + lower(t).encode() + b"\xff"
+        for i in range(order, len(seq)):
+            for k in range(order + 1):
+                trie[seq[i - k : i]][seq[i]] += 1
+
+    def log10(context, s):
+        total, out = 0.0, set()
+        for k in range(order, -1, -1):
+            left = {x: n for x, n in trie.get(context[len(context) - k :], {}).items() if x not in out}
+            if not left:
+                continue
+            n = sum(left.values()) + len(left)
+            if s in left:
+                return total + np.log10(left[s] / n)
+            total += np.log10(len(left) / n)
+            out |= left.keys()
+        return total - np.log10(256 - len(out))
+
+    return log10
+
+
+@pytest.mark.parametrize("order,common_runs", [(5, 1 << 20), (5, 40), (4, 0), (3, 3)])
+def test_ppm_equals_brute_force(spark, order, common_runs):
+    r = random.Random(16)
+    rows = [(i, " ".join(r.choice(("abra", "cada", "Bra", "é", "xyz")) for _ in range(r.randint(0, 9)))) for i in range(40)] + [(9, "quite other text"), (2, "\x00?"), (16, "Abra new"), (None, "abra"), (3, None), (4, "")]
+    held = lm.F.coalesce(lm.F.pmod("doc_id", lm.F.lit(7)) == 2, lm.F.lit(False))
+    model = ppm([t for i, t in rows if i is None or i % 7 != 2], order)
+
+    def brute(t):
+        seq = b"\xfe" * order + lower(t).encode() + b"\xff"
+        return sum(model(seq[i - order : i], seq[i]) for i in range(order, len(seq)))
+
+    got = lm.score(docs(spark, rows), held, order=order, common=2, common_runs=common_runs).collect()
+    assert sorted((str(x["doc_id"]), round(x["score"], 6)) for x in got) == sorted((str(i), round(brute(t), 6)) for i, t in rows)
+    for context in (b"\xfe" * order, b"abra "[-order:], b"zzzzz"[:order]):
+        assert sum(10 ** model(context, s) for s in range(256)) == pytest.approx(1)
+    untaught = lm.score(docs(spark, rows), lm.F.lit(True), order=order).collect()
+    assert all(x["score"] == pytest.approx(-np.log10(256) * (len((lower(dict(rows)[x["doc_id"]])).encode()) + 1)) for x in untaught if x["doc_id"] == 20)
+
+
+def test_lookup():
+    keys = np.random.default_rng(1).integers(0, 1 << 48, 5000).astype(np.uint64)
+    keys = np.unique(keys)
+    got, known = lm.Lookup(keys[::2], np.arange(len(keys[::2])) + 1.0).get(keys)
+    assert known.tolist() == [k % 2 == 0 for k in range(len(keys))] and got[::2].tolist() == [k + 1.0 for k in range(len(keys[::2]))] and not got[1::2].any()
+    assert not lm.Lookup(keys[:0], np.zeros(0)).get(keys)[1].any()
 
 
 # 8 ---------------------------------------------------------------------------------------------
