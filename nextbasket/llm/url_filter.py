@@ -3,11 +3,13 @@
 Level 1 encodes the listed keys; level 2 the unlisted keys of the universe that level 1 lets through; level 3 the
 listed keys that level 2 lets through, and so on until a level has no false positives. A key of the universe is
 listed if the number of levels that it passes before its first miss is odd. All of it is DataFrame expressions:
-a level is a few kilobytes of bits inside the plan, so that judging a key needs no join.
+a level is a string of bits inside the plan, so that judging a key needs no join. Keys are dealt by a hash into parts with a
+cascade each, as many as keep a plan small, and each part is one narrow pass over the rows; so lists may be of any size.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -18,8 +20,8 @@ from .common import LOWER, UPPER, ascii_lower, saved, table
 
 #: Bits of a block of bitmap_construct_agg.
 BLOCK = 32768
-#: Largest filter that may go into a plan, in bytes. A list beyond it is looked up by a semi-join.
-MAX_FILTER_BYTES = 8 << 20
+#: Wanted size of the first filter of a part, in bytes.
+FILTER_BYTES = 8 << 20
 
 
 def key_hash(key, salt: int):
@@ -37,16 +39,16 @@ class Bloom:
 
     @staticmethod
     def positions(key, m: int, k: int, salt: int):
-        """Double hashing: k positions from two 64-bit hashes."""
+        """Double hashing: an array of k positions from two 64-bit hashes."""
         a, b = F.pmod(key_hash(key, salt), F.lit(m)), F.pmod(key_hash(key, salt + 1), F.lit(m))
-        return [F.pmod(a + F.lit(i) * b, F.lit(m)) if i else a for i in range(k)]
+        return F.transform(F.array(*map(F.lit, range(k))), lambda i: F.pmod(a + i * b, F.lit(m)))
 
     @classmethod
     def build(cls, keys: DataFrame, n: int, p: float, salt: int) -> Bloom:
         """keys: one column named key, of n rows; p: the wanted share of false positives."""
         m = max(64, math.ceil(-max(n, 1) * math.log(p) / math.log(2) ** 2))
         k = max(1, min(16, round(m / max(n, 1) * math.log(2))))
-        at = F.explode(F.array_distinct(F.array(*cls.positions(F.col("key"), m, k, salt))))
+        at = F.explode(F.array_distinct(cls.positions(F.col("key"), m, k, salt)))
         rows = (
             keys.select(at.alias("at"))
             .groupBy(F.bitmap_bucket_number("at").alias("block"))
@@ -60,14 +62,14 @@ class Bloom:
         return cls(bytes(out), m, k, salt)
 
     def might_contain(self, key):
-        """Null for a null key."""
-        seen = None
-        for at in self.positions(key, self.m, self.k, self.salt):
+        """The bits are in the expression once. A null key seems to be contained."""
+
+        def hit(at):
             block, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
             byte = F.substring(F.lit(self.bits), (block * F.lit(BLOCK // 8) + F.shiftright(bit, 3) + F.lit(1)).cast("int"), F.lit(1))
-            hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(bit, F.lit(8)).cast("int")) == 1
-            seen = hit if seen is None else seen & hit
-        return seen
+            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(bit, F.lit(8)).cast("int")) == 1
+
+        return F.forall(self.positions(key, self.m, self.k, self.salt), hit)
 
 
 @dataclass(frozen=True)
@@ -75,21 +77,12 @@ class Cascade:
     levels: tuple[Bloom, ...]
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> Cascade | None:
-        """listed, universe: a column key each; null keys and listed keys outside the universe have no effect.
-
-        None if level 1 would be larger than max_filter_bytes: then use a semi-join. An empty list gives no level.
-        """
-        every = saved(universe.select("key").where("key is not null").distinct())
-        ins = saved(listed.select("key").where("key is not null").distinct().join(every, "key", "left_semi"))
-        r, s = ins.count(), every.count()
+    def build(cls, ins: DataFrame, other: DataFrame, r: int, s: int) -> Cascade:
+        """ins, other: the r listed and the other keys of a universe of s keys, a column key each. An empty list gives no level."""
         if not r:
             return cls(())
-        outs, other, levels = ins, every.join(ins, "key", "left_anti"), []
-        # level 1 lets about 0.7 r unlisted keys through, so that the levels shrink by half each
-        n, p = r, min(0.5, math.sqrt(0.5) * r / max(1, s - r))
-        if -r * math.log(p) / math.log(2) ** 2 / 8 > max_filter_bytes:
-            return None
+        outs, levels = ins, []
+        n, p = r, first_share(r, s)
         while n:
             level = Bloom.build(outs, n, p, 2 * len(levels) + 1)
             levels.append(level)
@@ -98,21 +91,50 @@ class Cascade:
         return cls(tuple(levels))
 
     def contains(self, key):
-        """Exact for keys of the universe; false for null."""
+        """Exact for keys of the universe."""
         out = F.lit(False)
         for i, level in reversed(list(enumerate(self.levels))):
             deeper = out if i + 1 < len(self.levels) else F.lit(i % 2 == 0)
             out = F.when(level.might_contain(key), deeper).otherwise(F.lit(i % 2 == 1))
-        return F.coalesce(out, F.lit(False)) if self.levels else out
+        return out
+
+
+def first_share(r: int, s: int) -> float:
+    """The wanted share of false positives of level 1: about 0.7 r unlisted keys come through, so that the levels shrink by half each."""
+    return min(0.5, math.sqrt(0.5) * r / max(1, s - r))
+
+
+def hits(df: DataFrame, keys: str, out: str, listed: DataFrame, universe: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """df with an array column out: those of the array column keys that are listed. listed, universe: a column key each; universe holds all of keys.
+
+    Null keys, and listed keys outside the universe, have no effect. Each part of the keys is one pass over df, which is written between two of them.
+    """
+    every = saved(universe.select("key").where("key is not null").distinct())
+    ins = saved(listed.select("key").where("key is not null").distinct().join(every, "key", "left_semi"))
+    other = every.join(ins, "key", "left_anti")
+    r, s = ins.count(), every.count()
+    parts = max(1, math.ceil(-r * math.log(first_share(r, s)) / math.log(2) ** 2 / 8 / filter_bytes)) if r else 1
+    if parts > 1:
+        other = saved(other)
+    part = lambda k: F.pmod(key_hash(k, 0), F.lit(parts))
+    df = df.withColumn(out, F.array().cast("array<string>"))
+    for i in range(parts):
+        mine = part(F.col("key")) == i
+        ours = ins.where(mine), other.where(mine)
+        n = r if parts == 1 else ours[0].count()
+        cascade = Cascade.build(*ours, n, s if parts == 1 else n + ours[1].count())
+        own = F.filter(keys, lambda k: k.isNotNull() & (part(k) == i) & cascade.contains(k))  # noqa: B023
+        df = df.withColumn(out, F.concat(out, own))
+        if i + 1 < parts:
+            df = saved(df)
+    return df
 
 
 def member(df: DataFrame, key: str, listed: DataFrame, out: str, **limits: int) -> DataFrame:
-    """df with a boolean column out: whether key is listed. The universe is df's own keys."""
-    cascade = Cascade.build(listed, df.select(F.col(key).alias("key")), **limits)
-    if cascade is not None:
-        return df.withColumn(out, cascade.contains(F.col(key)))
-    marks = listed.select(F.col("key").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(out, F.lit(True))
-    return df.join(marks, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    """df with a boolean column out: whether key, a string, is listed (false for null). The universe is df's own keys."""
+    names = [n for n in (f"_{k}" for k in range(len(df.columns) + 2)) if n not in df.columns]
+    found = hits(df.withColumn(names[0], F.array(key)), names[0], names[1], listed, df.select(F.col(key).alias("key")), **limits)
+    return found.withColumn(out, F.size(names[1]) > 0).drop(*names[:2])
 
 
 def split_url(url):
@@ -129,47 +151,34 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", **limits:
     the longest host + path wins. A page's keys are the pairs of a host suffix and a path prefix whose shape (labels of
     the host, length of the path) some rule has, so their number depends on the rules alone. One cascade finds which keys
     are rules, a second which rules block; both are exact over all keys of pages. Nulls: a null url has an empty
-    host and path; a rule with a null host is none, a null path is ''. Repeated rows stay. Without a rule that fits:
-    rule null, verdict = default. Two equal rules of different verdicts: block wins. Other columns of pages are dropped.
+    host and path, a null page_id stays; a rule with a null host is none, a null path is ''. Repeated rows stay. Without a rule
+    that fits: rule null, verdict = default. Two equal rules of different verdicts: block wins. Other columns of pages are
+    dropped. Empty tables give no rows, or no rules.
     """
     rules = rules.where("host is not null").select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     rules = rules.withColumns({"key": F.concat("host", F.lit("\n"), "path"), "labels": F.size(F.split("host", r"\.")), "chars": F.length("path")})
-    shapes = rules.select("labels", "chars").distinct().orderBy("labels", "chars").limit(10_001).collect()
-    if len(shapes) > 10_000:
-        raise ValueError("rules of more than 10,000 shapes")
+    # a row for each number of labels, of which a host has 127 at most; in it the lengths of paths
+    shapes = [{"labels": r[0], "chars": r[1]} for r in rules.groupBy("labels").agg(F.array_sort(F.collect_set("chars"))).orderBy("labels").collect()]
+    shape = F.from_json(F.lit(json.dumps(shapes)), "array<struct<labels:int,chars:array<int>>>")
     host, path = split_url(F.col("url"))
-    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
-    keys = [
-        F.when(
-            (F.size("label") >= labels) & (F.length("path") >= chars) & (F.col("host") != ""),
-            F.concat(F.array_join(F.slice("label", F.size("label") - (labels - 1), labels), "."), F.lit("\n"), F.substring("path", 1, chars)),
-        )
-        for labels, chars in shapes
-    ]
-    keyed = urls.withColumn("label", F.split("host", r"\.")).withColumn("keys", F.array_distinct(F.array_compact(F.array(*keys))) if keys else F.array().cast("array<string>")).drop("label")
-    universe = keyed.select(F.explode("keys").alias("key")).distinct()
-    is_rule = Cascade.build(rules.select("key"), universe, **limits)
-    if is_rule is None:  # beyond the size that a plan may hold
-        found = keyed.select("page_id", "host", "path", F.explode_outer("keys").alias("key")).join(rules.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("blocks")), "key", "left")
-        best = F.max(F.when(F.col("blocks").isNotNull(), F.struct(F.length("key").alias("n"), "key", "blocks")))
-        out = found.groupBy("page_id", "host", "path").agg(best.alias("best"))
-        out = keyed.select("page_id", "host", "path").join(out, ["page_id", "host", "path"], "left")
-        blocks = F.col("best.blocks")
-        key = F.col("best.key")
-    else:
-        fits = F.filter("keys", is_rule.contains)
-        ranked = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
-        out = keyed.withColumn("best", ranked)
-        blocking = Cascade.build(rules.where("verdict = 'block'").select("key"), rules.select("key"), **limits)
-        if blocking is None:
-            raise ValueError("the blocking rules need a larger max_filter_bytes")
-        blocks, key = F.when(F.col("best").isNotNull(), blocking.contains(F.col("best.key"))), F.col("best.key")
-    return out.select(
+    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path")).withColumn("label", F.split("host", r"\."))
+
+    def of(s):
+        end = F.concat(F.array_join(F.slice("label", F.size("label") - (s["labels"] - 1), s["labels"]), "."), F.lit("\n"))
+        return F.transform(F.filter(s["chars"], lambda c: c <= F.length("path")), lambda c: F.concat(end, F.substring(F.col("path"), F.lit(1), c)))
+
+    keys = F.flatten(F.transform(F.filter(shape, lambda s: (s["labels"] <= F.size("label")) & (F.col("host") != "")), of))
+    keyed = urls.withColumn("keys", keys).drop("label")
+    found = hits(keyed, "keys", "fits", rules.select("key"), keyed.select(F.explode("keys").alias("key")), **limits)
+    best = F.array_max(F.transform("fits", lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
+    found = hits(found.select("page_id", "host", "path", F.array(best).alias("best")), "best", "blocks", rules.where("verdict = 'block'").select("key"), rules.select("key"), **limits)
+    key = F.get("best", F.lit(0))
+    return found.select(
         "page_id",
         "host",
         "path",
         F.regexp_replace(key, "\n", "").alias("rule"),
-        F.when(blocks.isNull(), F.lit(default)).when(blocks, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
+        F.when(key.isNull(), F.lit(default)).when(F.size("blocks") > 0, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
     )
 
 
