@@ -126,22 +126,29 @@ def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark):
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).selectExpr("cast(id as string) as key")
     listed = spark.range(600).selectExpr("cast(id * 7 as string) as key").union(spark.sql("select cast(null as string)"))
-    cascade = url_filter.Cascade.build(listed, universe)
-    got = {r["key"] for r in universe.where(cascade.contains(url_filter.F.col("key"))).collect()}
-    assert got == {str(7 * i) for i in range(600)} and len(cascade.levels) > 1
-    assert url_filter.Cascade.build(listed, universe, max_filter_bytes=10) is None
-    assert url_filter.member(universe, "key", listed, "hit", max_filter_bytes=10).where("hit").count() == 600
+    for limits in ({}, {"filter_bytes": 40}):  # one part and several
+        d = universe.selectExpr("key", "key as _0", "array(key, key) as fits").union(spark.sql("select cast(null as string), '', array(cast(null as string))"))
+        got = [r["key"] for r in url_filter.member(d, "key", listed, "hit", **limits).where("hit").collect()]
+        assert sorted(got) == sorted(str(7 * i) for i in range(600))
     assert url_filter.member(universe, "key", listed.limit(0), "hit").where("hit").count() == 0
+    ins = listed.where("key is not null")
+    assert len(url_filter.Cascade.build(ins, universe.join(ins, "key", "left_anti"), 600, 5000).levels) > 1
 
 
 def test_rules(spark):
     urls = ["http://a.example.org/es/1", "http://EXAMPLE.org/en/17?x", "https://x.com/de/", "x.com/de/", None, "http://", "ftp://ex.org", "http://notexample.org/es/", "http://b.com/fr/#z", "http://c.net/a"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
-    for limits in ({}, {"max_filter_bytes": 1}):
-        got = [(r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, **limits).orderBy("page_id").collect()]
+    pages = pages.union(spark.sql("select cast(null as bigint), 'http://x.com/de/1', cast(null as string)"))
+    for limits in ({}, {"filter_bytes": 1}):
+        nulls = [(r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, **limits).where("page_id is null").collect()]
+        assert nulls == [("com/de/", "block")]
+        got = [(r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, **limits).where("page_id is not null").orderBy("page_id").collect()]
         assert got == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/de/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("org/", "allow"), ("com/fr/", "allow"), (None, "allow"), ("example.org/es/", "block")]
-    assert url_filter.judge(pages, rules.limit(0)).where("verdict = 'allow'").count() == 11
+    assert url_filter.judge(pages, rules.limit(0)).where("verdict = 'allow'").count() == 12
+    many = spark.createDataFrame([(".".join(["a"] * (1 + k % 60)), "/" + "b" * (k // 60), "block") for k in range(12_000)], "host string, path string, verdict string")
+    deep = spark.createDataFrame([(1, "http://x.a.a.a/bbb"), (2, "http://a.b/")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge(deep, many).collect()} == {1: "a.a.a/bbb", 2: None}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
@@ -162,11 +169,16 @@ def test_secrets(spark):
     got = secrets.scan(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     byid = {x["doc_id"]: x for x in got}
+    ratio = ratio_of([(x["value"], x["secret"]) for x in secrets.labelled_samples(spark).collect()])
     for i, t in rows:
         base = base_spans(t or "")
         x = byid[i]
         assert x["base_sha256"] == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, b, n in base).encode()).hexdigest()
         assert {f"{n}:{a}:{b}" for a, _, b, n in base} <= {*x["spans"].split(","), ""}
+        tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.PATTERNS["markov"], t or "")]
+        free = [x for x in tokens if not any(a < x[1] and x[0] < b for a, _, b, _ in base)]
+        want = sorted(base + [(a, 3, b, "markov") for a, b, v in free if ratio(v) > np.log(1000)])
+        assert (x["spans"], x["n_markov"]) == (",".join(f"{n}:{a}:{b}" for a, _, b, n in want), sum(w[3] == "markov" for w in want))
     samples = spark.createDataFrame([(h, True) for h in hexes[:40]] + [(w, False) for w in ("internationalisation", "someverylongidentifier", "configurationmanager", "documentbuilderfactory")] + [(None, True)], "value string, secret boolean")
     byid = {x["doc_id"]: x for x in secrets.scan(docs(spark, rows), samples).collect()}
     assert byid[100 + len(texts) - 1]["spans"] == "markov:4:35" and byid[140]["n_markov"] == 0
@@ -174,6 +186,33 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def ratio_of(samples):
+    """The log-likelihood ratio of a token, by plain counts."""
+    state = lambda c: secrets.SYMBOLS.find(c) + 1
+    counts = {kind: collections.Counter() for kind in (True, False)}
+    for v, kind in samples:
+        counts[kind].update(zip([0, *map(state, v)], map(state, v)))
+    sums = {kind: collections.Counter() for kind in counts}
+    for kind, c in counts.items():
+        for (a, _), n in c.items():
+            sums[kind][a] += n
+    p = lambda kind, a, b: (counts[kind][a, b] + secrets.ADDED) / (sums[kind][a] + secrets.ADDED * secrets.STATES)
+    return lambda v: sum(np.log(p(True, a, b)) - np.log(p(False, a, b)) for a, b in zip([0, *map(state, v)], map(state, v)))
+
+
+def test_random_tokens_are_told_from_identifiers_not_seen_in_training(spark):
+    r = random.Random(17)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    bad = ["".join(r.choice(alphabets[k % 3]) for _ in range(r.choice((20, 32, 40)))) for k in range(90)]
+    good = """retrievePaymentMethods computeTotalWithDiscount organization_billing_address should_display_notification
+    CONFIGURATION_FILE_NAME header-logo-container var/lib/postgresql/data images/gallery/summer/beach compartmentalization
+    Wirtschaftswissenschaften anticonstitutionnellement electroencefalografista Grundstuecksverkehrsgenehmigung
+    UnsupportedOperationException acknowledgement_deadline report-2017-quarterly-earnings thoughtfully-designed-interface""".split()
+    rows = [(k, f"see {t} here") for k, t in enumerate(bad + good)]
+    found = {x["doc_id"] for x in secrets.scan(docs(spark, rows)).where("n_markov = 1").collect()}
+    assert len(found & set(range(90))) >= 85 and not found & set(range(90, len(rows)))
+
+
 # 5 ---------------------------------------------------------------------------------------------
 def test_warc_salvage():
     recs = [warc.write_record({"WARC-Type": "resource", "WARC-Target-URI": f"u{i}"}, b"x" * 10 * i) for i in range(5)]
