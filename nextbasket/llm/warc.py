@@ -93,20 +93,27 @@ def one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What can be inflated of the gzip member at this place, its end, and the check that failed (the end is not known then)."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        return inflated(memoryview(data)[at:]), at, "broken member" + (", wrong checksum" if "incorrect" in str(e) and "check" in str(e) and "header" not in str(e) else "")
-    return out, len(data) - len(z.unused_data), "" if z.eof else "truncated member"
-
-
-def inflated(data: memoryview, steps: tuple[int, ...] = (1 << 16, 256, 1)) -> bytes:
-    """The bytes before the first error of a broken member."""
-    z, at, out = zlib.decompressobj(31), 0, []
-    for step in steps:
+def member(data: bytes, at: int, block: int = 1 << 16) -> tuple[bytes, int, str]:
+    """What can be inflated of the gzip member at this place, its end, and the check that failed (the end is not known then).
+
+    Bytes are fed block by block, so a member costs its own length, not that of what follows.
+    """
+    z, out, view, p = zlib.decompressobj(31), [], memoryview(data), at
+    while p < len(data) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[p : p + block]))
+        except zlib.error as e:
+            wrong = "incorrect" in str(e) and "check" in str(e) and "header" not in str(e)
+            return b"".join(out) + before_error(before, view[p : p + block]), at, "broken member" + (", wrong checksum" if wrong else "")
+        p += block
+    return b"".join(out), min(p, len(data)) - len(z.unused_data), "" if z.eof else "truncated member"
+
+
+def before_error(z, data: memoryview) -> bytes:
+    """The bytes that z gives of these, up to the first error."""
+    at, out = 0, []
+    for step in (256, 1):
         while at < len(data):
             before = z.copy()
             try:
@@ -203,7 +210,7 @@ def write(pages: DataFrame, segment_bytes: int = 1 << 20, salts: int = 32) -> Da
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html")).withColumn("sha1", F.sha1("html"))
     first = rows.groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url")).where("n > 1").drop("n")
     first = saved(first).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     dealt = rows.withColumn("salt", salt).join(first, ["sha1", "salt"], "left").select("page_id", "url", "html", "first", "first_url")
 
     def record(page: int | None, url: str, html: bytes, first: int | None, first_url: str | None) -> bytes:

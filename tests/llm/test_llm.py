@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -249,6 +250,16 @@ def test_warc_salvage_inside_members():
     assert len(got.records) > 10 and [x.block for x in got.records[:10]] == blocks[:10] and got.records[-1].block == b"z" and got.gaps == [(0, len(one), "broken member")]
 
 
+def test_warc_reader_is_linear():
+    one = [warc.write_record({"WARC-Target-URI": f"u{i}"}, os.urandom(3000)) for i in range(200)]
+    whole = one[0] * 8000  # 25 MB
+    began = time.time()
+    assert len(warc.read(whole).records) == 8000 and time.time() - began < 10
+    assert [x.fields["warc-target-uri"] for x in warc.read(b"".join(one)).records] == [f"u{i}" for i in range(200)]
+    big = warc.write_record({"WARC-Target-URI": "big"}, os.urandom(1 << 20))
+    assert [len(x.block) for x in warc.read(big + one[0]).records] == [1 << 20, 3000]
+
+
 def test_warc_round_trip(spark):
     pages = [(5, "http://a/", "same"), (3, None, "same"), (9, "u\r\nv", "same"), (4, "u", None), (7, "u", ""), (None, "u", "other"), (8, "u", "é" * 5000), (3, "u", "same")]
     d = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, record_type string")
