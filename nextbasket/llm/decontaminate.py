@@ -21,12 +21,23 @@ IN_NAME = r"(?:\s\x01|['’-](?=\p{Lu}\p{Ll}))(?<=\x01[\p{L}\p{N}'’-]{1,99}(?:
 #: Separators between two digits belong to a number.
 NOT_TOKEN = r"(?:[^\p{L}\p{N}\x01\x02.,:/'’]|[.,:/'’](?!(?<=[0-9].)[0-9]))+"
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "miles", "mg", "g", "kg", "lb", "tons", "ml", "l", "liters", "litres", "ms", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "percent", "usd", "eur", "dollars", "euros", "cents", "kmh", "mph", "degrees")
+#: Number words of the corpus's languages, from two on (one is an article in most).
+NUMBERS = tuple("""
+two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve
+veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze seize vingt trente quarante cinquante soixante cent mille
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
+""".split())
 WIDTH = 8
 
 
 def spelled(text):
     """Words in lower case, without punctuation, one space apart; names begin with MARK. A number with its separators is one word, and so is a name of several, with JOIN between them."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), NAME, MARK), IN_NAME, JOIN)
+    plain = F.translate(F.coalesce(text, F.lit("")), MARK + JOIN, "  ")
+    marked = F.regexp_replace(F.regexp_replace(plain, NAME, MARK), IN_NAME, JOIN)
     return F.trim(F.lower(F.regexp_replace(marked, NOT_TOKEN, " ")))
 
 
@@ -41,7 +52,7 @@ def formed(df: DataFrame, keep: list[str], form: str) -> DataFrame:
 
 
 def is_number(x):
-    return F.ascii(x).between(48, 57)
+    return F.ascii(x).between(48, 57) | x.isin(*NUMBERS)
 
 
 def template(x, before):
@@ -120,15 +131,21 @@ def _slot(x, before):
     return F.coalesce((F.ascii(x) == 1) | is_number(x) | (x.isin(*UNITS) & is_number(before)), F.lit(False))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def size_of(items: DataFrame) -> int:
+    """Bytes that the rows take in memory, from above: strings with their heads, slots and numbers."""
+    row = 200 + 32 * F.size("item_slice") + F.octet_length(F.array_join("item_slice", ""))
+    return items.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]  # one row
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, text_hash, item_id, doc_at, item_at, covered, item_tokens, slots, kind: the best diagonal of each document and item.
 
-    A hit covers `least` tokens, or `share` of a shorter item. kind is verbatim or reparameterised; hits whose slots are
-    replaced inconsistently are left out. Items whose windows cover less, as they are short or made mainly of placeholders, are
+    A hit covers `least` tokens, or `share` of a shorter item. kind: verbatim (`share` of the item at least, with its values), partial (less of it,
+    with its values) or reparameterised; hits whose slots are replaced inconsistently are left out. Items whose windows cover less, as they are short or made mainly of placeholders, are
     found where they stand whole, by one key each: short ones by their template, those made mainly of placeholders and longer ones
-    verbatim. An item without any token is never found. The windows of the benchmark go to the tasks where they are at most broadcast_rows, which is counted; otherwise both sides shuffle.
+    verbatim. An item without any token is never found. The windows of the benchmark go to the tasks where they take at most broadcast_bytes, which are summed; otherwise both sides shuffle.
     Nulls: null texts have no window, null ids stay. Repeated rows of documents each give a row, repeated items each count.
-    Empty tables give no rows. Other columns are dropped.
+    Empty tables give no rows. Other columns, whatever their names, are dropped.
     """
     items = item_windows(benchmark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
@@ -137,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     known = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("form").alias("_form"), "token").dropDuplicates(["_id", "_hash", "_form"])
     same_text = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("form") == F.col("_form"))
     part = F.slice("token", F.col("doc_at") + 1, WIDTH).alias("doc_slice")
-    if items.count() <= broadcast_rows:
+    if size_of(items) <= broadcast_bytes:
         each = windows(texts).select("doc_id", "text_hash", "row", "form", "token", F.posexplode_outer("hash").alias("doc_at", "hash"))
         hits = each.join(F.broadcast(items), "hash").select("doc_id", "text_hash", "row", "form", "doc_at", *item, part)
     else:  # windows shuffle without their texts; those of hits come by a second join
@@ -155,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     kinds = sorted(tuple(r) for r in whole.select("width", "raw").distinct().collect())  # WIDTH + 7 at most
     if kinds:
         each = texts.select("doc_id", "text_hash", "row", "form", "token", F.explode_outer(F.flatten(F.array(*(_keys(*kind) for kind in kinds)))).alias("key")).select("doc_id", "text_hash", "row", "form", "token", "key.*")
-        if whole.count() <= broadcast_rows:
+        if size_of(whole) <= broadcast_bytes:
             each = each.join(F.broadcast(whole), "hash")
         else:
             each = each.drop("token").join(whole, "hash").join(known, same_text)
@@ -166,13 +183,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     found = found.where((F.col("covered") >= F.least(F.lit(least), F.ceil(F.col("item_tokens") * share))) & (distinct == F.size("pairs")))
     best = F.row_number().over(Window.partitionBy("row", "item_row").orderBy(F.desc("covered"), "diagonal", "form", "item_form"))
     same = F.forall("pairs", lambda x: x["item"] == x["doc"])
-    return found.withColumn("best", best).where("best = 1").select("doc_id", "text_hash", "item_id", "doc_at", "item_at", "covered", "item_tokens", F.size("pairs").alias("slots"), F.when(same, "verbatim").otherwise("reparameterised").alias("kind"))
+    return found.withColumn("best", best).where("best = 1").select("doc_id", "text_hash", "item_id", "doc_at", "item_at", "covered", "item_tokens", F.size("pairs").alias("slots"), F.when(~same, "reparameterised").when(F.col("covered") < F.col("item_tokens") * share, "partial").otherwise("verbatim").alias("kind"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
-    bad = leaks(docs, benchmark, **limits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    """The rows of docs, with all their columns, that hold no benchmark item. Null texts and ids stay; of rows that repeat a doc_id each is judged by its own text."""
+    i, h = [n for n in (f"_{k}" for k in range(len(docs.columns) + 2)) if n not in docs.columns][:2]
+    bad = leaks(docs, benchmark, **limits).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

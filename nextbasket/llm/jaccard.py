@@ -394,8 +394,9 @@ def near_duplicates(docs: DataFrame, **settings: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **settings: int) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is their component's smallest; of rows that repeat it (or have none) each stays."""
-    found = near_duplicates(docs, **settings).where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
+    name = next(n for n in (f"_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    found = near_duplicates(docs, **settings).where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

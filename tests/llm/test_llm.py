@@ -407,7 +407,7 @@ def test_decontamination(spark):
     ]
     d = docs(spark, rows + EDGE)
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaks(d, bench).collect()) == [(10, 1, "reparameterised"), (12, 1, "verbatim")]
-    assert decontaminate.leaks(d, bench, broadcast_rows=0).count() == 2
+    assert decontaminate.leaks(d, bench, broadcast_bytes=0).count() == 2
     kept = decontaminate.drop_leaked(d, bench)
     assert kept.columns == d.columns and kept.count() == len(rows) + len(EDGE) - 2
     assert decontaminate.leaks(d.limit(0), bench).count() == 0 and decontaminate.leaks(d, bench.limit(0)).count() == 0
@@ -427,13 +427,25 @@ def test_decontamination_of_values_of_other_widths(spark):
     assert one.split(" ") == ["he", "paid", "1,200.50", "then", "3", "then", "4", "for", "the", "\x01mary\x02ann", "\x01bob"]
 
 
+def test_decontamination_of_number_words_and_clashing_names(spark):
+    item = "a shop sells twelve boxes of pens on monday and five more on each day of the week, so how many are there left"
+    bench = spark.createDataFrame([(1, item, 0, 0)], "item_id long, text string, _id long, hash int")
+    rows = [(1, "x " + item.replace("twelve", "ninety").replace("five", "forty")), (2, item), (3, " ".join(item.split()[8:])), (4, "\x01" + item.replace("pens", "\x02pens\x01 "))]
+    d = docs(spark, rows).selectExpr("*", "1 as _id", "2 as _hash", "3 as _0", "4 as row", "5 as form")
+    assert {r["doc_id"]: r["kind"] for r in decontaminate.leaks(d, bench).collect()} == {1: "reparameterised", 2: "verbatim", 3: "partial", 4: "verbatim"}
+    kept = decontaminate.drop_leaked(d, bench)
+    assert kept.columns == d.columns and kept.count() == 0
+    near = jaccard.one_of_each(d.union(d))
+    assert near.columns == d.columns and near.count() == 8 - 2 * (len(rows) - near.select("doc_id").distinct().count())
+
+
 def test_decontamination_of_items_without_windows(spark):
     items = {1: "What is 12 times 7 plus 30?", 2: "Add 12 34 56 78 90 11 and 13 14 15 16", 3: "12 7", 4: "...", 5: None, 6: "one two three four five six seven eight 1 2 3 4 5 6 7 8 9 10 11 12"}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     rows = [(10 + k, f"so {t}, yes") for k, t in items.items() if t] + [(20, "what is 3.5 times 9 plus 1?"), (21, "add 12 34 56 78 90 11 and 13 14 15 17"), (22, "12 8"), (23, items[2]), (24, "what is 12 times 7 minus 30")]
     want = {(11, 1, "verbatim"), (12, 2, "verbatim"), (13, 3, "verbatim"), (16, 6, "verbatim"), (20, 1, "reparameterised"), (23, 2, "verbatim")}
-    for broadcast_rows in (1000, 0):
-        got = decontaminate.leaks(docs(spark, rows + EDGE), bench, broadcast_rows=broadcast_rows).collect()
+    for broadcast_bytes in (1 << 20, 0):
+        got = decontaminate.leaks(docs(spark, rows + EDGE), bench, broadcast_bytes=broadcast_bytes).collect()
         assert {(r["doc_id"], r["item_id"], r["kind"]) for r in got} == want and len(got) == len(want)
     kept = decontaminate.drop_leaked(docs(spark, rows), bench)
     assert {r["doc_id"] for r in kept.collect()} == {14, 21, 22, 24}
