@@ -159,32 +159,51 @@ def adaptive(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-#: Tokens whose counts are summed before they leave a task.
-FLUSH = 1 << 21
+class Counter:
+    """Counts of 64-bit keys: raw keys are summed up when they are many, and the sums leave when these are."""
+
+    RAW, HELD = 1 << 21, 1 << 20
+
+    def __init__(self):
+        self.raw, self.size, self.keys, self.n = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether the sums should be taken."""
+        self.raw.append(keys)
+        self.size += len(keys)
+        if self.size >= self.RAW:
+            self._sum()
+        return len(self.keys) >= self.HELD
+
+    def _sum(self) -> None:
+        keys, n = np.unique(np.concatenate([self.keys[:0], *self.raw]), return_counts=True)
+        self.raw, self.size = [], 0
+        if len(self.keys):
+            both, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([self.n, n]), len(both)).astype(np.int64)
+            keys = both
+        self.keys, self.n = keys, n
+
+    def take(self, kind: int) -> pa.RecordBatch:
+        self._sum()
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), kind, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.n)], ["kind", "key", "n"])
+        self.__init__()
+        return out
 
 
 def gather(docs: DataFrame, order: int) -> DataFrame:
     """kind, key, n over the training rows: 0 words by their hash, 1 runs of order + 1 bytes, 2 the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        texts = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, got in held.items():
-                if got:
-                    key, n = np.unique(np.concatenate(got), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
-                    got.clear()
-
+        counters, texts = (Counter(), Counter()), 0
         for b in batches:
             texts += b.num_rows
             for _, _, data, at in slices(b["text"]):
-                held[0].append(words(data, at)[0])
-                held[1].append(runs(data, at, order)[0])
-                if sum(map(len, held[1])) > 4 * FLUSH:
-                    yield from flush()
-        yield from flush()
+                for kind, keys in enumerate((words(data, at)[0], runs(data, at, order)[0])):
+                    if counters[kind].add(keys):
+                        yield counters[kind].take(kind)
+        for kind in (0, 1):
+            yield counters[kind].take(kind)
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0]), pa.array([texts])], ["kind", "key", "n"])
 
     rows = docs.where("not held_out").select("text").mapInArrow(run, "kind int, key long, n long")
