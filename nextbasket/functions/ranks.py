@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Age bins and their names.
 AGE_EDGES = (15, 25, 35, 45, 55, 65, 100)
 AGE_LABELS = ("16-24", "25-34", "35-44", "45-54", "55-64", "65+")
 
@@ -24,6 +25,3 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int |
     df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return df if k is None else df.where(F.col(rank) <= k)
 
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)

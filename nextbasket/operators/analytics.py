@@ -10,7 +10,9 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
 from ..functions.ranks import age_group
+from .prep import histogram
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -39,16 +41,37 @@ def price_histogram(tx: DataFrame, bins: int = 80) -> DataFrame:
     return tx.select("price").crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def price_quantiles(tx: DataFrame, at: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99), approximate: bool = False) -> DataFrame:
-    """By channel. Exact percentiles hold each value's count; approximate ones are for larger data."""
-    q = F.percentile_approx("price", list(at), 10_000) if approximate else F.percentile("price", F.array(*map(F.lit, at)))
-    return tx.groupBy("sales_channel_id").agg(q.alias("q")).select("sales_channel_id", *(F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(at)))
+def _channels(tx: DataFrame) -> DataFrame:
+    """channel ('all' and each one), price: every row twice."""
+    return tx.select(F.explode(F.array(F.lit("all"), F.col("sales_channel_id").cast("string"))).alias("channel"), "price")
+
+
+def price_quantiles(tx: DataFrame, at: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """channel ('all' for all rows), q25...: exact, from the counts of prices."""
+    q = quantiles(_channels(tx), "channel", "price", at)
+    return q.groupBy("channel").agg(*(F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"q{round(100 * p)}") for p in at))
+
+
+def price_box(tx: DataFrame) -> DataFrame:
+    """channel, q25, q50, q75, lo, hi, outliers: the whiskers are the outermost prices within 1.5 times the range of the middle half."""
+    rows = tx.select(F.col("sales_channel_id").cast("string").alias("channel"), "price")
+    q = quantiles(rows, "channel", "price", (0.25, 0.5, 0.75))
+    q = q.groupBy("channel").agg(*(F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"q{round(100 * p)}") for p in (0.25, 0.5, 0.75)))
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    within = F.col("price").between(F.col("q25") - reach, F.col("q75") + reach)
+    x = rows.join(F.broadcast(q), "channel")  # a row for each channel
+    return x.groupBy("channel", "q25", "q50", "q75").agg(F.min(F.when(within, F.col("price"))).alias("lo"), F.max(F.when(within, F.col("price"))).alias("hi"), F.count(F.when(~within, 1)).alias("outliers"))
 
 
 def age_distribution(customers: DataFrame) -> DataFrame:
     return customers.agg(F.avg("age").alias("mean"), F.median("age").alias("median"), F.count("age").alias("n"))
 
 
+def age_histogram(customers: DataFrame, bins: int = 50) -> DataFrame:
+    """bin, customers: equal bins between the smallest and the largest age."""
+    return histogram(customers, "age", customers.agg(F.min("age").alias("lo"), F.max("age").alias("hi")), bins).agg(F.count("*").alias("customers"))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], n: int = 20) -> DataFrame:
     """column, value, n: the n most frequent values of each column, one pass."""
     long = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], list(columns), "column", "value")
@@ -61,6 +84,14 @@ def purchase_frequency(tx: DataFrame, clip: int = 100) -> DataFrame:
     return per.groupBy(F.least("c", F.lit(clip)).alias("purchases")).agg(F.count("*").alias("customers"))
 
 
+def purchase_stats(tx: DataFrame) -> DataFrame:
+    """statistic, value: of the purchases of a customer, to one digit."""
+    per = tx.groupBy("customer_id").agg(F.count("*").cast("double").alias("c"))
+    one = per.agg(F.count("*").cast("double").alias("count"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("std"), F.min("c").alias("min"), F.max("c").alias("max")).unpivot([], ["count", "mean", "std", "min", "max"], "statistic", "value")
+    q = quantiles(per.withColumn("every", F.lit(1)), "every", "c", (0.25, 0.5, 0.75)).select(F.concat(F.round(F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"), F.col("q").alias("value"))
+    return one.unionByName(q).withColumn("value", F.round("value", 1))
+
+
 def purchase_cdf(tx: DataFrame) -> DataFrame:
     counts = tx.groupBy("customer_id").agg(F.count("*").alias("purchases")).groupBy("purchases").agg(F.count("*").alias("customers"))
     w = Window.partitionBy(F.lit(1))  # a row for each distinct count
@@ -76,15 +107,30 @@ def top_articles(tx: DataFrame, articles: DataFrame, n: int = 20) -> DataFrame:
     return articles.select("article_id", "prod_name").join(F.broadcast(best), "article_id", "right")
 
 
+def article_histogram(tx: DataFrame, clip: int = 3000, bins: int = 60) -> DataFrame:
+    """bin, articles: articles by their sales, clipped, in equal bins between the smallest and the largest."""
+    per = tx.groupBy("article_id").agg(F.least(F.count("*"), F.lit(clip)).alias("c"))
+    return histogram(per, "c", per.agg(F.min("c").alias("lo"), F.max("c").alias("hi")), bins).agg(F.count("*").alias("articles"))
+
+
 def unsold_articles(tx: DataFrame, articles: DataFrame) -> DataFrame:
     sold = tx.select("article_id").distinct().withColumn("sold", F.lit(True))
     return articles.join(sold, "article_id", "left").agg(F.count(F.when(F.col("sold").isNull(), 1)).alias("unsold"), F.count("sold").alias("sold"))
 
 
-def age_product_pivot(tx: DataFrame, customers: DataFrame, articles: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Per cent of an age group's purchases in each of the product groups; the rest is in the base too."""
-    x = tx.join(customers.select("customer_id", age_group(F.col("age")).alias("age_group")), "customer_id").join(articles.select("article_id", "product_group_name"), "article_id").where("age_group is not null")
-    return x.groupBy("age_group").agg(F.count("*").alias("tx"), *((100 * F.count(F.when(F.col("product_group_name") == g, 1)) / F.count("*")).alias(g) for g in groups))
+def largest_groups(articles: DataFrame, n: int = 8) -> DataFrame:
+    """product_group_name: the n with the most articles in the catalogue."""
+    counts = articles.where("product_group_name is not null").groupBy("product_group_name").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "product_group_name").limit(n).select("product_group_name")
+
+
+def age_product_pivot(tx: DataFrame, customers: DataFrame, articles: DataFrame, n: int = 8) -> DataFrame:
+    """age_group, product_group_name, tx, pct: per cent of an age group's purchases in each of the n largest product groups; the others are in the base too."""
+    x = tx.join(customers.select("customer_id", age_group(F.col("age")).alias("age_group")), "customer_id").join(articles.select("article_id", "product_group_name"), "article_id").where("age_group is not null and product_group_name is not null")
+    counts = x.groupBy("age_group", "product_group_name").agg(F.count("*").alias("tx"))
+    base = counts.groupBy("age_group").agg(F.sum("tx").alias("base"))
+    every = base.crossJoin(F.broadcast(largest_groups(articles, n)))  # age groups x n
+    return every.join(counts, ["age_group", "product_group_name"], "left").select("age_group", "product_group_name", F.coalesce("tx", F.lit(0)).alias("tx"), (100 * F.coalesce("tx", F.lit(0)) / F.col("base")).alias("pct"))
 
 
 def repeat_rate(tx: DataFrame) -> DataFrame:
@@ -99,17 +145,24 @@ def monthly_price_ci(tx: DataFrame, articles: DataFrame, groups: Sequence[str])
     return x.withColumns({"se": se, "lo": F.col("mean") - 1.96 * se, "hi": F.col("mean") + 1.96 * se})
 
 
-def monthly_category_share(tx: DataFrame, articles: DataFrame, columns: Sequence[str], months: Sequence[int] = tuple(range(1, 13))) -> DataFrame:
-    """category, m1..m12: per cent of the category's sales in each calendar month; 0 without sales."""
-    x = tx.join(articles.select("article_id", F.concat_ws(" | ", *columns).alias("category")), "article_id")
-    return x.groupBy("category").agg(*((100 * F.count(F.when(F.month("t_dat") == m, 1)) / F.count("*")).alias(f"m{m}") for m in months))
+CATEGORY = ("index_group_name", "index_name", "product_type_name")
+
+
+def monthly_category_share(tx: DataFrame, articles: DataFrame, columns: Sequence[str] = CATEGORY) -> DataFrame:
+    """category, month (each of the table), pct: per cent of the category's sales; 0 without sales. A category with a null name is left out."""
+    named = articles.select("article_id", F.concat(*(e for i, c in enumerate(columns) for e in ([F.lit(" | ")] if i else []) + [F.col(c)])).alias("category"))
+    counts = tx.join(named.where("category is not null"), "article_id").groupBy("category", F.trunc("t_dat", "month").alias("month")).agg(F.count("*").alias("n"))
+    base = counts.groupBy("category").agg(F.sum("n").alias("base"))
+    every = base.crossJoin(F.broadcast(tx.select(F.trunc("t_dat", "month").alias("month")).distinct()))  # months are few
+    return every.join(counts, ["category", "month"], "left").select("category", "month", (100 * F.coalesce("n", F.lit(0)) / F.col("base")).alias("pct"))
 
 
 def season_clusters(shares: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """cluster, n: standardised shares, two principal components, a Gaussian mixture."""
-    months = [c for c in shares.columns if c != "category"]
-    stages = [VectorAssembler(inputCols=months, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), PCA(k=2, inputCol="scaled", outputCol="pca"), GaussianMixture(k=k, seed=seed, featuresCol="pca", predictionCol="cluster")]
-    return Pipeline(stages=stages).fit(shares).transform(shares).groupBy("cluster").agg(F.count("*").alias("n"))
+    """cluster, n: standardised shares of all months, two principal components, a Gaussian mixture."""
+    months = [r[0] for r in shares.select(F.col("month").cast("string")).distinct().orderBy("month").collect()]  # as many as there are months
+    wide = shares.groupBy("category").pivot("month", months).agg(F.first("pct")).fillna(0.0)
+    stages = [VectorAssembler(inputCols=[f"`{m}`" if "." in m else m for m in months], outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="scaled"), PCA(k=2, inputCol="scaled", outputCol="pca"), GaussianMixture(k=k, seed=seed, featuresCol="pca", predictionCol="cluster")]
+    return Pipeline(stages=stages).fit(wide).transform(wide).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def repurchase_rate(tx: DataFrame, key: str, weeks: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -119,7 +172,8 @@ def repurchase_rate(tx: DataFrame, key: str, weeks: Sequence[int] = (1, 2, 3)) -
     return x.agg(F.lit(key).alias("key"), *((100 * F.count(F.when((F.col("days") > 0) & (F.col("days") <= 7 * w), 1)) / F.count("*")).alias(f"w{w}") for w in weeks))
 
 
-STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+# Common words, and those of descriptions that say nothing.
+STOP_WORDS = ("cm", "item", "made", "product", "size", "wear", "a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 
 
 def word_counts(articles: DataFrame, n: int = 200) -> DataFrame:

@@ -14,15 +14,15 @@ from ..functions.ranks import age_group, top_k
 from .popularity import same_for_all, segment_top, top_popular
 from .prep import between
 
-# Source order and weights.
-PRIORITY = {"repurchase_short": 6, "repurchase_long": 5, "product_code": 4, "category_popular": 3, "popular_segment": 2, "popular_global": 1}
+# Source order, weights and (in quotas) shares.
+PRIORITY = {"repurchase_short": 6, "repurchase_long": 5, "product_code_repurchase": 4, "category_popular": 3, "popular_segment": 2, "popular_global": 1}
 HARDNESS = {
-    "repurchase_short": 1.0, "repurchase_long": 0.9, "co_occurrence": 0.85, "category_personal": 0.8, "product_code": 0.75, "popular_decay": 0.5, "popular_1w": 0.45, "popular_2w": 0.4, "popular_4w": 0.35, "popular_30d": 0.3, "popular_global": 0.1,
+    "repurchase_short": 1.0, "repurchase_long": 0.9, "co_occurrence": 0.85, "category_personal": 0.8, "product_code_repurchase": 0.75, "popular_decay": 0.5, "popular_1w": 0.45, "popular_2w": 0.4, "popular_4w": 0.35, "popular_30d": 0.3, "popular_global": 0.1,
 }
 
 
 def quotas(n: int) -> dict[str, int]:
-    return {"repurchase_short": min(50, n // 4), "repurchase_long": min(30, n // 6), "product_code": min(20, n // 8), "popular_global": min(40, n // 4), "popular_segment": min(20, n // 8), "category_popular": min(20, n // 8)}
+    return {"repurchase_short": min(50, n // 4), "repurchase_long": min(30, n // 6), "product_code_repurchase": min(20, n // 8), "popular_global": min(40, n // 4), "popular_segment": min(20, n // 8), "category_popular": min(20, n // 8)}
 
 
 def window_before(transactions: DataFrame, t: dt.date, days: int) -> DataFrame:
@@ -70,13 +70,13 @@ def same_product_code(transactions: DataFrame, articles: DataFrame, users: DataF
     counts = window_before(transactions, t, days).groupBy("article_id").agg(F.count("*").alias("sold"))
     liked = own.join(codes, "article_id").select("customer_id", "product_code").distinct()
     others = liked.join(codes, "product_code").join(own, ["customer_id", "article_id"], "left_anti").join(counts, "article_id", "left")
-    return labelled(top_k(others, ["customer_id"], [F.desc(F.coalesce("sold", F.lit(0))), F.col("article_id")], limit), "product_code")
+    return labelled(top_k(others, ["customer_id"], [F.desc(F.coalesce("sold", F.lit(0))), F.col("article_id")], limit), "product_code_repurchase")
 
 
 def popular_segment(transactions: DataFrame, customers: DataFrame, users: DataFrame, t: dt.date, days: int = 14, limit: int = 30) -> DataFrame:
     top = segment_top(window_before(transactions, t, days), customers, limit).select("age_group", "article_id", "rank")
     grouped = users.select("customer_id").join(customers.select("customer_id", age_group(F.col("age")).alias("age_group")), "customer_id")
-    return labelled(grouped.join(F.broadcast(top), "age_group"), "popular_segment")
+    return labelled(grouped.join(top, "age_group"), "popular_segment")
 
 
 def category_popular(transactions: DataFrame, articles: DataFrame, users: DataFrame, t: dt.date, days: int = 14, favourites: int = 3, limit: int = 20) -> DataFrame:
@@ -86,7 +86,7 @@ def category_popular(transactions: DataFrame, articles: DataFrame, users: DataFr
     liked = top_k(own, ["customer_id"], [F.desc("n"), F.col("product_group_name")], favourites).select("customer_id", "product_group_name")
     sold = window_before(transactions, t, days).join(groups, "article_id").groupBy("product_group_name", "article_id").agg(F.count("*").alias("sold"))
     best = top_k(sold, ["product_group_name"], [F.desc("sold"), F.col("article_id")], limit, "place")
-    return labelled(top_k(liked.join(F.broadcast(best), "product_group_name"), ["customer_id"], [F.desc("sold"), F.col("article_id")], limit), "category_popular")
+    return labelled(top_k(liked.join(best, "product_group_name"), ["customer_id"], [F.desc("sold"), F.col("article_id")], limit), "category_popular")
 
 
 def full(transactions: DataFrame, customers: DataFrame, articles: DataFrame, users: DataFrame, t: dt.date, obsolete: DataFrame | None = None) -> DataFrame:
@@ -151,8 +151,8 @@ def cold_start(users: DataFrame, customers: DataFrame, articles: DataFrame, rece
     ranked = top_k(first, ["age_group"], [F.col("at")], n)
     source = F.element_at(F.array(*map(F.lit, ("cold_start_age", "cold_start_category", "cold_start_global"))), F.col("at") % 3 + 1)
     grouped = users.select("customer_id").join(customers.select("customer_id", age_group(F.col("age")).alias("age_group")), "customer_id", "left")
-    grouped = grouped.join(F.broadcast(names.withColumn("known", F.lit(True))), "age_group", "left").select("customer_id", F.when(F.col("known"), F.col("age_group")).otherwise("").alias("age_group"))
-    return grouped.join(F.broadcast(ranked), "age_group").select("customer_id", "rank", "article_id", source.alias("source"))
+    grouped = grouped.join(names.withColumn("known", F.lit(True)), "age_group", "left").select("customer_id", F.when(F.col("known"), F.col("age_group")).otherwise("").alias("age_group"))
+    return grouped.join(ranked, "age_group").select("customer_id", "rank", "article_id", source.alias("source"))
 
 
 def candidate_recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:

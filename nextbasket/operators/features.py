@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.order import running
 from ..functions.ranks import age_group, top_k
 from .popularity import segment_top
 
-COMPACT = ("u_tx", "u_unique", "u_avg_price", "u_recency", "i_tx", "i_avg_price", "i_recency", "ui_count", "pop_bias", "recency_bias", "user_activity", "price_gap", "source_rank")
+# The names of the compact features, in order.
+COMPACT = ("u_tx", "u_unique", "u_avg_price", "u_recency", "i_tx", "i_avg_price", "i_recency", "ui_cnt", "pop_bias", "recency_bias", "user_activity", "price_gap", "source_rank")
 # What an unknown feature becomes; "median" is fitted.
 IMPUTE = {
     "n_tx": 0, "n_unique_articles": 0, "n_unique_categories": 0, "tx_14d": 0, "tx_30d": 0, "purchase_count": 0, "category_purchases": 0, "pop_1w": 0, "pop_2w": 0, "pop_4w": 0, "pop_all": 0,
@@ -28,7 +30,7 @@ def item_stats(history: DataFrame, t: dt.date) -> DataFrame:
 
 
 def user_item_count(history: DataFrame) -> DataFrame:
-    return history.groupBy("customer_id", "article_id").agg(F.count("*").alias("ui_count"))
+    return history.groupBy("customer_id", "article_id").agg(F.count("*").alias("ui_cnt"))
 
 
 def compact(history: DataFrame, candidates: DataFrame, t: dt.date) -> DataFrame:
@@ -52,7 +54,7 @@ def user_features_full(history: DataFrame, customers: DataFrame, articles: DataF
         F.countDistinct("product_group_name").alias("n_unique_categories"), since(14).alias("tx_14d"), since(30).alias("tx_30d"), F.avg((F.col("sales_channel_id") == 2).cast("double")).alias("online_ratio"),
         (F.count("*") / F.greatest(F.lit(1.0), F.datediff(F.lit(t), F.min("t_dat")) / 7)).alias("avg_tx_per_week"),
     )
-    again = user_item_count(history).groupBy("customer_id").agg(F.avg((F.col("ui_count") > 1).cast("double")).alias("repurchase_rate"))
+    again = user_item_count(history).groupBy("customer_id").agg(F.avg((F.col("ui_cnt") > 1).cast("double")).alias("repurchase_rate"))
     known = customers.select("customer_id", "age", F.coalesce((F.col("club_member_status") == "ACTIVE").cast("int"), F.lit(0)).alias("is_member"))
     return stats.join(again, "customer_id").join(known, "customer_id", "left")
 
@@ -69,8 +71,8 @@ def article_features_full(history: DataFrame, articles: DataFrame, t: dt.date) -
     x = x.withColumns({f"pop_{w}": F.coalesce(f"pop_{w}", F.lit(0)) for w in ("1w", "2w", "4w", "all")})
     group = x.groupBy("product_group_name").agg(F.sum("pop_2w").alias("category_pop_2w"))
     for column, out in (("colour_group_name", "colour_code"), ("product_type_name", "product_type_code"), ("section_no", "section_code")):
-        x = x.join(F.broadcast(label_encode(articles, column, out)), column, "left")
-    x = x.join(F.broadcast(group), "product_group_name", "left").withColumn("trend", F.col("pop_1w") / (F.col("pop_4w") / 4 + 1))
+        x = x.join(label_encode(articles, column, out), column, "left")
+    x = x.join(group, "product_group_name", "left").withColumn("trend", F.col("pop_1w") / (F.col("pop_4w") / 4 + 1))
     return x.select("article_id", "pop_1w", "pop_2w", "pop_4w", "pop_all", "avg_price", "trend", "category_pop_2w", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("colour_code", "product_type_code", "section_code")))
 
 
@@ -95,10 +97,11 @@ def interaction_features_full(history: DataFrame, candidates: DataFrame, article
 
 
 def popularity_ranks(window: DataFrame, customers: DataFrame) -> DataFrame:
-    """age_group (null: all), article_id, place by sales; ranks are taken over the aggregate of articles."""
+    """age_group ('all' for everyone), article_id, n, place by sales. No task sorts all articles of a group."""
     counts = window.groupBy("article_id").agg(F.count("*").alias("n")).withColumn("age_group", F.lit("all"))
     every = counts.select("age_group", "article_id", "n").unionByName(segment_top(window, customers, None).select("age_group", "article_id", "n"))
-    return top_k(every, ["age_group"], [F.desc("n"), F.col("article_id")], None, "place")
+    placed = running(every.withColumn("less", -F.col("n")), ["age_group"], ["less", "article_id"], F.lit(1), "place")
+    return placed.select("age_group", "article_id", "n", F.col("place").cast("int").alias("place"))
 
 
 def impute(df: DataFrame, rules: dict[str, float | str] | None = None, medians: dict[str, float] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import top_k
@@ -26,10 +26,15 @@ def interactions(rows: DataFrame, max_items: int | None = None) -> DataFrame:
     return top_k(last, ["customer_id"], [F.desc("last"), F.col("article_id")], max_items).select("customer_id", "article_id")
 
 
-def item_similarity(pairs: DataFrame) -> DataFrame:
-    """item_i, item_j, co, sim = co / sqrt(n_i * n_j), both directions, no diagonal. Integer counts first, one division last."""
-    a, b = pairs.select("customer_id", F.col("article_id").alias("item_i")), pairs.select("customer_id", F.col("article_id").alias("item_j"))
-    co = a.join(b, "customer_id").where("item_i < item_j").groupBy("item_i", "item_j").agg(F.count("*").alias("co"))
+def item_similarity(pairs: DataFrame, block: int = 256) -> DataFrame:
+    """item_i, item_j, co, sim = co / sqrt(n_i * n_j), both directions, no diagonal. Integer counts first, one division last.
+
+    The items of a customer with more than `block` are split, so that no task makes all of that customer's pairs.
+    """
+    sized = pairs.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("customer_id")) / block).cast("int"))
+    a = sized.select("customer_id", F.pmod(F.xxhash64("article_id"), "blocks").alias("part"), F.col("article_id").alias("item_i"))
+    b = sized.select("customer_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("article_id").alias("item_j"))
+    co = a.join(b, ["customer_id", "part"]).where("item_i < item_j").groupBy("item_i", "item_j").agg(F.count("*").alias("co"))
     n = pairs.groupBy("article_id").agg(F.count("*").alias("n"))
     norm = lambda side: n.select(F.col("article_id").alias(f"item_{side}"), F.col("n").alias(f"n_{side}"))
     half = co.join(norm("i"), "item_i").join(norm("j"), "item_j").select("item_i", "item_j", "co", F.round(F.col("co") / F.sqrt(F.col("n_i") * F.col("n_j")), 9).alias("sim"))

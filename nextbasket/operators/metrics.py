@@ -24,10 +24,11 @@ def map_at_k(predictions: DataFrame, truth: DataFrame, k: int = 12, by: tuple[st
     return ap_at_k(predictions, truth, k, by).groupBy(*by).agg(F.avg("ap").alias("map"), F.count("*").alias("users"))
 
 
-def compare_models(scores: DataFrame) -> DataFrame:
-    """model, map, place, lift over the worst model (null where that is 0). A few rows."""
+def compare_models(scores: DataFrame, others: tuple[str, ...] = ("two_stage", "item_cf")) -> DataFrame:
+    """model, map, place, lift over the best baseline (null where that is 0): all models but `others` are baselines. A few rows."""
     w = Window.partitionBy(F.lit(1))
-    return scores.select("model", "map", F.row_number().over(w.orderBy(F.desc("map"), "model")).alias("place"), F.try_divide("map", F.min("map").over(w)).alias("lift"))
+    best = F.max(F.when(~F.col("model").isin(*others), F.col("map"))).over(w)
+    return scores.select("model", "map", F.row_number().over(w.orderBy(F.desc("map"), "model")).alias("place"), F.try_divide(F.col("map") - best, best).alias("lift"))
 
 
 def ap_by_age_group(ap: DataFrame, customers: DataFrame) -> DataFrame:

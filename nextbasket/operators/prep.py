@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,19 @@ def old_sales_ratio(transactions: DataFrame, cutoff: dt.date) -> DataFrame:
     return transactions.groupBy("article_id").agg(F.count("*").alias("total"), F.avg((F.col("t_dat") < F.lit(cutoff)).cast("double")).alias("old_ratio"))
 
 
+def old_ratio_histogram(ratios: DataFrame, bins: int = 50, threshold: float = 0.95) -> DataFrame:
+    """bin, articles, obsolete: articles of old_sales_ratio by equal bins between the smallest and the largest ratio."""
+    ends = ratios.agg(F.min("old_ratio").alias("lo"), F.max("old_ratio").alias("hi"))
+    return histogram(ratios, "old_ratio", ends, bins).agg(F.count("*").alias("articles"), F.sum((F.col("old_ratio") >= threshold).cast("int")).alias("obsolete"))
+
+
+def histogram(df: DataFrame, value: str, ends: DataFrame, bins: int) -> GroupedData:
+    """df grouped by bin: equal bins between the ends lo and hi (one row), the last one closed; one value alone is in the middle of a range of 1."""
+    even = F.col("hi") == F.col("lo")
+    at = F.floor(F.round((F.col(value) - F.when(even, F.col("lo") - 0.5).otherwise(F.col("lo"))) / F.when(even, 1.0).otherwise(F.col("hi") - F.col("lo")) * bins, 9))
+    return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))
+
+
 def obsolete_articles(transactions: DataFrame, cutoff: dt.date, threshold: float = 0.95) -> DataFrame:
     """Articles sold almost only before cutoff."""
     return old_sales_ratio(transactions, cutoff).where(F.col("old_ratio") >= threshold).select("article_id")
@@ -83,6 +96,12 @@ def ground_truth(transactions: DataFrame) -> DataFrame:
     return transactions.select("customer_id", "article_id").distinct()
 
 
+def ranker_splits(transactions: DataFrame, b: Bounds) -> dict[str, DataFrame]:
+    """train_full, train_feat and val, transactions; val_truth and test_truth, distinct pairs."""
+    parts = canonical_split(transactions, b)
+    return {"train_full": parts["train"], "train_feat": parts["train_feat"], "val": parts["val"], "val_truth": ground_truth(parts["val"]), "test_truth": ground_truth(parts["test"])}
+
+
 def multi_week_splits(history: DataFrame, test_start: dt.date, n_weeks: int = 3, first_offset_weeks: int = 1) -> list[tuple[dt.date, DataFrame, DataFrame]]:
     """(label start, history before it, label rows) for each of the weeks; a loop over plans, not over data."""
     out = []
@@ -95,5 +114,5 @@ def multi_week_splits(history: DataFrame, test_start: dt.date, n_weeks: int = 3,
 
 def sample_customers(transactions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The rows of n customers, chosen by a seeded hash."""
-    chosen = transactions.select("customer_id").distinct().orderBy(F.xxhash64("customer_id", F.lit(seed)), "customer_id").limit(n)
+    chosen = transactions.select("customer_id").distinct().orderBy(F.md5(F.concat_ws(":", F.col("customer_id").cast("string"), F.lit(seed))), "customer_id").limit(n)
     return transactions.join(chosen, "customer_id", "left_semi")

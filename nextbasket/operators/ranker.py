@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -61,6 +62,11 @@ def feature_importance(model: PipelineModel, frame: DataFrame, columns: tuple[st
     return frame.sparkSession.createDataFrame(rows, "feature string, kind string, importance double")
 
 
+def list_weights(models: Sequence[str], weights: Sequence[float]) -> dict[str, float]:
+    """The weight of each model's list; 1.0 each where there are not as many weights as lists."""
+    return dict(zip(models, weights, strict=True)) if len(models) == len(weights) else dict.fromkeys(models, 1.0)
+
+
 def rrf(predictions: DataFrame, weights: dict[str, float], k: int = 12, lists: int = 50, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of rows (model, customer_id, rank, article_id): sum of weight / (constant + rank)."""
     w = C.weight("model", weights)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ from ..operators import popularity as P
 from ..operators import prep as S
 from ..operators import ranker as L
 from ..sources import tables as T
+from ..sources.scratch import shared_folder, written
 from . import sql as Q
 
 TRAIN_START, CUTOFF = dt.date.fromisoformat(Q.TRAIN_START), dt.date.fromisoformat(Q.CUTOFF)
@@ -80,6 +80,13 @@ class Context:
     def scores(self) -> DataFrame:
         return M.map_at_k(self.all_models(), self.truth, by=("model",))
 
+    def compared(self) -> DataFrame:
+        """The baselines and item CF."""
+        return self.scores().unionByName(M.map_at_k(self.item_cf(), self.truth).withColumn("model", F.lit("item_cf")))
+
+    def shares(self) -> DataFrame:
+        return E.monthly_category_share(self.tx, self.articles)
+
     def cf(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         rows = I.recent_supported(self.train, self.train_newest, 104, 5)
         pairs = I.interactions(rows)
@@ -105,23 +112,15 @@ class Context:
         return L.training_frame(self.train, self.b.test_start, 2)
 
     def two_stage(self) -> tuple[DataFrame, object, DataFrame]:
-        negatives = C.hard_negatives(self.frame())
-        model = L.fit(negatives)
-        return L.score(model, X.compact(self.past(), self.compact(), self.t)), model, negatives
-
-
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/{dt.datetime.now():%Y%m%d%H%M%S%f}" if base else _folder()
+        """Fitted on the whole frame, without a choice of negatives."""
+        frame = written(self.frame())
+        model = L.fit(frame)
+        return L.score(model, X.compact(self.past(), self.compact(), self.t)), model, frame
 
 
 def linear(c: Context) -> DataFrame:
     x = rounded(X.compact(c.past(), c.compact(), c.t))
-    return L.best(x.withColumn("score", F.round(F.col("ui_count") + F.col("pop_bias") + F.col("recency_bias"), 6)))
+    return L.best(x.withColumn("score", F.round(F.col("ui_cnt") + F.col("pop_bias") + F.col("recency_bias"), 6)))
 
 
 def fused(c: Context) -> DataFrame:
@@ -160,6 +159,20 @@ def multi_week(c: Context) -> DataFrame:
     return out
 
 
+def ranker_splits(c: Context) -> DataFrame:
+    out = None
+    for name, rows in S.ranker_splits(c.tx, c.b).items():
+        day = F.col("t_dat") if "t_dat" in rows.columns else F.lit(None).cast("date")
+        rows = rows.select(F.lit(name).alias("part"), day.alias("t_dat"), "customer_id", "article_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def value_counts(c: Context) -> DataFrame:
+    (_, of_articles), (_, of_customers) = Q.VALUE_COLUMNS
+    return E.value_counts(c.articles, of_articles).unionByName(E.value_counts(c.customers, of_customers))
+
+
 def imputed(c: Context) -> DataFrame:
     wide = c.users.join(X.user_features_full(c.own(), c.customers, c.articles, c.t), "customer_id", "left")
     return X.build_imputed(wide.select("customer_id", "age", "n_tx", "days_since_last", "online_ratio"), ["colour_code"])
@@ -191,10 +204,10 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "canonical_split": (lambda c: c.train.select(F.lit("train").alias("split"), "t_dat", "customer_id", "article_id").unionByName(c.test.select(F.lit("test").alias("split"), "t_dat", "customer_id", "article_id")).unionByName(c.val.select(F.lit("val").alias("split"), "t_dat", "customer_id", "article_id")), f"{Q.CTES} SELECT 'train' AS split, t_dat, customer_id, article_id FROM train UNION ALL SELECT 'test', t_dat, customer_id, article_id FROM test UNION ALL SELECT 'val', t_dat, customer_id, article_id FROM train, b WHERE t_dat >= val_start"),
     "ground_truth": (lambda c: c.truth, f"{Q.CTES} SELECT * FROM truth"),
     "train_feat_split": (lambda c: c.train_feat.select("t_dat", "customer_id", "article_id"), f"{Q.CTES} SELECT t_dat, customer_id, article_id FROM train, b WHERE t_dat < val_start"),
-    "ranker_splits": (lambda c: S.ground_truth(c.val).withColumn("part", F.lit("val")).unionByName(c.truth.withColumn("part", F.lit("test"))), f"{Q.CTES} SELECT DISTINCT customer_id, article_id, 'val' AS part FROM train, b WHERE t_dat >= val_start UNION ALL SELECT customer_id, article_id, 'test' FROM truth"),
+    "ranker_splits": (lambda c: ranker_splits(c), f"{Q.CTES} SELECT 'train_full' AS part, t_dat, customer_id, article_id FROM train UNION ALL SELECT 'train_feat', t_dat, customer_id, article_id FROM train, b WHERE t_dat < val_start UNION ALL SELECT 'val', t_dat, customer_id, article_id FROM train, b WHERE t_dat >= val_start UNION ALL SELECT DISTINCT 'val_truth', CAST(NULL AS DATE), customer_id, article_id FROM train, b WHERE t_dat >= val_start UNION ALL SELECT 'test_truth', NULL, customer_id, article_id FROM truth"),
     "multi_week_splits": (multi_week, f"{Q.CTES} SELECT start AS label_week, (SELECT count(*) FROM train WHERE t_dat >= start AND t_dat < start + 7) AS labels, (SELECT count(*) FROM train WHERE t_dat < start) AS history FROM (SELECT test_start - 7 * (w + 1) AS start FROM b, (VALUES (1), (2), (3)) v(w))"),
-    "sample_customers": (lambda c: S.sample_customers(c.tx, 200), None),
-    "sample_eval_users": (lambda c: M.map_at_k(c.repurchase(), S.sample_customers(c.truth, 20)), None),
+    "sample_customers": (lambda c: S.sample_customers(c.tx, 200), f"{Q.CTES} SELECT * FROM tx WHERE customer_id IN (SELECT customer_id FROM {Q.sample('tx', 200)})"),
+    "sample_eval_users": (lambda c: M.map_at_k(c.repurchase(), S.sample_customers(c.truth, 20)), f"{Q.CTES} SELECT round(avg(ap), 6) AS map, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)}) WHERE customer_id IN (SELECT customer_id FROM {Q.sample('truth', 20)})"),
     "top_popular": (lambda c: P.top_popular(c.train), f"{Q.CTES} {Q.top('train', 100)}"),
     "global_popularity": (lambda c: c.models()["global"], f"{Q.CTES} {Q.GLOBAL}"),
     "recent_popularity": (lambda c: c.models()["recent"], f"{Q.CTES} {Q.RECENT_POP}"),
@@ -239,16 +252,16 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "feature_columns": (lambda c: c.users.agg(F.count("*").alias("users")).select("users", F.explode(F.array(*map(F.lit, X.feature_columns(X.compact(c.past(), c.compact(), c.t))))).alias("feature")), f"{Q.CTES} SELECT (SELECT count(*) FROM users) AS users, feature FROM (SELECT unnest(['cand_rank', {', '.join(repr(x) for x in X.COMPACT)}]) AS feature)"),
     "validate_features": (lambda c: X.validate(c.customers, ["age", "club_member_status"]), f"{Q.CTES} SELECT 'age' AS feature, count(*) - count(age) AS nulls FROM cust UNION ALL SELECT 'club_member_status', count(*) - count(club_member_status) FROM cust"),
     "build_features_imputed": (imputed, f"""{Q_HIST}, j AS (SELECT users.customer_id, u.* EXCLUDE (customer_id) FROM users LEFT JOIN ({Q.USER_FULL}) u USING (customer_id)) SELECT customer_id, coalesce(age, (SELECT median(age) FROM j)) AS age, coalesce(n_tx, 0) AS n_tx, coalesce(days_since_last, 9999) AS days_since_last, coalesce(online_ratio, 0.5) AS online_ratio, -1 AS colour_code FROM j"""),
-    "training_frame": (lambda c: c.frame().groupBy("label_week").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.sum("i_tx").alias("i_tx"), F.sum("u_tx").alias("u_tx")), None),
-    "group_sizes": (lambda c: L.group_sizes(c.frame()), None),
+    "training_frame": (lambda c: c.frame(), f"{Q.CTES} {Q.FRAME}"),
+    "group_sizes": (lambda c: L.group_sizes(c.frame()), f"{Q.CTES} SELECT label_week, customer_id, count(*) AS n FROM ({Q.FRAME}) GROUP BY 1, 2"),
     "fit_ranker": (lambda c: c.two_stage()[0].select("customer_id", "article_id", "score"), None),
-    "score_top_k": (linear, f"{Q_HIST}, f AS ({Q.feature_sql(Q.COMPACT, 'hist', Q.T0)}) {Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', '(SELECT customer_id, article_id, round(ui_count + pop_bias + recency_bias, 6) AS score FROM f)', 12)}"),
+    "score_top_k": (linear, f"{Q_HIST}, f AS ({Q.feature_sql(Q.COMPACT, 'hist', Q.T0)}) {Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', '(SELECT customer_id, article_id, round(ui_cnt + pop_bias + recency_bias, 6) AS score FROM f)', 12)}"),
     "feature_importance": (lambda c: L.feature_importance(*c.two_stage()[1:]), None),
     "rrf_fusion": (fused, f"{Q.CTES}{Q.CF} SELECT customer_id, rank, article_id, round(score, 6) AS score FROM ({Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', f'(SELECT customer_id, article_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT 3.0::DOUBLE AS w, customer_id, rank, article_id FROM ({Q.REPURCHASE}) UNION ALL SELECT 2.0, customer_id, rank, article_id FROM ({Q.ITEM_CF}) UNION ALL SELECT 1.0, customer_id, rank, article_id FROM ({Q.RECENT_POP})) GROUP BY 1, 2)', 12)})"),
     "run_ensemble": (ensemble, None),
     "ap_at_k": (lambda c: c.ap(), f"{Q.CTES} SELECT customer_id, round(ap, 6) AS ap FROM ({Q.ap(Q.REPURCHASE)})"),
     "map_at_k": (lambda c: M.map_at_k(c.repurchase(), c.truth), f"{Q.CTES} SELECT round(avg(ap), 6) AS map, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)})"),
-    "compare_models": (lambda c: M.compare_models(rounded(c.scores())), f"{Q.CTES} SELECT model, map, CAST(row_number() OVER (ORDER BY map DESC, model) AS INTEGER) AS place, round(map / nullif(min(map) OVER (), 0), 6) AS lift FROM (SELECT model, round(map, 6) AS map FROM ({Q.SCORES}))"),
+    "compare_models": (lambda c: M.compare_models(rounded(c.compared())), f"{Q.CTES}{Q.CF} SELECT model, map, CAST(row_number() OVER (ORDER BY map DESC, model) AS INTEGER) AS place, round((map - best) / nullif(best, 0), 6) AS lift FROM (SELECT *, max(map) FILTER (model <> 'item_cf') OVER () AS best FROM (SELECT model, round(map, 6) AS map FROM ({Q.SCORES} UNION ALL SELECT 'item_cf', avg(ap), count(*) FROM ({Q.ap(Q.ITEM_CF)}))))"),
     "ap_by_age_group": (lambda c: M.ap_by_age_group(c.ap(), c.customers), f"{Q.CTES} SELECT age_group, round(avg(ap), 6) AS map, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)}) JOIN cust USING (customer_id) WHERE age_group IS NOT NULL GROUP BY 1"),
     "ap_by_purchase_bin": (lambda c: M.ap_by_purchase_bin(c.ap(), c.past()), f"{Q.CTES} SELECT bin, round(avg(ap), 6) AS map, count(*) AS users FROM (SELECT customer_id, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 15 THEN '6-15' WHEN n <= 30 THEN '16-30' WHEN n <= 60 THEN '31-60' WHEN n <= 1000 THEN '61+' END AS bin FROM (SELECT customer_id, count(*) AS n FROM tx, b WHERE t_dat < test_start GROUP BY 1)) JOIN ({Q.ap(Q.REPURCHASE)}) USING (customer_id) WHERE bin IS NOT NULL GROUP BY 1"),
     "ap_zero_share": (lambda c: M.ap_zero_share(c.ap()), f"{Q.CTES} SELECT round(avg(CASE WHEN ap = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)})"),
@@ -257,20 +270,25 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "weekly_activity": (lambda c: E.weekly_activity(c.tx).withColumn("revenue", F.round("revenue", 4)), f"{Q.CTES} {Q.WEEKLY}"),
     "channel_summary": (lambda c: E.channel_summary(c.tx), f"{Q.CTES} SELECT sales_channel_id, count(*) AS tx, round(avg(price), 6) AS mean_price, round(count(*) / (SELECT count(*) FROM tx), 6) AS share FROM tx GROUP BY 1"),
     "price_histogram": (lambda c: E.price_histogram(c.tx), f"{Q.CTES} SELECT CAST(least(floor((price - lo) / (hi - lo) * 80), 79) AS INTEGER) AS bin, count(*) AS n FROM tx, (SELECT min(price) AS lo, max(price) AS hi FROM tx) GROUP BY 1"),
-    "price_quantiles": (lambda c: E.price_quantiles(c.tx), f"{Q.CTES} SELECT sales_channel_id, {', '.join(f'round(quantile_cont(price, {p / 100}), 6) AS q{p}' for p in (25, 50, 75, 90, 95, 99))} FROM tx GROUP BY 1"),
+    "price_quantiles": (lambda c: E.price_quantiles(c.tx), f"{Q.CTES} {Q.QUANTILES}"),
+    "price_box": (lambda c: E.price_box(c.tx), f"{Q.CTES} {Q.BOX}"),
     "age_distribution": (lambda c: E.age_distribution(c.customers), f"{Q.CTES} SELECT round(avg(age), 6) AS mean, median(age) AS median, count(age) AS n FROM cust"),
-    "value_counts": (lambda c: E.value_counts(c.articles, ["product_group_name", "index_group_name", "colour_group_name"]), f"{Q.CTES} {Q.VALUES}"),
+    "age_histogram": (lambda c: E.age_histogram(c.customers), f"{Q.CTES} {Q.histogram('cust', 'age', 50, 'count(*) AS customers')}"),
+    "value_counts": (lambda c: value_counts(c), f"{Q.CTES} {Q.VALUES}"),
     "purchase_frequency": (lambda c: E.purchase_frequency(c.tx), f"{Q.CTES} SELECT least(c, 100) AS purchases, count(*) AS customers FROM {Q.PER} GROUP BY 1"),
+    "purchase_stats": (lambda c: E.purchase_stats(c.tx), f"{Q.CTES} SELECT * FROM ({Q.PURCHASES})"),
     "purchase_cdf": (lambda c: E.purchase_cdf(c.tx), f"{Q.CTES} SELECT purchases, customers, round(cdf, 6) AS cdf FROM ({Q.CDF})"),
     "cdf_thresholds": (lambda c: E.cdf_thresholds(E.purchase_cdf(c.tx)), f"{Q.CTES} SELECT min(purchases) FILTER (cdf >= 0.5) AS p50, min(purchases) FILTER (cdf >= 0.8) AS p80, min(purchases) FILTER (cdf >= 0.95) AS p95 FROM ({Q.CDF})"),
     "top_articles": (lambda c: E.top_articles(c.tx, c.articles), f"{Q.CTES} SELECT article_id, prod_name, n FROM (SELECT article_id, count(*) AS n FROM tx GROUP BY 1 ORDER BY n DESC, article_id LIMIT 20) LEFT JOIN art USING (article_id)"),
+    "article_histogram": (lambda c: E.article_histogram(c.tx), f"{Q.CTES} {Q.histogram('(SELECT least(count(*), 3000) AS c FROM tx GROUP BY article_id)', 'c', 60, 'count(*) AS articles')}"),
     "unsold_articles": (lambda c: E.unsold_articles(c.tx, c.articles), f"{Q.CTES} SELECT count(*) FILTER (article_id NOT IN (SELECT article_id FROM tx)) AS unsold, count(*) FILTER (article_id IN (SELECT article_id FROM tx)) AS sold FROM art"),
-    "age_product_pivot": (lambda c: E.age_product_pivot(c.tx, c.customers, c.articles, Q.GROUPS), f"{Q.CTES} {Q.PIVOT}"),
+    "age_product_pivot": (lambda c: E.age_product_pivot(c.tx, c.customers, c.articles), f"{Q.CTES}{Q.PIVOT_CTE} {Q.PIVOT}"),
     "repeat_rate": (lambda c: E.repeat_rate(c.tx), f"{Q.CTES} {Q.REPEAT}"),
     "monthly_price_ci": (lambda c: E.monthly_price_ci(c.tx, c.articles, Q.GROUPS), f"{Q.CTES} {Q.MONTHLY}"),
-    "monthly_category_share": (lambda c: E.monthly_category_share(c.tx, c.articles, ["index_group_name", "product_group_name"]), f"{Q.CTES} {Q.SHARE}"),
-    "season_clusters": (lambda c: E.season_clusters(E.monthly_category_share(c.tx, c.articles, ["index_group_name", "product_group_name"])), None),
+    "monthly_category_share": (lambda c: c.shares(), f"{Q.CTES}{Q.SHARE_CTE} {Q.SHARE}"),
+    "season_clusters": (lambda c: E.season_clusters(written(c.shares())), None),
     "old_sales_ratio": (lambda c: S.old_sales_ratio(c.tx, CUTOFF), f"{Q.CTES} SELECT article_id, count(*) AS total, round(avg(CASE WHEN t_dat < DATE '{Q.CUTOFF}' THEN 1.0 ELSE 0.0 END), 6) AS old_ratio FROM tx GROUP BY 1"),
+    "old_ratio_histogram": (lambda c: S.old_ratio_histogram(S.old_sales_ratio(c.tx, CUTOFF)), f"{Q.CTES} {Q.histogram(Q.OLD_RATIOS, 'old_ratio', 50, 'count(*) AS articles, count(*) FILTER (v >= 0.95) AS obsolete')}"),
     "repurchase_rate": (lambda c: _repurchase_rate(c), f"{Q.CTES} {Q.AGAIN}"),
     "word_counts": (lambda c: E.word_counts(c.articles), f"{Q.CTES} {Q.WORDS}"),
 }
@@ -282,6 +300,6 @@ def _repurchase_rate(c: Context) -> DataFrame:
 
 
 #: One division of stored doubles: equal to the last bit, and often a tie of rounding.
-EXACT = {"load_tables"}
+EXACT = {"load_tables", "sample_customers"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda spark, path, f=f, r=(lambda df: df) if k in EXACT else rounded: r(f(Context(spark, path)))) for k, (f, _) in PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in PAIRS.items() if s}

@@ -12,7 +12,7 @@ cust AS (
          CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 5000 THEN 'PRE-CREATE' ELSE 'ACTIVE' END AS club_member_status, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS fashion_news_frequency FROM customer)),
 art AS (
   SELECT p_partkey AS article_id, p_name AS prod_name, p_name AS detail_desc, p_brand || ' ' || p_name AS product_code, p_type AS product_group_name, p_brand AS index_group_name, p_brand AS index_name,
-         split_part(p_name, ' ', 1) AS colour_group_name, split_part(p_name, ' ', 2) AS product_type_name, p_size AS section_no FROM part),
+         split_part(p_name, ' ', 1) AS colour_group_name, split_part(p_name, ' ', 2) AS product_type_name, p_size AS section_no, p_type || ' ' || CAST(p_size % 5 AS VARCHAR) AS garment_group_name FROM part),
 b AS (SELECT max(t_dat) AS mx, max(t_dat) - 6 AS test_start, max(t_dat) - 13 AS val_start FROM tx),
 train AS (SELECT tx.* FROM tx, b WHERE t_dat >= DATE '{TRAIN_START}' AND t_dat < test_start),
 test AS (SELECT tx.* FROM tx, b WHERE t_dat >= test_start),
@@ -103,21 +103,21 @@ SHORT = named(ranked("customer_id, article_id", "customer_id", "last DESC, artic
 LONG = named(ranked("customer_id, article_id", "customer_id", "last DESC, article_id", bought("w60"), 50), "repurchase_long")
 _OTHERS = f"""(SELECT DISTINCT o.customer_id, y.article_id, coalesce(s.sold, 0) AS sold FROM {bought('w60')} o JOIN art x USING (article_id) JOIN art y ON y.product_code = x.product_code LEFT JOIN (SELECT article_id, count(*) AS sold FROM w60 GROUP BY 1) s ON s.article_id = y.article_id
   WHERE NOT EXISTS (SELECT 1 FROM {bought('w60')} z WHERE z.customer_id = o.customer_id AND z.article_id = y.article_id))"""
-CODE = named(ranked("customer_id, article_id", "customer_id", "sold DESC, article_id", _OTHERS, 30), "product_code")
+CODE = named(ranked("customer_id, article_id", "customer_id", "sold DESC, article_id", _OTHERS, 30), "product_code_repurchase")
 SEGMENT = f"SELECT customer_id, article_id, 'popular_segment' AS source, rank AS cand_rank FROM users JOIN cust USING (customer_id) JOIN ({segment('w14', 30)}) USING (age_group)"
 _LIKED = ranked("customer_id, product_group_name", "customer_id", "n DESC, product_group_name", "(SELECT customer_id, product_group_name, count(*) AS n FROM (SELECT tx.* FROM tx, b WHERE t_dat < test_start AND customer_id IN (SELECT customer_id FROM users)) JOIN art USING (article_id) GROUP BY 1, 2)", 3, "liked")
 _SOLD = ranked("product_group_name, article_id, sold", "product_group_name", "sold DESC, article_id", "(SELECT product_group_name, article_id, count(*) AS sold FROM w14 JOIN art USING (article_id) GROUP BY 1, 2)", 20, "place")
 CATEGORY = named(ranked("customer_id, article_id", "customer_id", "sold DESC, article_id", f"(SELECT * FROM ({_LIKED}) JOIN ({_SOLD}) USING (product_group_name))", 20), "category_popular")
 OBSOLETE = f"SELECT article_id FROM tx GROUP BY 1 HAVING avg(CASE WHEN t_dat < DATE '{CUTOFF}' THEN 1.0 ELSE 0.0 END) >= 0.95"
-PRIORITY = "CASE source WHEN 'repurchase_short' THEN 6 WHEN 'repurchase_long' THEN 5 WHEN 'product_code' THEN 4 WHEN 'category_popular' THEN 3 WHEN 'popular_segment' THEN 2 WHEN 'popular_global' THEN 1 ELSE 0 END"
+PRIORITY = "CASE source WHEN 'repurchase_short' THEN 6 WHEN 'repurchase_long' THEN 5 WHEN 'product_code_repurchase' THEN 4 WHEN 'category_popular' THEN 3 WHEN 'popular_segment' THEN 2 WHEN 'popular_global' THEN 1 ELSE 0 END"
 _ALL = " UNION ALL ".join((SHORT, LONG, CODE, POP["popular_global"], SEGMENT, CATEGORY))
 FULL = f"SELECT customer_id, article_id, source, cand_rank FROM ({ranked('*', 'customer_id, article_id', f'{PRIORITY} DESC', f'(SELECT * FROM ({_ALL}) WHERE article_id NOT IN ({OBSOLETE}))', 1, 'pick')})"
-QUOTA = "CASE source WHEN 'repurchase_short' THEN 10 WHEN 'repurchase_long' THEN 6 WHEN 'product_code' THEN 5 WHEN 'popular_global' THEN 10 WHEN 'popular_segment' THEN 5 WHEN 'category_popular' THEN 5 ELSE 0 END"
-_TURN = "CASE source WHEN 'repurchase_short' THEN 0 WHEN 'repurchase_long' THEN 1 WHEN 'product_code' THEN 2 WHEN 'popular_global' THEN 3 WHEN 'popular_segment' THEN 4 WHEN 'category_popular' THEN 5 ELSE 6 END"
+QUOTA = "CASE source WHEN 'repurchase_short' THEN 10 WHEN 'repurchase_long' THEN 6 WHEN 'product_code_repurchase' THEN 5 WHEN 'popular_global' THEN 10 WHEN 'popular_segment' THEN 5 WHEN 'category_popular' THEN 5 ELSE 0 END"
+_TURN = "CASE source WHEN 'repurchase_short' THEN 0 WHEN 'repurchase_long' THEN 1 WHEN 'product_code_repurchase' THEN 2 WHEN 'popular_global' THEN 3 WHEN 'popular_segment' THEN 4 WHEN 'category_popular' THEN 5 ELSE 6 END"
 _PLACED = f"(SELECT *, {PRIORITY} AS pri, {_TURN} AS turn, place <= {QUOTA} AS first FROM ({ranked('*', 'customer_id, source', 'cand_rank, article_id', 'g', rank='place')}))"
 STRATIFIED = f"SELECT customer_id, rank, article_id, source FROM ({ranked('customer_id, article_id, source', 'customer_id', 'first DESC, CASE WHEN first THEN turn ELSE -pri END, cand_rank, source, article_id', _PLACED, 40)})"
 LABELS = "SELECT g.*, CASE WHEN t.customer_id IS NULL THEN 0 ELSE 1 END AS label FROM g LEFT JOIN truth t ON t.customer_id = g.customer_id AND t.article_id = g.article_id"
-HARD = "CASE source WHEN 'repurchase_short' THEN 1.0 WHEN 'repurchase_long' THEN 0.9 WHEN 'product_code' THEN 0.75 ELSE 0.1 END"
+HARD = "CASE source WHEN 'repurchase_short' THEN 1.0 WHEN 'repurchase_long' THEN 0.9 WHEN 'product_code_repurchase' THEN 0.75 ELSE 0.1 END"
 NEGATIVES = f"SELECT customer_id, article_id, source, cand_rank, label FROM (SELECT *, sum(label) OVER (PARTITION BY customer_id) AS pos, row_number() OVER (PARTITION BY customer_id, label ORDER BY {HARD} DESC, cand_rank, article_id) AS place FROM ({LABELS})) WHERE label = 1 OR place <= greatest(30, pos * 50)"
 _TREND = ranked("product_group_name, article_id, n", "product_group_name", "n DESC, article_id", "(SELECT product_group_name, article_id, count(*) AS n FROM r2 JOIN art USING (article_id) GROUP BY 1, 2)", 5, "place")
 TRENDING = ranked("product_group_name, article_id", "", "product_group_name, place", f"({_TREND})", 50)
@@ -133,13 +133,13 @@ H = G + ", sizes AS (SELECT customer_id, CAST(count(*) AS DOUBLE) AS size FROM t
 F0 = ", hist AS (SELECT tx.* FROM tx, b WHERE t_dat < test_start), own AS (SELECT * FROM hist WHERE customer_id IN (SELECT customer_id FROM users))"
 USTATS = "SELECT customer_id, count(*) AS u_tx, count(DISTINCT article_id) AS u_unique, round(avg(price), 6) AS u_avg_price, CAST(max(test_start) - max(t_dat) AS INTEGER) AS u_recency FROM own, b GROUP BY 1"
 ISTATS = "SELECT article_id, count(*) AS i_tx, round(avg(price), 6) AS i_avg_price, CAST(max(test_start) - max(t_dat) AS INTEGER) AS i_recency FROM hist, b GROUP BY 1"
-UI = "SELECT customer_id, article_id, count(*) AS ui_count FROM own GROUP BY 1, 2"
+UI = "SELECT customer_id, article_id, count(*) AS ui_cnt FROM own GROUP BY 1, 2"
 
 
 def feature_sql(candidates: str, hist: str, t: str) -> str:
     """The 13 compact features; hist and t name a table and a date."""
     return f"""SELECT c.customer_id, c.article_id, c.source, c.cand_rank, CAST(coalesce(u_tx, 0) AS DOUBLE) AS u_tx, CAST(coalesce(u_unique, 0) AS DOUBLE) AS u_unique, round(coalesce(u_avg, 0), 6) AS u_avg_price, CAST(coalesce(u_rec, 0) AS DOUBLE) AS u_recency,
-  CAST(coalesce(i_tx, 0) AS DOUBLE) AS i_tx, round(coalesce(i_avg, 0), 6) AS i_avg_price, CAST(coalesce(i_rec, 0) AS DOUBLE) AS i_recency, CAST(coalesce(ui, 0) AS DOUBLE) AS ui_count, round(ln(1 + coalesce(i_tx, 0)), 6) AS pop_bias, round(1 / (1 + coalesce(i_rec, 999)), 6) AS recency_bias,
+  CAST(coalesce(i_tx, 0) AS DOUBLE) AS i_tx, round(coalesce(i_avg, 0), 6) AS i_avg_price, CAST(coalesce(i_rec, 0) AS DOUBLE) AS i_recency, CAST(coalesce(ui, 0) AS DOUBLE) AS ui_cnt, round(ln(1 + coalesce(i_tx, 0)), 6) AS pop_bias, round(1 / (1 + coalesce(i_rec, 999)), 6) AS recency_bias,
   round(ln(1 + coalesce(u_tx, 0)), 6) AS user_activity, round(coalesce(abs(u_avg - i_avg), 0), 6) AS price_gap, CAST(CASE c.source WHEN 'recent_user' THEN 3 WHEN 'pop_7d' THEN 2 WHEN 'pop_14d' THEN 1 ELSE 0 END AS DOUBLE) AS source_rank
   FROM ({candidates}) c LEFT JOIN (SELECT customer_id, count(*) AS u_tx, count(DISTINCT article_id) AS u_unique, avg(price) AS u_avg, {t} - max(t_dat) AS u_rec FROM {hist} GROUP BY 1) USING (customer_id)
   LEFT JOIN (SELECT article_id, count(*) AS i_tx, avg(price) AS i_avg, {t} - max(t_dat) AS i_rec FROM {hist} GROUP BY 1) USING (article_id) LEFT JOIN (SELECT customer_id, article_id, count(*) AS ui FROM {hist} GROUP BY 1, 2) USING (customer_id, article_id)"""
@@ -149,7 +149,7 @@ T0 = "(SELECT test_start FROM b)"
 USER_FULL = f"""SELECT customer_id, n_tx, days_since_last, avg_price, price_std, n_unique_articles, n_unique_categories, tx_14d, tx_30d, online_ratio, avg_tx_per_week, repurchase_rate, age, CASE WHEN club_member_status = 'ACTIVE' THEN 1 ELSE 0 END AS is_member FROM (
   SELECT customer_id, count(*) AS n_tx, CAST({T0} - max(t_dat) AS INTEGER) AS days_since_last, round(avg(price), 6) AS avg_price, round(stddev_samp(price), 6) AS price_std, count(DISTINCT article_id) AS n_unique_articles, count(DISTINCT product_group_name) AS n_unique_categories,
   count(*) FILTER (t_dat >= {T0} - 14) AS tx_14d, count(*) FILTER (t_dat >= {T0} - 30) AS tx_30d, round(avg(CASE WHEN sales_channel_id = 2 THEN 1.0 ELSE 0.0 END), 6) AS online_ratio, round(count(*) / greatest(1.0, ({T0} - min(t_dat)) / 7.0::DOUBLE), 6) AS avg_tx_per_week FROM own LEFT JOIN art USING (article_id) GROUP BY 1)
-  JOIN (SELECT customer_id, round(avg(CASE WHEN ui_count > 1 THEN 1.0 ELSE 0.0 END), 6) AS repurchase_rate FROM ({UI}) GROUP BY 1) USING (customer_id) LEFT JOIN cust USING (customer_id)"""
+  JOIN (SELECT customer_id, round(avg(CASE WHEN ui_cnt > 1 THEN 1.0 ELSE 0.0 END), 6) AS repurchase_rate FROM ({UI}) GROUP BY 1) USING (customer_id) LEFT JOIN cust USING (customer_id)"""
 
 
 def code_sql(column: str) -> str:
@@ -166,14 +166,52 @@ INTERACTION = f"""SELECT g.customer_id, g.article_id, CASE WHEN n > 0 THEN 1 ELS
 PLACES = f"{ranked('age_group, article_id, n', 'age_group', 'n DESC, article_id', '''(SELECT 'all' AS age_group, article_id, count(*) AS n FROM w14 GROUP BY 2 UNION ALL SELECT age_group, article_id, count(*) FROM w14 JOIN cust USING (customer_id) WHERE age_group IS NOT NULL GROUP BY 1, 2)''', rank='place')}"
 WEEKLY = "SELECT CAST(date_trunc('week', t_dat) AS DATE) AS week, count(*) AS tx, count(DISTINCT customer_id) AS customers, count(DISTINCT article_id) AS articles, round(sum(price), 4) AS revenue FROM tx GROUP BY 1 HAVING CAST(date_trunc('week', t_dat) AS DATE) < (SELECT CAST(date_trunc('week', max(t_dat)) AS DATE) FROM tx)"
 PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct, round(100 * (1 - count({c}) / count(*)), 6) AS null_pct FROM cust" for c in ("customer_id", "age", "club_member_status", "fashion_news_frequency"))
-VALUES = " UNION ALL ".join(f"SELECT \"column\", value, n FROM ({ranked('*', '', 'n DESC, value', f'''(SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM art WHERE {c} IS NOT NULL GROUP BY 2)''', 20, 'place')})" for c in ("product_group_name", "index_group_name", "colour_group_name"))
+def histogram(rows: str, value: str, bins: int, more: str = "") -> str:
+    """bin and counts of rows by equal bins between the ends of value."""
+    at = f"floor(round((v - CASE WHEN hi = lo THEN lo - 0.5 ELSE lo END) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * {bins}, 9))"
+    return f"SELECT CAST(least({at}, {bins - 1}) AS INTEGER) AS bin, {more or 'count(*) AS n'} FROM (SELECT CAST({value} AS DOUBLE) AS v, min(CAST({value} AS DOUBLE)) OVER () AS lo, max(CAST({value} AS DOUBLE)) OVER () AS hi FROM {rows} WHERE {value} IS NOT NULL) GROUP BY 1"
+
+
+def _values(table: str, c: str) -> str:
+    return f"SELECT \"column\", value, n FROM ({ranked('*', '', 'n DESC, value', f"""(SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 2)""", 20, 'place')})"
+
+
+VALUE_COLUMNS = (("art", ("product_group_name", "index_group_name", "colour_group_name", "product_type_name", "garment_group_name")), ("cust", ("club_member_status", "fashion_news_frequency")))
+VALUES = " UNION ALL ".join(_values(t, c) for t, cs in VALUE_COLUMNS for c in cs)
 PER = "(SELECT customer_id, count(*) AS c FROM tx GROUP BY 1)"
 CDF = f"SELECT purchases, customers, sum(customers) OVER (ORDER BY purchases) / sum(customers) OVER () AS cdf FROM (SELECT c AS purchases, count(*) AS customers FROM {PER} GROUP BY 1)"
 REPEAT = "SELECT round(avg(r), 6) AS mean, round(avg(CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END), 6) AS share_0, round(avg(CASE WHEN r > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_over_half FROM (SELECT customer_id, avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END) AS r FROM (SELECT customer_id, article_id, count(*) AS n FROM tx GROUP BY 1, 2) GROUP BY 1)"
 GROUPS = ("ECONOMY", "PROMO", "STANDARD")
 MONTHLY = f"SELECT product_group_name, month, round(mean, 6) AS mean, n, round(std, 6) AS std, round(std / sqrt(n), 6) AS se, round(mean - 1.96 * std / sqrt(n), 6) AS lo, round(mean + 1.96 * std / sqrt(n), 6) AS hi FROM (SELECT product_group_name, CAST(date_trunc('month', t_dat) AS DATE) AS month, avg(price) AS mean, count(*) AS n, stddev_samp(price) AS std FROM tx JOIN art USING (article_id) WHERE product_group_name IN {GROUPS} GROUP BY 1, 2)"
-SHARE = "SELECT category, " + ", ".join(f"round(100.0 * count(*) FILTER (month(t_dat) = {m}) / count(*), 6) AS m{m}" for m in range(1, 13)) + " FROM (SELECT t_dat, concat_ws(' | ', index_group_name, product_group_name) AS category FROM tx JOIN art USING (article_id)) GROUP BY 1"
-PIVOT = "SELECT age_group, count(*) AS tx, " + ", ".join(f"round(100.0 * count(*) FILTER (product_group_name = '{g}') / count(*), 6) AS {g}" for g in GROUPS) + " FROM tx JOIN cust USING (customer_id) JOIN art USING (article_id) WHERE age_group IS NOT NULL GROUP BY 1"
+SHARE = """SELECT e.category, e.month, round(100.0 * coalesce(n, 0) / base, 6) AS pct FROM (SELECT category, month, base FROM (SELECT category, count(*) AS base FROM named GROUP BY 1), (SELECT DISTINCT CAST(date_trunc('month', t_dat) AS DATE) AS month FROM tx)) e
+  LEFT JOIN (SELECT category, CAST(date_trunc('month', t_dat) AS DATE) AS month, count(*) AS n FROM named GROUP BY 1, 2) USING (category, month)"""
+SHARE_CTE = ", named AS (SELECT t_dat, index_group_name || ' | ' || index_name || ' | ' || product_type_name AS category FROM tx JOIN art USING (article_id) WHERE index_group_name || index_name || product_type_name IS NOT NULL)"
+PIVOT = """SELECT age_group, product_group_name, coalesce(n, 0) AS tx, round(100.0 * coalesce(n, 0) / base, 6) AS pct FROM (SELECT * FROM (SELECT age_group, count(*) AS base FROM x GROUP BY 1), (SELECT product_group_name FROM art WHERE product_group_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8))
+  LEFT JOIN (SELECT age_group, product_group_name, count(*) AS n FROM x GROUP BY 1, 2) USING (age_group, product_group_name)"""
+PIVOT_CTE = ", x AS (SELECT age_group, product_group_name FROM tx JOIN cust USING (customer_id) JOIN art USING (article_id) WHERE age_group IS NOT NULL AND product_group_name IS NOT NULL)"
+_CHANNELS = "(SELECT 'all' AS channel, price FROM tx UNION ALL SELECT CAST(sales_channel_id AS VARCHAR), price FROM tx)"
+QUANTILES = "SELECT channel, " + ", ".join(f"round(quantile_cont(price, {p / 100}), 6) AS q{p}" for p in (25, 50, 75, 90, 95, 99)) + f" FROM {_CHANNELS} GROUP BY 1"
+BOX = """SELECT channel, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(min(price) FILTER (within), 6) AS lo, round(max(price) FILTER (within), 6) AS hi, count(*) FILTER (NOT within) AS outliers FROM (
+  SELECT *, price >= q25 - 1.5 * (q75 - q25) AND price <= q75 + 1.5 * (q75 - q25) AS within FROM (SELECT CAST(sales_channel_id AS VARCHAR) AS channel, price FROM tx) JOIN (SELECT CAST(sales_channel_id AS VARCHAR) AS channel, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.5) AS q50, quantile_cont(price, 0.75) AS q75 FROM tx GROUP BY 1) USING (channel)) GROUP BY 1, 2, 3, 4"""
+PURCHASES = "UNPIVOT (SELECT " + ", ".join(f'round(CAST({e} AS DOUBLE), 1) AS "{n}"' for n, e in (("count", "count(*)"), ("mean", "avg(c)"), ("std", "stddev_samp(c)"), ("min", "min(c)"), ("25%", "quantile_cont(c, 0.25)"), ("50%", "quantile_cont(c, 0.5)"), ("75%", "quantile_cont(c, 0.75)"), ("max", "max(c)"))) + f" FROM {PER}) ON COLUMNS(*) INTO NAME statistic VALUE value"
+OLD_RATIOS = f"(SELECT avg(CASE WHEN t_dat < DATE '{CUTOFF}' THEN 1.0 ELSE 0.0 END) AS old_ratio FROM tx GROUP BY article_id)"
+
+
+def frame_week(k: int) -> str:
+    """The training rows of the k-th label week before the test week; names inside stand for the time before its first day with sales."""
+    inner = feature_sql(f"SELECT c.*, CASE WHEN y.customer_id IS NULL THEN 0 ELSE 1 END AS label FROM ({COMPACT}) c LEFT JOIN (SELECT DISTINCT customer_id, article_id FROM lab) y ON y.customer_id = c.customer_id AND y.article_id = c.article_id", "past", "(SELECT test_start FROM b)")
+    inner = inner.replace("c.cand_rank,", "c.cand_rank, c.label,", 1)
+    return f"""SELECT * FROM (WITH lab AS (SELECT train.*, test_start - {7 * (k + 1)} AS label_week FROM train, b WHERE t_dat >= test_start - {7 * (k + 1)} AND t_dat < test_start - {7 * k}), first_day AS (SELECT min(t_dat) AS day, min(label_week) AS label_week FROM lab), past AS (SELECT train.* FROM train, first_day WHERE t_dat < day)
+  SELECT *, (SELECT label_week FROM first_day) AS label_week FROM (WITH b AS (SELECT day AS test_start FROM first_day), tx AS (SELECT * FROM past), users AS (SELECT DISTINCT customer_id FROM lab), w7 AS (SELECT past.* FROM past, first_day WHERE t_dat >= day - 7), w14 AS (SELECT past.* FROM past, first_day WHERE t_dat >= day - 14) {inner}))"""
+
+
+FRAME = " UNION ALL ".join(frame_week(k) for k in (1, 2))
+
+
+def sample(rows: str, n: int) -> str:
+    return f"(SELECT DISTINCT customer_id, md5(customer_id || ':42') AS h FROM {rows} ORDER BY h, customer_id LIMIT {n})"
+
+
 AGAIN = " UNION ALL ".join(f"SELECT '{k}' AS key, " + ", ".join(f"round(100.0 * count(*) FILTER (days > 0 AND days <= {7 * w}) / count(*), 6) AS w{w}" for w in (1, 2, 3)) + f" FROM (SELECT lead(t_dat) OVER (PARTITION BY customer_id, {k} ORDER BY t_dat) - t_dat AS days FROM (SELECT tx.*, product_code, product_group_name FROM tx JOIN art USING (article_id)))" for k in ("article_id", "product_code", "product_group_name"))
-WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(regexp_replace(lower(detail_desc), '[^a-z]+', ' ', 'g')), ' +')) AS word FROM art) WHERE word <> '' AND word NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with') GROUP BY 1 ORDER BY n DESC, word LIMIT 200"
+WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(regexp_replace(lower(detail_desc), '[^a-z]+', ' ', 'g')), ' +')) AS word FROM art) WHERE word <> '' AND word NOT IN ('cm', 'item', 'made', 'product', 'size', 'wear', 'a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with') GROUP BY 1 ORDER BY n DESC, word LIMIT 200"
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import running
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -29,7 +31,7 @@ def load_tables(spark: SparkSession, path: str) -> Tables:
     name = F.col("p_name")
     articles = read("part").select(
         F.col("p_partkey").cast("long").alias("article_id"), name.alias("prod_name"), name.alias("detail_desc"), F.concat_ws(" ", "p_brand", "p_name").alias("product_code"), F.col("p_type").alias("product_group_name"),
-        F.col("p_brand").alias("index_group_name"), F.col("p_brand").alias("index_name"), F.split(name, "[ ]").getItem(0).alias("colour_group_name"), F.get(F.split(name, "[ ]"), F.lit(1)).alias("product_type_name"), F.col("p_size").cast("int").alias("section_no"),
+        F.col("p_brand").alias("index_group_name"), F.col("p_brand").alias("index_name"), F.split(name, "[ ]").getItem(0).alias("colour_group_name"), F.get(F.split(name, "[ ]"), F.lit(1)).alias("product_type_name"), F.col("p_size").cast("int").alias("section_no"), F.concat_ws(" ", "p_type", F.col("p_size") % 5).alias("garment_group_name"),
     )
     return Tables(transactions, customers, articles)
 
@@ -40,18 +42,13 @@ def normalise_types(transactions: DataFrame) -> DataFrame:
 
 def encode_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     """column, out: dense codes from 0 in order of the distinct non-null values. No task sorts them all: ranks inside range partitions plus the sizes of those before."""
-    keys = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    first = keys.groupBy("part").agg(F.count("*").alias("n"), F.min(column).alias("first"))
-    # one row for each partition; ranges are disjoint, so the smallest key orders them
-    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = first.select("part", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return keys.withColumn("at", rank).join(F.broadcast(offsets), "part").select(column, (F.col("before") + F.col("at")).cast("int").alias(out))
+    keys = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return running(keys, [], [column], F.lit(1), "_at").select(column, (F.col("_at") - 1).cast("int").alias(out))
 
 
 def write_processed(transactions: DataFrame, path: str) -> DataFrame:
-    """Transactions by week, so that date filters skip whole folders; read back."""
-    transactions.repartition("week").write.mode("overwrite").partitionBy("week").parquet(path)
+    """Transactions by week, so that date filters skip whole folders, each week by eight tasks; read back."""
+    transactions.repartition("week", F.pmod(F.xxhash64("customer_id"), F.lit(8))).write.mode("overwrite").partitionBy("week").parquet(path)
     return transactions.sparkSession.read.parquet(path)
 
 

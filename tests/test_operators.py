@@ -108,7 +108,7 @@ def test_no_future_in_features(spark):
     future = past.unionByName(tx(spark, [(-1, "u", "a")]))
     a, b = (features.compact(prep.between(x, None, DAY), c, DAY) for x in (past, future))
     assert rows(a, "*") == rows(b, "*")
-    assert rows(a, "customer_id", "u_tx", "i_tx", "ui_count", "i_recency") == [("n", 0.0, 0.0, 0.0, 0.0), ("u", 2.0, 2.0, 1.0, 2.0)]
+    assert rows(a, "customer_id", "u_tx", "i_tx", "ui_cnt", "i_recency") == [("n", 0.0, 0.0, 0.0, 0.0), ("u", 2.0, 2.0, 1.0, 2.0)]
 
 
 def test_multi_week(spark):
@@ -125,13 +125,13 @@ def test_rrf_is_invariant_under_scaling(spark):
 
 
 def test_ranker_finds_a_planted_signal(spark):
-    rows_ = [(f"u{u}", str(i), "pop_7d", i, int(i == 0)) + tuple(float(i == 0) if c == "ui_count" else 0.0 for c in features.COMPACT) for u in range(30) for i in range(8)]
+    rows_ = [(f"u{u}", str(i), "pop_7d", i, int(i == 0)) + tuple(float(i == 0) if c == "ui_cnt" else 0.0 for c in features.COMPACT) for u in range(30) for i in range(8)]
     names = ", ".join(f"{c} double" for c in features.COMPACT)
     frame = spark.createDataFrame(rows_, f"customer_id string, article_id string, source string, cand_rank int, label int, {names}")
     model = ranker.fit(frame, trees=2, depth=2)
     best = ranker.best(ranker.score(model, frame), 1)
     assert {r["article_id"] for r in best.collect()} == {"0"}
-    assert ranker.feature_importance(model, frame).orderBy("importance", ascending=False).first()["feature"] == "ui_count"
+    assert ranker.feature_importance(model, frame).orderBy("importance", ascending=False).first()["feature"] == "ui_cnt"
 
 
 def test_repurchase_rate_counts_the_next_row_alone(spark):
@@ -151,3 +151,73 @@ def test_impute_and_validate(spark):
     assert rows(features.validate(d, ["age", "n_tx"]), "*") == [("age", 1), ("n_tx", 1)]
     with pytest.raises(ValueError, match="missing"):
         features.validate(d, ["nope"])
+
+
+def test_running_totals_and_quantiles(spark):
+    import random
+
+    from nextbasket.functions.order import quantiles, running
+
+    r = random.Random(1)
+    data = [(k, r.randint(0, 50), i) for k in ("a", "b", None) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, v int, i int").repartition(8)
+    got = {(x["k"], x["i"]): x["total"] for x in running(df, ["k"], ["v", "i"], df["v"], "total").collect()}
+    for k in ("a", "b", None):
+        total = 0
+        for _, v, i in sorted((x for x in data if x[0] == k), key=lambda x: x[1:]):
+            total += v
+            assert got[k, i] == total
+    q = {(x["k"], x["p"]): x["q"] for x in quantiles(df.union(spark.sql("select 'a', cast(null as int), 0")), "k", "v", (0.0, 0.3, 0.5, 1.0)).collect()}
+    for k in ("a", "b", None):
+        values = sorted(x[1] for x in data if x[0] == k)
+        for p in (0.0, 0.3, 0.5, 1.0):
+            at = p * (len(values) - 1)
+            lo = int(at)
+            want = values[lo] + (at - lo) * (values[min(lo + 1, len(values) - 1)] - values[lo])
+            assert q[k, p] == pytest.approx(want)
+    assert quantiles(df.limit(0), "k", "v", (0.5,)).count() == 0
+
+
+def test_similarity_is_the_same_in_blocks(spark):
+    import random
+
+    r = random.Random(2)
+    pairs = spark.createDataFrame([(c, a) for c in range(12) for a in range(40) if r.random() < (0.9 if c == 0 else 0.2)], "customer_id int, article_id int")
+    whole, split = (sorted(map(tuple, itemcf.item_similarity(pairs, block).collect())) for block in (256, 3))
+    assert whole == split and whole
+
+
+def test_comparison_with_the_best_baseline(spark):
+    scores = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("item_cf", 0.3), ("two_stage", 0.5)], "model string, map double")
+    got = {x["model"]: (x["place"], x["lift"]) for x in metrics.compare_models(scores).collect()}
+    assert got["two_stage"] == (1, pytest.approx(1.5)) and got["b"] == (3, 0.0) and got["a"] == (4, pytest.approx(-0.5))
+
+
+def test_list_weights():
+    assert ranker.list_weights(["x", "y"], [3.0, 2.0]) == {"x": 3.0, "y": 2.0}
+    assert ranker.list_weights(["x", "y"], [3.0]) == {"x": 1.0, "y": 1.0}
+
+
+def test_histograms(spark):
+    ages = spark.createDataFrame([(float(a),) for a in (20, 20, 45, 70)] + [(None,)], "age double")
+    assert rows(analytics.age_histogram(ages, 5), "bin", "customers") == [(0, 2), (2, 1), (4, 1)]
+    assert rows(analytics.age_histogram(ages.where("age = 20"), 5), "bin", "customers") == [(2, 2)]
+    ratios = prep.old_sales_ratio(tx(spark, [(900, "c", "old")] * 3 + [(1, "c", "new"), (900, "c", "mid"), (1, "c", "mid")]), dt.date(2019, 1, 1))
+    assert rows(prep.old_ratio_histogram(ratios, 4), "bin", "articles", "obsolete") == [(0, 1, 0), (2, 1, 0), (3, 1, 1)]
+
+
+def test_shares_of_real_months_and_clusters(spark):
+    t = spark.createDataFrame([(dt.date(y, m, 3), f"a{k}") for k in range(40) for y in (2019, 2020) for m in (range(1, 7) if k % 2 else range(7, 13)) for _ in range(1 + k % 3)], "t_dat date, article_id string")
+    a = spark.createDataFrame([(f"a{k}", "g", "i", f"type{k}") for k in range(40)] + [("a0", None, "i", "x")], "article_id string, index_group_name string, index_name string, product_type_name string")
+    shares = analytics.monthly_category_share(t, a)
+    assert shares.count() == 40 * 24
+    one = {str(x["month"]): x["pct"] for x in shares.where("category = 'g | i | type1'").collect()}
+    assert one["2019-01-01"] == pytest.approx(100 / 12) and one["2020-12-01"] == 0
+    sizes = sorted(x["n"] for x in analytics.season_clusters(shares, k=2).collect())
+    assert sizes == [20, 20]
+
+
+def test_ranker_splits(spark):
+    t = tx(spark, [(1, "c", "x"), (8, "c", "y"), (8, "c", "y"), (20, "d", "z")])
+    parts = prep.ranker_splits(t, prep.bounds(t, dt.date(2000, 1, 1)))
+    assert {k: v.count() for k, v in parts.items()} == {"train_full": 3, "train_feat": 1, "val": 2, "val_truth": 1, "test_truth": 1}
