@@ -3,6 +3,7 @@
 1. A document's set is that of its hashed 5-word shingles; equal sets are one node, known by a 64-bit digest.
 2. Prefix filter: two sets can only link if they share a shingle among the first n - ceil(t*n) + 1 of each, in any order that
    is the same for all. The order puts very frequent shingles last, so that shared passages do not bring documents together.
+   Shingles with many nodes are dealt to several tasks by a salt wherever rows meet by shingle, and so are their hubs.
 3. Every node of a group is first compared with the group's smallest node, then, in groups of several components, with the node
    that shares the most prefix shingles with others. What links is joined to one component.
 4. Groups whose other nodes still lie in several components become signature trees: leaves of bounded size, grouped by size range and component.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitset, in_bitset, saved, shingles, slices, table, words
+from .common import bitset, frequent, in_bitset, saved, shingles, slices, table, words
 
 WORDS64 = 32  # the bitmap of a tree's node has 2,048 bits; that of a large set is a multiple, and folds to it
 FAN = 8
@@ -163,11 +164,12 @@ def components(e: DataFrame) -> DataFrame:
 
 class Join:
     """The join's settings. leaf: sets in a leaf. rounds: of comparisons with hubs. frequent: uses from which a shingle goes last, most_frequent: the most such shingles (8 bytes each
-    to every task; any choice of them gives the same links). filter_bits: the size of the bitmap that spares unneeded sets the shuffle."""
+    to every task; any choice of them gives the same links). filter_bits: the size of the bitmap that spares unneeded sets the shuffle.
+    hot: rows of a shingle from which they are dealt to several tasks; a 1,024th of all rows where that is more, so there are at most 1,024 such shingles."""
 
-    def __init__(self, percent: int = 80, width: int = 5, leaf: int = 512, frequent: int = 32, rounds: int = 1, most_frequent: int = 1 << 17, filter_bits: int = 1 << 23):
+    def __init__(self, percent: int = 80, width: int = 5, leaf: int = 512, frequent: int = 32, rounds: int = 1, most_frequent: int = 1 << 17, filter_bits: int = 1 << 23, hot: int = 64):
         self.percent, self.width, self.leaf, self.rounds = percent, width, leaf, rounds
-        self.frequent, self.most_frequent, self.filter_bits = frequent, most_frequent, filter_bits
+        self.frequent, self.most_frequent, self.filter_bits, self.hot = frequent, most_frequent, filter_bits, hot
 
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
@@ -193,7 +195,7 @@ class Join:
                 yield from flush()
 
         counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        top = counts.where(F.col("n") > self.frequent).orderBy(F.desc("n"), "h").limit(self.most_frequent).toArrow()
+        top = frequent(saved(counts.where(F.col("n") > self.frequent)), "n", self.most_frequent).toArrow()
         return np.sort(top["h"].to_numpy().view(np.uint64))
 
     def sets(self, docs: DataFrame) -> DataFrame:
@@ -255,33 +257,50 @@ class Join:
                 yield t.select(["a", "b"]).filter(pa.array([overlap(p, q) >= needed(len(p), len(q), percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
         fit = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
-        sized = members.where("id != low").where(fit).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+        # the hubs of hot shingles, 1,024 at most
+        hubs = F.broadcast(members.where(F.col("size") > self.hot).groupBy(F.col("low").alias("a")).agg(F.ceil(F.sum("size") / self.hot).cast("int").alias("parts")))
+
+        def dealt(pairs: DataFrame) -> DataFrame:
+            return pairs.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+        def copied(hub: DataFrame) -> DataFrame:
+            return hub.join(hubs, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+        sized = dealt(members.where("id != low").where(fit).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
         side = lambda c, *more: nodes.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in more))
-        open_ = saved(sized.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a").mapInArrow(possible, "a long, b long"))
+        open_ = saved(sized.join(side("b", "n", "bits"), "b").join(copied(side("a", "n", "bits")), ["a", "salt"]).mapInArrow(possible, "a long, b long"))
         full = saved(self.full_sets(docs, open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         side = lambda c: full.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
-        return open_.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long")
+        return dealt(open_).join(copied(side("a")), ["a", "salt"]).join(side("b"), "b").mapInArrow(exact, "a long, b long")
+
+    def by_group(self, rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("h",)) -> DataFrame:
+        """rows(size, id, keys) with the columns of groups(size, keys): hot groups are dealt by a hash of id. size: the rows of the shingle."""
+        parts = F.when(F.col("size") > self.hot, F.ceil(F.col("size") / self.hot)).otherwise(1).cast("int")
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size")
+        return rows.withColumn("salt", F.pmod(F.xxhash64("id"), parts).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
     def hubs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """members of groups of several components; low is now the node with the most partners over all such groups."""
-        known = members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("comp"))
-        groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
-        mixed = saved(known.join(groups, "h"))
-        partners = mixed.groupBy("id").agg(F.sum("size").alias("partners"))
-        low = mixed.join(partners, "id").groupBy("h").agg(F.max(F.struct("partners", "id", "n")).alias("top")).select("h", F.col("top.id").alias("low"), F.col("top.n").alias("low_n"))
-        return saved(mixed.select("h", "id", "n").join(low, "h"))
+        mixed = saved(self.mixed(members, labels))
+        partners = mixed.groupBy("id").agg(F.sum("left").alias("partners"))
+        low = mixed.join(partners, "id").groupBy("h", "size").agg(F.max(F.struct("partners", "id", "n")).alias("top")).select("h", "size", F.col("top.id").alias("low"), F.col("top.n").alias("low_n"))
+        return saved(self.by_group(mixed.select("h", "id", "n", "size"), low))
+
+    def mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """h, id, n, size, comp, left: the members of groups that hold several components; left: how many there are in the group."""
+        known = members.join(labels, "id", "left").select("h", "id", "n", "size", F.coalesce("label", "id").alias("comp"))
+        groups = known.groupBy("h", "size").agg(F.count("*").alias("left"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size", "left")
+        return self.by_group(known, groups)
 
     def leaves(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """h, leaf, id, n, comp: the members of groups that hold several components, dealt to leaves."""
-        known = members.join(labels, "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("comp"))
-        groups = known.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("h", "size")
-        mixed = saved(known.join(groups, "h"))
-        small = mixed.where(F.col("size") <= self.leaf).select("h", F.col("h").alias("leaf"), "id", "n", "comp")
+        mixed = saved(self.mixed(members, labels))
+        small = mixed.where(F.col("left") <= self.leaf).select("h", F.col("h").alias("leaf"), "id", "n", "comp")
         band = F.floor(F.log("n") / np.log(100 / self.percent)).cast("int")
-        large = mixed.where(F.col("size") > self.leaf).select("h", "id", "n", "comp", band.alias("band"))
-        parts = lambda keys, name: large.groupBy(*keys).agg(F.ceil(F.count("*") / self.leaf).alias(name))
-        large = large.join(parts(["h", "band"], "parts"), ["h", "band"]).withColumn("part", F.pmod(F.xxhash64("comp"), "parts"))
-        large = large.join(parts(["h", "band", "part"], "pieces"), ["h", "band", "part"]).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), "pieces"))
+        large = mixed.where(F.col("left") > self.leaf).select("h", "id", "n", "size", "comp", band.alias("band"))
+        parts = lambda keys, name: large.groupBy(*keys, "size").agg(F.ceil(F.count("*") / self.leaf).alias(name))
+        large = self.by_group(large, parts(["h", "band"], "parts"), ("h", "band")).withColumn("part", F.pmod(F.xxhash64("comp"), "parts"))
+        large = self.by_group(large, parts(["h", "band", "part"], "pieces"), ("h", "band", "part")).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), "pieces"))
         return small.union(large.select("h", F.xxhash64("h", "band", "part", "piece").alias("leaf"), "id", "n", "comp"))
 
     def tree_links(self, docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -296,13 +315,16 @@ class Join:
         wide = leaves.where(F.col("leaf") != F.col("h")).join(fold.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
         spare = F.col("n") - sum((F.bit_count(f"w{k}") for k in range(1, WORDS64)), F.bit_count("w0"))
         ors = [F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS64)]
-        large = wide.groupBy("h", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(spare).alias("spare"), *known[1:3], *ors)
-        x, y = large.alias("x"), large.alias("y")
+        large = saved(wide.groupBy("h", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(spare).alias("spare"), *known[1:3], *ors))
+        # the pairs of a group's leaves are dealt to as many tasks as keep a few leaves against all in each
+        parts = large.groupBy("h").agg(F.ceil(F.count("*") / 8).cast("int").alias("parts"))
+        x = large.join(parts, "h").withColumn("salt", F.pmod(F.xxhash64("leaf"), "parts").cast("int")).alias("x")
+        y = large.join(parts, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
         most = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(1, WORDS64)), F.bit_count(F.col("x.w0").bitwiseAND(F.col("y.w0")))) + F.least("x.spare", "y.spare")
         least = F.ceil((F.col("x.lo") + F.col("y.lo")) * percent / (100 + percent))
         apart = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
         near = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
-        across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.leaf") < F.col("y.leaf")) & near & apart & (most >= least)).select("x.h", F.col("x.leaf").alias("l"), F.col("y.leaf").alias("r"))
+        across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.leaf") < F.col("y.leaf")) & near & apart & (most >= least)).select("x.h", F.col("x.leaf").alias("l"), F.col("y.leaf").alias("r"))
         pairs = alone.union(across).withColumn("pair", F.xxhash64("h", "l", "r"))
         looks = pairs.select("h", "pair", F.explode(F.array_distinct(F.array("l", "r"))).alias("leaf")).join(leaves, ["h", "leaf"]).select("pair", "id", "n", "comp")
 
@@ -343,33 +365,46 @@ class Join:
         ready = open_.join(full, "id").withColumn("n", (F.length("shingles") / 8).cast("long"))
         return members_of(ready, "shingles").mapInArrow(exact, "a long, b long")
 
-    def uses_of(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
-        """h, id, n: the prefix shingles that may be among the shared ones; a bitmap of fixed size keeps the most others from the shuffle."""
-        held = sets.sparkSession.sparkContext.broadcast(bitset(shared, "h", self.filter_bits))
+    def uses_of(self, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+        """h, salt, id, n: the prefix shingles that may be among the shared ones; a bitmap of fixed size keeps the most others from the shuffle."""
+        hot = shared.where(F.col("size") > self.hot).select("h", "size").toArrow()  # 1,024 rows at most
+        h = hot["h"].to_numpy()
+        parts = -(-hot["size"].to_numpy() // self.hot)
+        order = np.argsort(h)
+        held = nodes.sparkSession.sparkContext.broadcast((bitset(shared, "h", self.filter_bits), h[order], parts[order]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, hot_h, hot_parts = held.value
             for b in batches:
                 h, sizes = b["prefix"].flatten().to_numpy(), np.diff(b["prefix"].offsets.to_numpy())
-                keep = in_bitset(held.value, h)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(pa.array(np.repeat(b[c].to_numpy(), sizes)[keep]) for c in ("id", "n"))], ["h", "id", "n"])
+                keep = in_bitset(bits, h)
+                h, ids, n = h[keep], *(np.repeat(b[c].to_numpy(), sizes)[keep] for c in ("id", "n"))
+                salt = np.zeros(len(h), np.int32)
+                if len(hot_h):
+                    at = np.minimum(np.searchsorted(hot_h, h), len(hot_h) - 1)
+                    salt = np.where(hot_h[at] == h, (ids & 0xFFFFFF) % hot_parts[at], 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(ids), pa.array(n)], ["h", "salt", "id", "n"])
 
-        return sets.select("id", "n", "prefix").mapInArrow(run, "h long, id long, n long")
+        return nodes.select("id", "n", "prefix").mapInArrow(run, "h long, salt int, id long, n long")
 
     def run(self, docs: DataFrame) -> DataFrame:
         docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         sets = saved(self.sets(docs))
         filled = sets.where("id is not null")
-        nodes = saved(filled.select("id", "n", "bits").dropDuplicates(["id"]))
-        uses = filled.select(F.explode("prefix").alias("h"), "id", "n")
-        shared = saved(uses.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("n", "id").alias("low_n")).where("low < high").select("h", "low", "low_n"))
-        members = saved(self.uses_of(filled, shared).join(shared, "h").select("h", "id", "n", "low", "low_n").distinct())
+        nodes = saved(filled.select("id", "n", "prefix", "bits").dropDuplicates(["id"]))
+        uses = nodes.select(F.explode("prefix").alias("h"), "id", "n")
+        shared = saved(uses.groupBy("h").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.min_by("n", "id").alias("low_n")).where("size > 1"))
+        self.hot = max(self.hot, (shared.agg(F.sum("size")).first()[0] or 0) // 1024)
+        parts = F.when(F.col("size") > self.hot, F.ceil(F.col("size") / self.hot)).otherwise(1).cast("int")
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        members = saved(self.uses_of(nodes, shared).join(salted, ["h", "salt"]).select("h", "id", "n", "size", "low", "low_n"))
         stars = saved(self.star_links(docs, members, nodes))
         # labels that are not yet their component's smallest only spare less work
         joined = star_step(edges(stars))
-        members = members.where("id != low").select("h", "id", "n")  # low was compared with all others
+        members = members.where("id != low").select("h", "id", "n", "size")  # low was compared with all others
         for _ in range(self.rounds):
             hubs = self.hubs(members, labels_of(joined))
-            members = hubs.where("id != low").select("h", "id", "n")
+            members = hubs.where("id != low").select("h", "id", "n", "size")
             joined = joined.union(edges(saved(self.star_links(docs, hubs, nodes))))
         labels = components(joined)  # whole ones: what the trees look at grows with the labels in a group
         trees = saved(self.tree_links(docs, members, nodes, labels))

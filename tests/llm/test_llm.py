@@ -508,7 +508,7 @@ def brute(rows):
     return sorted(str((i, len(s), least[root(k)])) for k, ((i, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("settings", [{}, {"leaf": 4, "frequent": 3, "rounds": 1}, {"leaf": 8, "rounds": 0, "most_frequent": 1, "filter_bits": 1 << 10}])
+@pytest.mark.parametrize("settings", [{}, {"leaf": 4, "frequent": 3, "rounds": 1, "hot": 2}, {"leaf": 8, "rounds": 0, "most_frequent": 1, "filter_bits": 1 << 10, "hot": 5}, {"leaf": 2, "rounds": 0, "hot": 3}])
 def test_jaccard_join_equals_brute_force(spark, settings):
     r = random.Random(8)
     passage = sentence(r, 40)
