@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1, layer), and Hz of MPEG-1.
 KBITS = {
@@ -28,6 +28,8 @@ KBITS = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 HERTZ = (44100, 48000, 32000)
+#: Fixed values of Layer II: bits of an allocation by subband, as (subbands, bits) runs, for MPEG-1 at high and low rates a channel, and for MPEG-2.
+HIGH, LOW, LSF = ((11, 4), (12, 3), (7, 2)), ((2, 4), (10, 3)), ((4, 4), (7, 3), (19, 2))
 #: The header bits that all frames of a stream share: sync, version, layer, sample rate.
 SAME = 0xFFFE0C00
 
@@ -52,6 +54,15 @@ def crc16(data: bytes, c: int = 0xFFFF) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int, c: int = 0xFFFF) -> int:
+    """Of the first so many bits."""
+    c = crc16(data[: bits // 8], c)
+    for k in range(bits // 8 * 8, bits):
+        high = c >> 15 ^ data[k // 8] >> (7 - k % 8) & 1
+        c = c << 1 & 0xFFFF ^ (0x8005 if high else 0)
+    return c
+
+
 @dataclass(frozen=True)
 class Header:
     word: int
@@ -79,6 +90,34 @@ class Header:
         mono = w >> 6 & 3 == 3
         return cls(w, layer, kbits, hertz, samples, size, (17 if mono else 32) if first else (9 if mono else 17), not w >> 16 & 1)
 
+    @property
+    def channels(self) -> int:
+        return 1 if self.word >> 6 & 3 == 3 else 2
+
+    def protected_bits(self, body: bytes) -> int:
+        """Bits behind the checksum that it covers besides the header: side information, allocations, and in Layer II what selects scale factors."""
+        if self.layer == 3:
+            return 8 * self.side
+        bound = 4 * ((self.word >> 4 & 3) + 1) if self.word >> 6 & 3 == 1 else 32  # joint stereo shares the allocations from there on
+        if self.layer == 1:
+            widths = [4] * 32
+        elif self.word >> 19 & 3 != 3:
+            widths = [w for n, w in LSF for _ in range(n)]
+        else:
+            rate = self.kbits // self.channels
+            low = rate <= 48
+            limit = (12 if self.hertz == 32000 else 8) if low else 27 if rate <= 80 or self.hertz == 48000 else 30
+            widths = [w for n, w in (LOW if low else HIGH) for _ in range(n)][:limit]
+        at = used = 0
+        whole = int.from_bytes(body, "big")
+        for k, w in enumerate(widths):
+            both = self.channels == 2 and k < bound
+            for _ in range(1 + both):
+                given = whole >> (8 * len(body) - at - w) & ((1 << w) - 1) if 8 * len(body) >= at + w else 0
+                used += (given > 0) * (1 if both else self.channels)
+                at += w
+        return at + 2 * used if self.layer == 2 else at
+
     @property
     def body(self) -> int:
         """Where the main data begin in a Layer III frame."""
@@ -97,7 +136,9 @@ class Parsed:
 
     @property
     def samples(self) -> int:
-        return sum(h.samples for _, h in self.frames)
+        """Those of all frames, without the delay and padding that an encoder says it added."""
+        added = int((self.vbr or {}).get("delay", 0)) + int((self.vbr or {}).get("padding", 0))
+        return max(0, sum(h.samples for _, h in self.frames) - added)
 
     def seconds(self) -> str:
         """The exact duration as a fraction."""
@@ -115,22 +156,59 @@ class Parsed:
 
 
 def id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
-    """The end of the tag at this place (the place itself if there is none) and its text frames."""
+    """The end of the tag at this place (the place itself if there is none), its footer included, and its text frames. Versions 2.2 to 2.4, also unsynchronised."""
     if data[at : at + 3] != b"ID3" or at + 10 > len(data) or any(b & 0x80 for b in data[at + 6 : at + 10]):
         return at, {}
     sync = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    plain = lambda b: int.from_bytes(b, "big")
+    version, flags = data[at + 3], data[at + 5]
     end = min(len(data), at + 10 + sync(data[at + 6 : at + 10]))
-    tags, p = {}, at + 10
-    while p + 10 <= end and data[p : p + 4].isalnum():
-        size = sync(data[p + 4 : p + 8]) if data[at + 3] >= 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        name, value = data[p : p + 4].decode("latin-1"), data[p + 10 : min(end, p + 10 + size)]
+    body = data[at + 10 : end]
+    if version >= 4 and flags & 0x10:
+        end = min(len(data), end + 10)
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    names, sizes = (3, 3) if version == 2 else (4, 4)
+    head = names + sizes + (2 if version > 2 else 0)
+    p = 0
+    if flags & 0x40 and version > 2 and len(body) >= 4:  # an extended header; from 2.4 on its size counts itself
+        p = sync(body[:4]) if version >= 4 else 4 + plain(body[:4])
+    tags = {}
+    while p + head <= len(body) and body[p : p + names].isalnum():
+        size = (sync if version >= 4 else plain)(body[p + names : p + names + sizes])
+        name, value = body[p : p + names].decode("latin-1"), body[p + head : p + head + size]
+        if version >= 4 and body[p + head - 1] & 2:
+            value = value.replace(b"\xff\0", b"\xff")
+        if version >= 4 and body[p + head - 1] & 1:
+            value = value[4:]  # the length before what was done to it
         if name[0] == "T" and value:
             text = value[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[value[0] & 3], "replace").split("\0")
-            tags[f"TXXX:{text[0]}" if name == "TXXX" else name] = text[1 if name == "TXXX" and len(text) > 1 else 0]
-        p += 10 + size
+            own = name in ("TXXX", "TXX")
+            tags[f"TXXX:{text[0]}" if own else name] = text[1 if own and len(text) > 1 else 0]
+        p += head + size
     return end, tags
 
 
+def ape(data: bytes, end: int) -> tuple[int, dict[str, str]]:
+    """The start of the APE tag that ends here (the place itself if there is none), and its text items."""
+    if end < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return end, {}
+    num = lambda i: int.from_bytes(data[i : i + 4], "little")
+    size, items, flags = num(end - 20), num(end - 16), num(end - 12)
+    begin = end - size - (32 if flags >> 31 else 0)
+    if size < 32 or begin < 0:
+        return end, {}
+    tags, p = {}, end - size
+    for _ in range(items):
+        stop = data.find(b"\0", p + 8, end - 32)
+        if p + 8 > end - 32 or stop < 0:
+            break
+        if num(p + 4) >> 1 & 3 == 0:
+            tags[f"APE:{data[p + 8 : stop].decode('latin-1')}"] = data[stop + 1 : min(end - 32, stop + 1 + num(p))].decode("utf-8", "replace")
+        p = stop + 1 + num(p)
+    return begin, tags
+
+
 def vbr_table(data: bytes, at: int, h: Header) -> dict[str, object] | None:
     """The Xing, Info or VBRI table that a first Layer III frame may hold in place of audio."""
     p = at + h.body
@@ -140,6 +218,9 @@ def vbr_table(data: bytes, at: int, h: Header) -> dict[str, object] | None:
             if flags & bit:
                 out[name] = [*data[p : p + size]] if name == "toc" else int.from_bytes(data[p : p + size], "big")
                 p += size
+        if data[p : p + 4].isalnum() and len(data) >= p + 24:  # the encoder's name; its delay and padding are twelve bits each
+            added = int.from_bytes(data[p + 21 : p + 24], "big")
+            out |= {"encoder": data[p : p + 9].rstrip(b"\0 ").decode("latin-1"), "delay": added >> 12, "padding": added & 0xFFF}
         return out
     p = at + 36
     if data[p : p + 4] == b"VBRI":
@@ -155,6 +236,8 @@ def parse(data: bytes) -> Parsed:
     if data[-128:-125] == b"TAG":
         end -= 128
         out.tags["TIT2"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    end, items = ape(data, end)
+    out.tags |= items
     at, gap = 0, -1
     locked: int | None = None
     while at < end:
@@ -175,8 +258,9 @@ def parse(data: bytes) -> Parsed:
                     out.gaps.append((gap, at))
                     gap = -1
                 good = None
-                if h.protected and h.layer == 3:
-                    good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+                if h.protected:
+                    body = data[at + 6 : min(after, at + 6 + 64)]
+                    good = crc16_bits(body, h.protected_bits(body), crc16(data[at + 2 : at + 4])) == int.from_bytes(data[at + 4 : at + 6], "big") if 8 * len(body) >= h.protected_bits(body) else False
                     out.crc_ok += good
                     out.crc_bad += not good
                 else:
@@ -242,17 +326,19 @@ def decode(data: bytes, p: Parsed) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, media: each text as an MPEG stream. Null texts are empty, null doc_ids and repeated rows stay."""
+    """doc_id, media: each text as an MPEG stream. Null texts are empty, null doc_ids and repeated rows stay, other columns are dropped. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i, j, _, _ in slices(b["text"], BATCH_BYTES):
+                part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([encode(x or b"") for x in part["text"].cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
 
 
+#: Bytes of texts or streams that are turned at a time.
+BATCH_BYTES = 4 << 20
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
     "frames long, samples long, sample_rate int, duration string, crc_ok long, crc_bad long, gap_bytes long, seek array<struct<sample:long,offset:long>>"
@@ -263,7 +349,8 @@ def features(media: DataFrame, every: int = 50) -> DataFrame:
     """One row per row of media(doc_id, media): the payload's and the stream's digests, exact duration and seek offsets.
 
     Works on any MPEG audio bytes: null or broken media give no frames, their bytes count as gaps; a payload is the
-    first 576 bytes of each frame's main data. n_bytes is the length in the tag, or else the payload's.
+    first 576 bytes of each frame's main data. n_bytes is the length in the tag, or else the payload's. Null doc_ids and repeated
+    rows stay, other columns are dropped, an empty table gives no rows.
     """
 
     def row(i: int | None, data: bytes) -> dict[str, object]:
@@ -285,9 +372,9 @@ def features(media: DataFrame, every: int = 50) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                yield pa.RecordBatch.from_pylist([row(i, m or b"") for i, m in zip(part["doc_id"].to_pylist(), part["media"].to_pylist(), strict=True)], schema)
+            for i, j, _, _ in slices(b["media"], BATCH_BYTES):
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_pylist([row(d, m or b"") for d, m in zip(part["doc_id"].to_pylist(), part["media"].to_pylist(), strict=True)], schema)
 
     return media.select("doc_id", "media").mapInArrow(run, FEATURES)
 

@@ -70,6 +70,53 @@ def test_mpeg_resynchronises():
     assert mpeg.parse(data + b"TAG" + b"name".ljust(125, b"\0")).tags["TIT2"] == "name"
 
 
+def crc_by_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ b else 0)) & 0xFFFF
+    return c
+
+
+def test_mpeg_checksums_of_layers_one_and_two():
+    r = random.Random(18)
+    bits = lambda data: [x >> k & 1 for x in data for k in range(7, -1, -1)]
+    for layer, rate, mode in ((1, 5, 0), (1, 5, 3), (1, 5, 1), (2, 8, 0), (2, 8, 3), (2, 2, 3)):
+        lead = bytes([0xFF, 0xF8 | (4 - layer) << 1, rate << 4, mode << 6])
+        h = mpeg.Header.parse(lead + bytes(4), 0)
+        body = bytes(r.randrange(256) for _ in range(h.size - 6))
+        if layer == 1:
+            n = 4 * {0: 64, 3: 32, 1: 36}[mode]
+        else:
+            widths = ([4] * 11 + [3] * 12 + [2] * 7)[: 27 if h.kbits // h.channels <= 80 else 30] if h.kbits // h.channels > 48 else ([4] * 2 + [3] * 10)[:8]
+            at = used = 0
+            for w in widths:
+                for _ in range(h.channels):
+                    used += any(bits(body)[at : at + w])
+                    at += w
+            n = at + 2 * used
+        frame = lead + crc_by_bits(bits(lead[2:]) + bits(body)[:n]).to_bytes(2, "big") + body
+        p = mpeg.parse(frame * 3)
+        assert (p.crc_ok, p.crc_bad, p.unchecked, len(p.frames)) == (3, 0, 0, 3), (layer, rate, mode)
+        assert mpeg.parse(frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:] + frame * 2).crc_bad == 1
+
+
+def test_mpeg_tags_and_exact_durations():
+    data = mpeg.encode(b"x" * 1000)
+    audio = data[mpeg.id3v2(data, 0)[0] :]
+    text = b"TIT2" + (5).to_bytes(4, "big") + bytes(2) + b"\3name"
+    footer = b"ID3\4\0\x10" + bytes([0, 0, 0, len(text)]) + text + b"3DI\4\0\x10" + bytes([0, 0, 0, len(text)])
+    assert mpeg.parse(footer + audio).tags["TIT2"] == "name" and mpeg.parse(footer + audio).gaps == []
+    old = b"TT2" + (6).to_bytes(3, "big") + b"\0\xff\0bcd"
+    assert mpeg.parse(b"ID3\2\0\x80" + bytes([0, 0, 0, len(old)]) + old + audio).tags["TT2"][0] == "\xff"
+    item = (3).to_bytes(4, "little") + bytes(4) + b"Key\0" + b"val"
+    end = lambda flags: b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little") + flags.to_bytes(4, "little") + bytes(8)
+    p = mpeg.parse(audio + end(0xA0000000) + item + end(0x80000000))
+    assert p.tags["APE:Key"] == "val" and p.gaps == [] and p.samples == 2 * 1152
+    at = audio.index(b"Info") + 8 + 4 + 4 + 100 + 4
+    p = mpeg.parse(audio[:at] + b"LAME3.100" + bytes(12) + (576 << 12 | 700).to_bytes(3, "big") + audio[at + 24 :])
+    assert p.samples == 2 * 1152 - 576 - 700 and p.seconds() == "1028/44100"
+
+
 def test_mpeg_edges(spark):
     got = mpeg.features(mpeg.store(docs(spark, EDGE))).collect()
     want = sorted((str(i), len((t or "").encode())) for i, t in EDGE)
