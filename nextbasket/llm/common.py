@@ -30,9 +30,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/llm-{uuid.uuid4().hex}"
 
 
+#: The folders that saved() has written in this process and removed() has not taken away.
+WRITTEN: list[str] = []
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Takes written tables away, once nothing that is still to run reads them."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        WRITTEN.remove(path)
+
+
 def saved(df: DataFrame, **options: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
+    WRITTEN.append(path)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

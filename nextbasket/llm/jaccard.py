@@ -4,12 +4,13 @@
 2. Prefix filter: two sets can only link if they share a shingle among the first n - ceil(t*n) + 1 of each, in any order that
    is the same for all. The order puts very frequent shingles last, so that shared passages do not bring documents together.
    Shingles with many nodes are dealt to several tasks by a salt wherever rows meet by shingle, and so are their hubs.
-3. Every node of a group is first compared with the group's smallest node, then, in groups of several components, with the node
-   that shares the most prefix shingles with others. What links is joined to one component.
-4. Groups whose other nodes still lie in several components become signature trees: leaves of bounded size, grouped by size range and component.
-   A node holds the OR of its sets' bitmaps, its size range and its component range. Leaf pairs are pruned by size range,
-   by maximum possible overlap and where both sides lie in one component; dual traversal goes on inside each leaf pair.
-   What is left is compared exactly; only links that join two components leave a task.
+3. Groups become signature trees: leaves of bounded size, grouped by size range and component. A node holds the OR of its sets'
+   bitmaps, its size range and its component range. Leaf pairs are pruned by size range, by maximum possible overlap and where
+   both sides lie in one component; dual traversal goes on inside each leaf pair. What is left is compared exactly; only
+   links that join two components leave a task. First come the trees of each node's largest group, then those of all groups
+   that still hold several components.
+4. Of groups with more nodes than a leaf holds, whose leaf pairs would grow with the square, all nodes are first compared with the
+   smallest one and then with the one that shares the most prefix shingles with others. What links is one component to the trees.
 5. Connected components of all links by alternating large and small stars.
 """
 
@@ -224,6 +225,9 @@ class Join:
 
     def full_sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """id, shingles (8 bytes each) of the wanted ids; a bitmap of fixed size keeps nearly all others from the shuffle."""
+        ids = saved(ids)
+        if not ids.limit(1).count():  # no pass over the texts for nothing
+            return ids.select("id", F.lit(None).cast("binary").alias("shingles"))
         width, shared = self.width, docs.sparkSession.sparkContext.broadcast(bitset(ids, "id", self.filter_bits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,18 +402,21 @@ class Join:
         parts = F.when(F.col("size") > self.hot, F.ceil(F.col("size") / self.hot)).otherwise(1).cast("int")
         salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         members = saved(self.uses_of(nodes, shared).join(salted, ["h", "salt"]).select("h", "id", "n", "size", "low", "low_n"))
-        stars = saved(self.star_links(docs, members, nodes))
         # labels that are not yet their component's smallest only spare less work
-        joined = star_step(edges(stars))
-        members = members.where("id != low").select("h", "id", "n", "size")  # low was compared with all others
+        large = members.where(F.col("size") > self.leaf)
+        joined = star_step(edges(saved(self.star_links(docs, large, nodes))))
+        large = large.where("id != low").select("h", "id", "n", "size")  # low was compared with all others
         for _ in range(self.rounds):
-            hubs = self.hubs(members, labels_of(joined))
-            members = hubs.where("id != low").select("h", "id", "n", "size")
+            hubs = self.hubs(large, labels_of(joined))
+            large = hubs.where("id != low").select("h", "id", "n", "size")
             joined = joined.union(edges(saved(self.star_links(docs, hubs, nodes))))
+        small = members.where(F.col("size") <= self.leaf).select("h", "id", "n", "size")
+        largest = small.groupBy("id").agg(F.max_by("h", F.struct("size", "h")).alias("h")).select("h").distinct()
         labels = components(joined)  # whole ones: what the trees look at grows with the labels in a group
-        trees = saved(self.tree_links(docs, members, nodes, labels))
-        if trees.limit(1).count():
-            labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(edges(trees)))
+        for some in (small.join(largest, "h", "left_semi"), small.union(large)):
+            links = saved(self.tree_links(docs, some, nodes, labels))
+            if links.limit(1).count():
+                labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(edges(links)))
         first = filled.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         component = first.groupBy("label").agg(F.min("first").alias("component_id"))
         component = first.join(component, "label").select("id", "component_id")

@@ -597,6 +597,77 @@ def test_dual_traversal_prunes_nothing_that_links():
     assert len(found) < 400
 
 
+# the contracts of the queries ----------------------------------------------------------------------
+def b32_sha1(data):
+    import base64
+
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_queries_keep_their_contracts(spark, tmp_path):
+    from nextbasket.llm import queries
+
+    r = random.Random(19)
+    rows = [(i, sentence(r, 25) + (" vile fool" if i % 4 == 0 else "") + (f" token={'Ab3' * 4}" if i % 7 == 0 else "")) for i in range(60)]
+    rows += [(200 + k, rows[k][1].upper()) for k in range(5)] + [(300, rows[3][1] + " more")] + EDGE
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[5][1]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pages = [(i, f"http://h{i}.example.org/{'es' if i % 2 else 'x'}/{i}", ["same", "é" * 9, "", None, f"p{i}"][i % 5]) for i in range(20)] + [(None, None, "same"), (0, "u", "same")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {n: [x.asDict() for x in f(spark, str(tmp_path)).collect()] for n, f in queries.QUERIES.items()}
+    texts = sorted((str(i), (t or "").encode()) for i, t in rows)
+    crc = lambda i: zlib.crc32(str(i).encode())
+
+    def by_text(name):
+        """The rows of the query beside the texts; rows that repeat a doc_id (or have none) are checked as a set elsewhere."""
+        single = collections.Counter(i for i, _ in rows)
+        have = {x["doc_id"]: x for x in got[name] if single[x["doc_id"]] == 1}
+        assert len(got[name]) == len(rows)
+        return [(have[i], t or "") for i, t in rows if single[i] == 1]
+
+    for x, t in by_text("op1_media_mpeg"):
+        data = t.encode()
+        payload = data.ljust(max(576, -(-len(data) // 576) * 576), b"\xff")
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (x["media_bytes"], x["media_sha256"]) == (len(mpeg.encode(data)), hashlib.sha256(mpeg.encode(data)).hexdigest()) and x["feature"]
+    for x, t in by_text("op2_toxicity"):
+        assert x["held_out"] == (crc(x["doc_id"]) % 5 == 0) and 0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5)
+    for x, t in by_text("op4_secrets"):
+        base = base_spans(t)
+        assert [x[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(b[3] == k for b in base) for k in ("assign", "access", "hex")]
+        assert x["base_sha256"] == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, b, n in base).encode()).hexdigest()
+    least = {}
+    for i, _, h in pages:
+        if i is not None:
+            least[h or ""] = min(i, least.get(h or "", i))
+    want = sorted(str((i, len((h or "").encode()), b32_sha1((h or "").encode()), *(("response", None) if i is not None and i == least[h or ""] else ("revisit", least[h or ""])))) for i, _, h in pages)
+    assert sorted(str(tuple(x[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))) for x in got["op5_warc"]) == want
+    counts = collections.Counter(w for i, t in rows if crc(i) % 7 != 2 or i is None for w in [*WORD.findall(lower(t)), None])
+    n, v = sum(counts.values()), len(counts)
+    for x, t in by_text("op7_lm_score"):
+        own = [*WORD.findall(lower(t)), None]
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (crc(x["doc_id"]) % 7 == 2, len(own), sum(counts[w] > 0 for w in own), n)
+        assert x["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+    assert sorted(str((x["doc_id"], x["n_shingles"], x["component_id"])) for x in got["op10_jaccard"]) == brute(rows)
+    assert {x["doc_id"] for x in got["op8_decontaminate"]} == {5}
+    assert len(got["op3_url_filter"]) == len(pages) and {x["verdict"] for x in got["op3_url_filter"]} == {"allow", "block"}
+    assert len(got["op6_line_dedup"]) == len(rows) and {x["doc_id"] for x in got["op9_packing"]} == {i for i, _ in rows}
+    assert len(texts) == len(rows)
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    from nextbasket.llm import queries
+
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, columns in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    for f in queries.QUERIES.values():
+        assert f(spark, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 # the pipeline ------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
