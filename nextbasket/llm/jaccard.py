@@ -72,8 +72,12 @@ def tree(bits: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[np.nda
 
 def dual_traversal(wide: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j (places in the arrays, which are sorted by n) of different components whose maximum possible overlap allows a link."""
-    levels = tree(np.stack([folded(b) for b in wide]), n, comp)
-    i = j = np.zeros(1, np.int64)
+    bits = np.stack([folded(b) for b in wide])
+    if len(n) <= FAN:  # one node of the tree: its sets face each other
+        levels, (i, j) = [(bits, n, n, n, comp, comp)], np.triu_indices(len(n), 1)
+    else:
+        levels = tree(bits, n, comp)
+        i = j = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
         b, lo, hi, spare, first, last = levels[depth]
         ok = (hi[i] * 100 >= lo[j] * percent) & ((first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j]))
@@ -300,6 +304,8 @@ class Join:
         """h, leaf, id, n, comp: the members of groups that hold several components, dealt to leaves."""
         mixed = saved(self.mixed(members, labels))
         small = mixed.where(F.col("left") <= self.leaf).select("h", F.col("h").alias("leaf"), "id", "n", "comp")
+        if not mixed.where(F.col("left") > self.leaf).limit(1).count():
+            return small
         band = F.floor(F.log("n") / np.log(100 / self.percent)).cast("int")
         large = mixed.where(F.col("left") > self.leaf).select("h", "id", "n", "size", "comp", band.alias("band"))
         parts = lambda keys, name: large.groupBy(*keys, "size").agg(F.ceil(F.count("*") / self.leaf).alias(name))
@@ -307,13 +313,9 @@ class Join:
         large = self.by_group(large, parts(["h", "band", "part"], "pieces"), ("h", "band", "part")).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), "pieces"))
         return small.union(large.select("h", F.xxhash64("h", "band", "part", "piece").alias("leaf"), "id", "n", "comp"))
 
-    def tree_links(self, docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    def leaf_pairs(self, leaves: DataFrame, nodes: DataFrame, known: list) -> DataFrame:
+        """h, l, r: the pairs of leaves of large groups whose OR bitmaps and sizes allow a link between two components."""
         percent = self.percent
-        leaves = saved(self.leaves(members, labels))
-        # leaves of the same sets need one look
-        known = [F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
-        alone = leaves.groupBy("h", "leaf").agg(*known).where("first != last").groupBy("size", "x1", "x2").agg(F.min("leaf").alias("l"), F.min_by("h", "leaf").alias("h")).select("h", "l", F.col("l").alias("r"))
-        # leaves of large groups are also paired with the group's others
         word = lambda k: F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long")
         fold = nodes.mapInArrow(fold_batches, "id long, bits binary")
         wide = leaves.where(F.col("leaf") != F.col("h")).join(fold.select("id", *(word(k).alias(f"w{k}") for k in range(WORDS64))), "id")
@@ -328,14 +330,25 @@ class Join:
         least = F.ceil((F.col("x.lo") + F.col("y.lo")) * percent / (100 + percent))
         apart = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
         near = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
-        across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.leaf") < F.col("y.leaf")) & near & apart & (most >= least)).select("x.h", F.col("x.leaf").alias("l"), F.col("y.leaf").alias("r"))
-        pairs = alone.union(across).withColumn("pair", F.xxhash64("h", "l", "r"))
+        return x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.leaf") < F.col("y.leaf")) & near & apart & (most >= least)).select("x.h", F.col("x.leaf").alias("l"), F.col("y.leaf").alias("r"))
+
+    def tree_links(self, docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+        percent = self.percent
+        leaves = saved(self.leaves(members, labels))
+        # leaves of the same sets need one look
+        known = [F.count("*").alias("size"), F.min("comp").alias("first"), F.max("comp").alias("last"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
+        alone = leaves.groupBy("h", "leaf").agg(*known).where("first != last").groupBy("size", "x1", "x2").agg(F.min("leaf").alias("l"), F.min_by("h", "leaf").alias("h")).select("h", "l", F.col("l").alias("r"))
+        pairs = alone
+        if leaves.where("leaf != h").limit(1).count():
+            pairs = alone.union(self.leaf_pairs(leaves, nodes, known))
+        pairs = pairs.withColumn("pair", F.xxhash64("h", "l", "r"))
         looks = pairs.select("h", "pair", F.explode(F.array_distinct(F.array("l", "r"))).alias("leaf")).join(leaves, ["h", "leaf"]).select("pair", "id", "n", "comp")
 
         def arrays(t: pa.RecordBatch, k: int, name: str) -> tuple[np.ndarray, ...]:
             x = t["m"][k].values
             order = np.argsort(x.field("n").to_numpy(), kind="stable")
-            return order, *(x.field(c).to_numpy()[order] for c in ("n", "comp", "id")), [x.field(name)[int(o)].as_py() for o in order]
+            raw = x.field(name).to_pylist()
+            return order, *(x.field(c).to_numpy()[order] for c in ("n", "comp", "id")), [raw[o] for o in order.tolist()]
 
         def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
@@ -402,18 +415,20 @@ class Join:
         parts = F.when(F.col("size") > self.hot, F.ceil(F.col("size") / self.hot)).otherwise(1).cast("int")
         salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         members = saved(self.uses_of(nodes, shared).join(salted, ["h", "salt"]).select("h", "id", "n", "size", "low", "low_n"))
-        # labels that are not yet their component's smallest only spare less work
         large = members.where(F.col("size") > self.leaf)
-        joined = star_step(edges(saved(self.star_links(docs, large, nodes))))
-        large = large.where("id != low").select("h", "id", "n", "size")  # low was compared with all others
-        for _ in range(self.rounds):
-            hubs = self.hubs(large, labels_of(joined))
-            large = hubs.where("id != low").select("h", "id", "n", "size")
-            joined = joined.union(edges(saved(self.star_links(docs, hubs, nodes))))
+        labels = docs.sparkSession.createDataFrame([], "id long, label long")
+        if large.limit(1).count():
+            # labels that are not yet their component's smallest only spare less work
+            joined = star_step(edges(saved(self.star_links(docs, large, nodes))))
+            large = large.where("id != low").select("h", "id", "n", "size")  # low was compared with all others
+            for _ in range(self.rounds):
+                hubs = self.hubs(large, labels_of(joined))
+                large = hubs.where("id != low").select("h", "id", "n", "size")
+                joined = joined.union(edges(saved(self.star_links(docs, hubs, nodes))))
+            labels = components(joined)  # whole ones: what the trees look at grows with the labels in a group
         small = members.where(F.col("size") <= self.leaf).select("h", "id", "n", "size")
         largest = small.groupBy("id").agg(F.max_by("h", F.struct("size", "h")).alias("h")).select("h").distinct()
-        labels = components(joined)  # whole ones: what the trees look at grows with the labels in a group
-        for some in (small.join(largest, "h", "left_semi"), small.union(large)):
+        for some in (small.join(largest, "h", "left_semi"), small.union(large.select("h", "id", "n", "size"))):
             links = saved(self.tree_links(docs, some, nodes, labels))
             if links.limit(1).count():
                 labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(edges(links)))

@@ -49,6 +49,7 @@ def chunks(data: np.ndarray, at: np.ndarray, c: Chunking) -> list[list[tuple[int
     h = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     rolled = h.copy()
     rolled[1:] += h[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    rolled[begin[:-1]] = h[begin[:-1]]  # no text is cut by the last line of another
     cut = mixed(rolled) % np.uint64(c.divisor) == 0
     out = []
     for i, (lo, hi) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):

@@ -343,6 +343,15 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(copies).count() == 2
 
 
+def test_chunks_of_a_text_do_not_depend_on_others():
+    r = random.Random(20)
+    texts = ["\n".join(sentence(r, 3) for _ in range(9)) for _ in range(12)]
+    c = lines.Chunking(least=1)
+    one = [lines.chunks(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), c)[0] for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert lines.chunks(np.frombuffer("".join(texts).encode(), np.uint8), at, c) == one
+
+
 def test_repeated_runs_equal_brute_force(spark):
     r = random.Random(14)
     shared = [[sentence(r, 8) for _ in range(2 + k % 5)] for k in range(20)] + [[sentence(r, 80)], ["", *[sentence(r, 3), "", " "] * 2]]
