@@ -89,7 +89,7 @@ class Lookup:
     FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, math.ceil(math.log2(2 * len(keys) + 1))))
+        self.shift = np.uint64(64 - max(4, (2 * len(keys) - 1).bit_length() if len(keys) else 4))
         self.slots = np.full(1 << (64 - int(self.shift)), self.FREE, np.uint64)
         self.values = np.zeros(len(self.slots))
         at = self._slot(keys)
@@ -159,10 +159,14 @@ def adaptive(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+#: Bytes of text whose runs are looked at at a time: each takes some ten numbers of eight bytes.
+PART_BYTES = 1 << 18
+
+
 class Counter:
     """Counts of 64-bit keys: raw keys are summed up when they are many, and the sums leave when these are."""
 
-    RAW, HELD = 1 << 21, 1 << 20
+    RAW, HELD = 1 << 20, 1 << 20
 
     def __init__(self):
         self.raw, self.size, self.keys, self.n = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -198,7 +202,7 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
         counters, texts = (Counter(), Counter()), 0
         for b in batches:
             texts += b.num_rows
-            for _, _, data, at in slices(b["text"]):
+            for _, _, data, at in slices(b["text"], PART_BYTES):
                 for kind, keys in enumerate((words(data, at)[0], runs(data, at, order)[0])):
                     if counters[kind].add(keys):
                         yield counters[kind].take(kind)
@@ -222,6 +226,9 @@ class Trie:
         self.order, self.runs = order, {order + 1: counted}
         for size in range(order, 2, -1):
             self.runs[size] = saved(self.runs[size + 1].groupBy(low("key", size).alias("key")).agg(F.sum("n").alias("n")))
+        sums = counted.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
+        # key, n, log of all whole runs: the log10 of their last bytes
+        self.seen = saved(counted.withColumn("ctx", F.shiftright("key", 8)).join(sums, "ctx").select("key", "n", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("log")))
         three = self.runs[3].toArrow()  # 2**24 rows of two numbers at most
         self.low = Low(three["key"].to_numpy(), three["n"].to_numpy())
 
@@ -234,14 +241,16 @@ class Trie:
 
     def known_logs(self, common: int) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent whole runs, at most `common`, and the log10 of their last bytes."""
-        counted = self.runs[self.order + 1]
-        top = frequent(counted, "n", common).withColumn("ctx", F.shiftright("key", 8))
-        sums = counted.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-        got = top.join(sums, "ctx").select("key", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("log")).toArrow()
+        got = frequent(self.seen, "n", common).select("key", "log").toArrow()
         return got["key"].to_numpy().view(np.uint64), got["log"].to_numpy()
 
     def logs(self, keys: DataFrame) -> DataFrame:
         """key, log for distinct whole runs: the log10 of their last bytes, seen or not."""
+        found = saved(keys.select("key").join(self.seen.select("key", "log"), "key", "left"))
+        return found.where("log is not null").unionByName(self.escaped(found.where("log is null")))
+
+    def escaped(self, keys: DataFrame) -> DataFrame:
+        """key, log for distinct runs that were not seen: down the orders, as long as their last byte does not follow the context."""
         q = keys.select("key", F.lit(0.0).alias("log"), F.lit(0.0).alias("drop_n"), F.lit(0.0).alias("drop_d"), F.lit(True).alias("open"))
         for k in range(self.order, 2, -1):
             q = q.withColumns({"ctx": F.shiftright(low("key", k + 1), 8)}).join(self.contexts(k), "ctx", "left")
@@ -288,7 +297,7 @@ def score(docs: DataFrame, held_out, order: int = 5, common: int = 1 << 18, comm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known_runs = shared.value
         for b in batches:
-            for i, j, data, at in slices(b["text"]):
+            for i, j, data, at in slices(b["text"], PART_BYTES):
                 rows = j - i
                 sums, open_ = [], []
                 for kind, table_, (keys, begin) in ((0, known_words, words(data, at)), (1, known_runs, runs(data, at, order))):
