@@ -36,9 +36,11 @@ class Context:
     spark: SparkSession
     path: str
 
+    store: bool = False  # the transactions are written once, for queries that go over them many times; else each part joins orders and lines anew
+
     def __post_init__(self) -> None:
         t = T.load_tables(self.spark, self.path)
-        self.tx, self.customers, self.articles = t.transactions, t.customers, t.articles
+        self.tx, self.customers, self.articles = written(t.transactions) if self.store else t.transactions, t.customers, t.articles
         self.b = S.bounds(self.tx, TRAIN_START)
         parts = S.canonical_split(self.tx, self.b)
         self.train, self.test, self.val, self.train_feat = parts["train"], parts["test"], parts["val"], parts["train_feat"]
@@ -301,5 +303,7 @@ def _repurchase_rate(c: Context) -> DataFrame:
 
 #: One division of stored doubles: equal to the last bit, and often a tie of rounding.
 EXACT = {"load_tables", "sample_customers"}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda spark, path, f=f, r=(lambda df: df) if k in EXACT else rounded: r(f(Context(spark, path)))) for k, (f, _) in PAIRS.items()}
+#: Queries that use the transactions in many places.
+STORED = {"run_baselines", "write_results", "compare_models", "item_cf", "rrf_fusion", "run_ensemble", "candidates_full"}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda spark, path, f=f, store=k in STORED, r=(lambda df: df) if k in EXACT else rounded: r(f(Context(spark, path, store)))) for k, (f, _) in PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in PAIRS.items() if s}
