@@ -265,7 +265,7 @@ class Join:
 
         fit = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
         # the hubs of hot shingles, 1,024 at most
-        hubs = F.broadcast(members.where(F.col("size") > self.hot).groupBy(F.col("low").alias("a")).agg(F.ceil(F.sum("size") / self.hot).cast("int").alias("parts")))
+        hubs = F.broadcast(members.where(F.col("size") > self.hot).groupBy(F.col("low").alias("a")).agg(F.ceil(F.max("size") / self.hot).cast("int").alias("parts")))
 
         def dealt(pairs: DataFrame) -> DataFrame:
             return pairs.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
