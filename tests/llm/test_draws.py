@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,8 +11,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
-from nextbasket.llm import resample
+from nextbasket.llm import resample, simhash
 from nextbasket.llm.common import slices
 
 from .helpers import EDGE, docs, lower, sentence
@@ -79,3 +81,98 @@ def test_resampling_edges(spark):
     assert resample.resample(none, target).count() == 0
     got = resample.resample(docs(spark, [(1, "a b"), (2, None)]), none, percent=100, least=0).collect()
     assert {x["rank"] for x in got} == {1, 2} and np.unique([x["n_features"] for x in got]).tolist() == [0, 2]
+
+
+# 13 --------------------------------------------------------------------------------------------
+def print_of(t, width=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + width]), 42) for i in range(len(w) - width + 1)] if len(w) >= width else [xxhash.xxh64_intdigest(" ".join(w), 42)] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def linked(ids, prints, distance):
+    """component_id of each row."""
+    comp = list(range(len(prints)))
+    p = np.array(prints, np.uint64)
+    for i in range(len(p)):
+        for j in np.flatnonzero(np.bitwise_count(p ^ p[i]) <= distance).tolist():
+            a, b = comp[i], comp[j]
+            if a != b:
+                comp = [a if c == b else c for c in comp]
+    least = {c: min((i for i, x in zip(ids, comp) if x == c and i is not None), default=None) for c in set(comp)}
+    return [least[c] for c in comp]
+
+
+def test_fingerprint_is_the_majority_of_shingle_hashes(spark, monkeypatch):
+    r = random.Random(2)
+    texts = ["", " \n", "one", "A b C", "a b c d", sentence(r, 300), "É x\x00y " * 9, "same " * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(array_join(split(text, ' '), ' ')) as h").collect()
+    assert [x[0] % 2**64 for x in rows][4] == xxhash.xxh64_intdigest(b"a b c d", 42)  # the hash is Spark's
+    for piece in (1 << 20, 1, 7):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.fingerprint(t.encode()) for t in texts] == [print_of(t) for t in texts]
+
+
+def near(r, n, centre, most):
+    out = []
+    for _ in range(n):
+        x = centre
+        for b in r.sample(range(64), r.randrange(most + 1)):
+            x ^= 1 << b
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"hot": 3, "rounds": 1}, {"parts": (2,), "hot": 1000}, {"parts": (4,), "distance": 6}, {"parts": (5,), "distance": 0}, {"parts": (3,), "distance": 3, "hot": 2}])
+def test_links_equal_brute_force(spark, monkeypatch, settings):
+    r = random.Random(11)
+    r64 = lambda: r.getrandbits(64)
+    prints = [r64() for _ in range(150)] + [0] * 5 + near(r, 200, r64(), 3) + near(r, 60, r64(), 5)
+    for _ in range(40):  # pairs at and just over the distance
+        x, d = r64(), settings.get("distance", 4)
+        prints += near(r, 1, x, 0) + [x ^ sum(1 << b for b in r.sample(range(64), d)), x ^ sum(1 << b for b in r.sample(range(64), d + 1))]
+    prints += [r64() & 0xFFFFFFFF for _ in range(60)] + [p ^ 1 for p in prints[:20]]  # and bits that are always the same
+    r.shuffle(prints)
+    ids = [None if i % 50 == 7 else i % 400 for i in range(len(prints))]
+    table = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in zip(ids, prints)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: table)
+    got = simhash.Join(**settings).run(None).collect()
+    want = linked(ids, prints, settings.get("distance", 4))
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, f"{p:016x}", c)) for i, p, c in zip(ids, prints, want))
+
+
+def test_thresholds_spend_the_whole_distance_and_avoid_common_values():
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 1 << 63, 4000).astype(np.uint64)
+    fp[:2000] &= ~np.uint64(0xFFFF)  # half of them have 16 bits in common
+    groups = [list(range(k, k + 16)) for k in range(0, 64, 16)]
+    counts = [np.bincount(simhash.cells(fp, g), minlength=1 << 16) for g in groups]
+    tables = [simhash.expected(c, 16, 4) for c in counts]
+    t, cost = simhash.thresholds(fp, groups, tables, 4)
+    assert ((t + 1).sum(1) == 5).all() and (t[:2000, 0] == -1).all() and (t[2000:, 0] >= 0).mean() > 0.2
+    for i in range(0, 4000, 500):  # the tables count exactly, and no other choice costs less
+        for k, g in enumerate(groups):
+            d = np.bitwise_count((fp ^ fp[i]) & np.uint64(sum(1 << b for b in g)))
+            assert [int(tables[k][s, simhash.cells(fp[i : i + 1], g)[0]]) for s in range(6)] == [0, *((d <= s).sum() for s in range(5))]
+        price = lambda k, s: simhash.PROBE_COST * sum(math.comb(16, j) for j in range(s)) + tables[k][s, simhash.cells(fp[i : i + 1], groups[k])[0]]  # noqa: B023, E731
+        assert cost[i] == pytest.approx(min(sum(price(k, s) for k, s in enumerate(c)) for c in itertools.product(range(6), repeat=4) if sum(c) == 5))
+
+
+def test_correlated_bits_share_a_partition():
+    r = np.random.default_rng(5)
+    x = r.integers(0, 2, (3000, 64))
+    x[:, [50, 9, 33]] = x[:, [2]]  # four bits alike
+    x[:, 60:] = 0
+    ways = simhash.partitions(3000, x.T @ x, 4)
+    assert sorted(b for g in ways for b in g) == list(range(64)) and {len(g) for g in ways} == {16}
+    assert any({2, 9, 33, 50} <= set(g) for g in ways) and any({60, 61, 62, 63} <= set(g) for g in ways)
+
+
+def test_fingerprint_edges(spark):
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    r = random.Random(6)
+    rows = [(i + 10, sentence(r, 200)) for i in range(30)] + [(90, None), *EDGE]
+    rows += [(100 + i, t + " more") for i, t in rows[:10]]
+    prints = [print_of(t) for _, t in rows]
+    want = linked([i for i, _ in rows], prints, 4)
+    assert sorted(map(str, map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))) == sorted(str((i, f"{p:016x}", c)) for (i, _), p, c in zip(rows, prints, want))
