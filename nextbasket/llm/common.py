@@ -131,20 +131,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def spans_of(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of bytes that separator does not mark in the texts data[at[i]:at[i+1]]: their starts and ends, and where each text's begin among them."""
+    n = len(data)
+    word = ~separator[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = at[(at > 0) & (at < n)]
+    first[edge] = word[edge]
+    last[edge - 1] = word[edge - 1]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, at)
+
+
 class Spans:
     """The words (runs of bytes that separator does not mark) of the texts data[at[i]:at[i+1]]; begin tells where each text's begin in start and end."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE):
         n = len(data)
-        word = ~separator[data]
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
-        edge = at[(at > 0) & (at < n)]
-        first[edge] = word[edge]
-        last[edge - 1] = word[edge - 1]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.begin = np.searchsorted(self.start, at)
+        self.start, self.end, self.begin = spans_of(data, at, separator)
         up, self.down = powers(n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE[data] * up, out=self.sums[1:])

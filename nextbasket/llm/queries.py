@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lines, lm, mpeg, packing, resample, secrets, simhash, toxicity, url_filter, warc
+from . import decontaminate, jaccard, lines, lm, mpeg, negatives, packing, resample, secrets, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_media_mpeg": mpeg.op1_media_mpeg,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_resample": resample.op11_resample,
+    "op12_negatives": negatives.op12_negatives,
     "op13_simhash": simhash.op13_simhash,
 }
 ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op11_resample": resample.OP11_SQL,
+    "op12_negatives": negatives.OP12_SQL,
 }

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Spans, saved, slices, table
+from .common import saved, slices, spans_of, table
 
 #: Bytes that divide words: ASCII but for digits and lower case, once A-Z are lower-cased.
 DIVIDES = np.zeros(256, bool)
 DIVIDES[:128] = [not (chr(c).isdigit() or chr(c).isalpha()) for c in range(128)]
 #: Longer features are hashed one by one.
 LONG = 64
+#: Bytes of texts that are turned at a time: the arrays of a task take some ten times as much.
+PIECE = 1 << 18
 
 
 def _crc_table() -> np.ndarray:
@@ -56,16 +58,16 @@ def crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, at: np.ndarray, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all runs of 1 to longest words, text by text; how many features and how many words each text has."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    s = Spans(data, at, DIVIDES)
-    words = np.diff(s.begin)
+    start, end, begin = spans_of(data, at, DIVIDES)
+    words = np.diff(begin)
     # words one space apart: the byte after each word stays, as a space
-    after = s.end[s.end < len(data)]
+    after = end[end < len(data)]
     after = after[DIVIDES[data[after]]]
     keep = ~DIVIDES[data]
     keep[after] = True
     data[after] = 32
     place = np.append(0, np.cumsum(keep))
-    data, start, end = data[keep], place[s.start], place[s.end]
+    data, start, end = data[keep], place[start], place[end]
     text = np.repeat(np.arange(len(words)), words)
     found, owner = [], []
     for n in range(1, longest + 1):
@@ -86,7 +88,7 @@ def bucket_counts(docs: DataFrame, longest: int, buckets: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for _, _, data, at in slices(b["text"]):
+            for _, _, data, at in slices(b["text"], PIECE):
                 total += np.bincount(features(data, at, longest, buckets)[0], minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
@@ -111,7 +113,7 @@ def scored(docs: DataFrame, gain: np.ndarray, longest: int, seed: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = held.value
         for b in batches:
-            for i, j, data, at in slices(b["text"]):
+            for i, j, data, at in slices(b["text"], PIECE):
                 found, n, words = features(data, at, longest, len(gain))
                 sums = np.append(0, np.cumsum(gain[found]))
                 ends = np.append(0, np.cumsum(n))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from nextbasket.llm import resample, simhash
+from nextbasket.llm import negatives, resample, simhash
 from nextbasket.llm.common import slices
 
 from .helpers import EDGE, docs, lower, sentence
@@ -176,3 +176,76 @@ def test_fingerprint_edges(spark):
     prints = [print_of(t) for _, t in rows]
     want = linked([i for i, _ in rows], prints, 4)
     assert sorted(map(str, map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))) == sorted(str((i, f"{p:016x}", c)) for (i, _), p, c in zip(rows, prints, want))
+
+
+# 12 --------------------------------------------------------------------------------------------
+def test_curve_visits_each_cell_once_by_single_steps():
+    for n, bits in ((1, 4), (2, 4), (3, 3), (5, 2)):
+        grid = np.array(list(itertools.product(range(1 << bits), repeat=n)))
+        at = negatives.hilbert(grid, bits)
+        assert sorted(at.tolist()) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(at)], axis=0)).sum(1) == 1).all()
+
+
+def test_intervals_hold_all_products():
+    r = np.random.default_rng(1)
+    x, a = r.integers(-300, 300, (40, 64)), r.integers(-300, 300, (9, 64))
+    least, most = negatives.interval(a, x.min(0)[None], x.max(0)[None])
+    assert (least <= (a @ x.T).min(1, keepdims=True)).all() and (most >= (a @ x.T).max(1, keepdims=True)).all()
+    big = np.array([[1 << 40, 3]])  # beyond what float64 holds
+    assert negatives.product(big, np.array([[1 << 20, 1]])).tolist() == [[(1 << 60) + 3]]
+
+
+def mined(rows, every=100, positives=5, n=5, low=80, high=100):
+    use = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in rows if lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    d = max((len(v) for *_, v in use), default=0)
+    q = np.array([v + [0] * (d - len(v)) for *_, v in use], np.int64).reshape(len(use), d)
+    out = []
+    for k, (i, lab, _) in enumerate(use):
+        if i is None or i % every:
+            continue
+        score = (q @ q[k]).tolist()
+        order = sorted((j for j in range(len(use)) if j != k), key=lambda j: (-score[j], use[j][0] is None, use[j][0] or 0))
+        for p in [j for j in order if use[j][1] == lab][:positives]:
+            fits = [j for j in order if use[j][1] != lab and low * score[p] <= 100 * score[j] <= high * score[p]][:n]
+            out += [(i, use[p][0], m + 1, use[j][0], score[p], score[j]) for m, j in enumerate(fits)]
+    return sorted(map(str, out))
+
+
+VECTORS = "id long, label int, embedding array<float>, q string, row long, score double"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, lab, v, None, 1, 0.5) for i, lab, v in rows], VECTORS)
+
+
+def clustered(r, n, d=12, centres=6, spread=0.15, noise=0.2):
+    c = r.normal(size=(centres, d))
+    return [(int(i), int(k if r.random() >= noise else r.integers(centres)), [float(np.float32(x)) for x in c[k] + spread * r.normal(size=d)]) for i, k in enumerate(r.integers(centres, size=n))]
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 32, "zone": 8, "pack": 4}, {"every": 7, "positives": 3, "negatives": 9, "low": 50, "high": 93, "block": 64}, {"every": 10, "positives": 400, "negatives": 700, "low": -20, "high": 150, "zone": 1}])
+def test_mining_equals_brute_force(spark, settings):
+    rows = clustered(np.random.default_rng(7), 500)
+    rows += [(i + 1000, k, v) for i, k, v in rows[:60]] + [(i, k, v) for i, k, v in rows[:30]]  # equal vectors, repeated rows
+    rows += [(700, 1, None), (800, None, [1.0] * 12), (900, 1, [1.0, None]), (901, 1, [float("nan")]), (902, 1, [float("inf")] * 12), (None, 2, rows[5][2]), (300, 1, [0.5, -2.0]), (400, 3, [])]
+    got = negatives.mine(vectors(spark, rows), **settings).collect()
+    of = {"n" if k == "negatives" else k: v for k, v in settings.items() if k not in ("block", "zone", "pack")}
+    assert sorted(str(tuple(x)) for x in got) == mined(rows, **of)
+
+
+def test_bounds_spare_blocks_of_other_clusters(spark):
+    rows = clustered(np.random.default_rng(8), 3000, spread=0.02, noise=0)
+    m = negatives.Miner(every=10, block=64, zone=16, pack=8)
+    blocks, d = m.blocks(m.points(vectors(spark, rows)))
+    anchors = m.anchors(blocks, d)
+    packs = m.packs(anchors.selectExpr("*", f"array(struct(-1L as key, lo, {negatives.MOST} as hi)) as windows"))
+    read, every = m.wanted(packs, blocks, d, True).count(), packs.count() * blocks.count()
+    assert every > 1000 and read < 0.5 * every
+
+
+def test_mining_edges(spark):
+    assert negatives.mine(vectors(spark, [])).count() == 0
+    assert negatives.mine(vectors(spark, [(0, None, None)])).count() == 0
+    assert negatives.mine(vectors(spark, [(0, 1, []), (1, 1, []), (2, 2, [])])).collect() == [(0, 1, 1, 2, 0, 0)]
+    assert negatives.mine(vectors(spark, [(0, 1, [1.0]), (1, 2, [1.0])])).count() == 0  # no positive
