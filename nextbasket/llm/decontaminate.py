@@ -18,8 +18,8 @@ NAME = r"(?<=[^.!?:\s]\s)(?=\p{Lu}\p{Ll})"
 MARK, JOIN = "\x01", "\x02"
 #: Between two words of one name: a space and the mark of the second, or a hyphen or apostrophe before a capital word.
 IN_NAME = r"(?:\s\x01|['’-](?=\p{Lu}\p{Ll}))(?<=\x01[\p{L}\p{N}'’-]{1,99}(?:\s\x01|['’-]))"
-#: Separators between two digits belong to a number.
-NOT_TOKEN = r"(?:[^\p{L}\p{N}\x01\x02.,:/'’]|[.,:/'’](?!(?<=[0-9].)[0-9]))+"
+#: Separators between two digits belong to a number. Runs are matched by one class alone: a repeated group would take the stack's depth by their length.
+NOT_TOKEN = r"[^\p{L}\p{N}\x01\x02.,:/'’]++|[.,:/'’](?!(?<=[0-9].)[0-9])"
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "miles", "mg", "g", "kg", "lb", "tons", "ml", "l", "liters", "litres", "ms", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "percent", "usd", "eur", "dollars", "euros", "cents", "kmh", "mph", "degrees")
 #: Number words of the corpus's languages, from two on (one is an article in most).
 NUMBERS = tuple("""
@@ -38,7 +38,7 @@ def spelled(text):
     """Words in lower case, without punctuation, one space apart; names begin with MARK. A number with its separators is one word, and so is a name of several, with JOIN between them."""
     plain = F.translate(F.coalesce(text, F.lit("")), MARK + JOIN, "  ")
     marked = F.regexp_replace(F.regexp_replace(plain, NAME, MARK), IN_NAME, JOIN)
-    return F.trim(F.lower(F.regexp_replace(marked, NOT_TOKEN, " ")))
+    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(marked, NOT_TOKEN, " "), " {2,}", " ")))
 
 
 def formed(df: DataFrame, keep: list[str], form: str) -> DataFrame:

@@ -105,15 +105,16 @@ def symbol(c):
     return F.instr(F.lit(SYMBOLS), c)
 
 
-def pair(value, at):
-    """Of the character at this place, from 1, and the one before, as one number."""
-    return F.when(at == 1, 0).otherwise(symbol(F.substring(value, at - 1, F.lit(1)))) * STATES + symbol(F.substring(value, at, F.lit(1)))
+def pairs(value):
+    """For each character of value that of it and the one before, as one number. The text is taken apart once, whatever its length."""
+    here = F.transform(F.split(value, ""), symbol)
+    return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(here, 1, F.greatest(F.size(here) - 1, F.lit(0)))), here, lambda last, x: last * STATES + x)
 
 
 def ratios(samples: DataFrame) -> list[float]:
     """For all STATES ** 2 pairs of symbols the log of the ratio of their probabilities in secret and in ordinary samples(value, secret)."""
-    each = samples.where("value is not null and value != ''").select("secret", "value", F.explode(F.sequence(F.lit(1), F.length("value"))).alias("at"))
-    counts = each.groupBy(pair(F.col("value"), F.col("at")).alias("pair")).agg(*(F.sum(F.when(F.col("secret") == s, 1).otherwise(0)).alias(n) for s, n in ((True, "s"), (False, "o"))))
+    each = samples.where("value is not null and value != ''").select("secret", F.explode(pairs(F.col("value"))).alias("pair"))
+    counts = each.groupBy("pair").agg(*(F.sum(F.when(F.col("secret") == s, 1).otherwise(0)).alias(n) for s, n in ((True, "s"), (False, "o"))))
     every = samples.sparkSession.range(STATES * STATES).select(F.col("id").cast("int").alias("pair"))
     w = Window.partitionBy(F.floor(F.col("pair") / STATES))  # of STATES rows
     p = lambda n: (F.coalesce(n, F.lit(0)) + ADDED) / (F.coalesce(F.sum(n).over(w), F.lit(0)) + ADDED * STATES)
@@ -130,7 +131,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, odds: float = 1000.0
     """
     found = matches(docs)
     table_ = F.from_json(F.lit(json.dumps(ratios(labelled_samples(docs.sparkSession) if samples is None else samples))), "array<double>")
-    score = F.aggregate(F.sequence(F.lit(1), F.length("value")), F.lit(0.0), lambda total, at: total + F.get(table_, pair(F.col("value"), at)))
+    score = F.aggregate(pairs(F.col("value")), F.lit(0.0), lambda total, pair: total + F.get(table_, pair))
     kept = spans(found).where((F.col("kind") < 3) | (score > math.log(odds)))
     item = F.struct("start", "kind", "end")
     rows = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("kind") < 3, item))).alias("base"), F.array_sort(F.collect_list(item)).alias("all"))

@@ -17,6 +17,7 @@ from nextbasket.llm import decontaminate, jaccard, lines, lm, mpeg, packing, sec
 from nextbasket.llm.common import shingles, slices, words
 
 from .helpers import EDGE, docs, lower, sentence
+from .test_draws import mined
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -248,6 +249,20 @@ def test_random_tokens_are_told_from_identifiers_not_seen_in_training(spark):
     assert len(found & set(range(90))) >= 85 and not found & set(range(90, len(rows)))
 
 
+# 4 and 8: texts that were slow or fatal ------------------------------------------------------------
+def test_long_runs_and_tokens(spark):
+    r = random.Random(3)
+    token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1 << 20))
+    item = "How many of the red boxes did Ann carry over the bridge before 12 of the others came back"
+    rows = [(k, c * (1 << 20) + " " + item) for k, c in enumerate("-. \n/,=_'’")] + [(20, token), (21, "a." * (1 << 19)), (22, "Aa-" * (1 << 18))]
+    began = time.time()
+    got = {x["doc_id"]: x for x in secrets.scan(docs(spark, rows)).collect()}
+    assert len(got) == len(rows) and got[20]["n_markov"] == 1 and f"markov:0:{1 << 20}" in got[20]["spans"]
+    found = decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {x["doc_id"] for x in found} == set(range(10)) and {x["kind"] for x in found} == {"verbatim"}
+    assert time.time() - began < 120
+
+
 # 5 ---------------------------------------------------------------------------------------------
 def test_warc_salvage():
     recs = [warc.write_record({"WARC-Type": "resource", "WARC-Target-URI": f"u{i}"}, b"x" * 10 * i) for i in range(5)]
@@ -611,6 +626,7 @@ def test_queries_keep_their_contracts(spark, tmp_path):
     spark.createDataFrame([(1, rows[5][1]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     pages = [(i, f"http://h{i}.example.org/{'es' if i % 2 else 'x'}/{i}", ["same", "é" * 9, "", None, f"p{i}"][i % 5]) for i in range(20)] + [(None, None, "same"), (0, "u", "same")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, [float(i % 5), 1.0], i % 3) for i in range(40)] + [(None, None, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {n: [x.asDict() for x in f(spark, str(tmp_path)).collect()] for n, f in queries.QUERIES.items()}
     texts = sorted((str(i), (t or "").encode()) for i, t in rows)
     crc = lambda i: zlib.crc32(str(i).encode())
@@ -649,6 +665,11 @@ def test_queries_keep_their_contracts(spark, tmp_path):
     assert {x["doc_id"] for x in got["op8_decontaminate"]} == {5}
     assert len(got["op3_url_filter"]) == len(pages) and {x["verdict"] for x in got["op3_url_filter"]} == {"allow", "block"}
     assert len(got["op6_line_dedup"]) == len(rows) and {x["doc_id"] for x in got["op9_packing"]} == {i for i, _ in rows}
+    assert len(got["op11_resample"]) == len(got["op13_simhash"]) == len(rows)
+    drawn = sorted((x for x in got["op11_resample"] if x["rank"]), key=lambda x: x["rank"])
+    assert [x["rank"] for x in drawn] == list(range(1, sum(x["n_features"] >= 20 for x in got["op11_resample"]) // 10 + 1))
+    shifted = [(i, (i % 3 + 1) % 10 if i % 7 == 0 else i % 3, [float(i % 5), 1.0]) for i in range(40)]
+    assert sorted(str(tuple(x.values())) for x in got["op12_negatives"]) == mined(shifted)
     assert len(texts) == len(rows)
 
 
@@ -657,7 +678,7 @@ def test_queries_of_empty_tables(spark, tmp_path):
     from nextbasket.llm import queries
 
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
-    for name, columns in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+    for name, columns in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
     for f in queries.QUERIES.values():
         assert f(spark, str(tmp_path)).count() == 0
