@@ -27,6 +27,25 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Co
     return rows.select(*df.columns, (F.col("_own") + F.col("_before")).alias(out))
 
 
+def median(df: DataFrame, value: str) -> float | None:
+    """Of all rows, exact; None if there is no value."""
+    row = quantiles(df.select(F.lit(1).alias("_all"), F.col(value).cast("double").alias(value)), "_all", value, [0.5]).first()
+    return row["q"] if row else None
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = 800) -> DataFrame:
+    """keys, sketch: of each key's values, of a size that k sets whatever their number; sketches of days can be kept and merged later. Nulls are left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """keys, p, q: values whose rank is within about 2.3 / k of p * rows (99 of 100 times), from merged sketches: one task merges those of a key."""
+    merged = sketches.groupBy(*keys).agg(F.collect_list("sketch").alias("_all"))
+    one = F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), F.kll_sketch_merge_double)
+    found = F.arrays_zip(F.array(*map(F.lit, at)).alias("p"), F.kll_sketch_get_quantile_double(one, F.array(*map(F.lit, at))).alias("q"))
+    return merged.select(*keys, F.inline(found))
+
+
 def quantiles(df: DataFrame, key: str, value: str, at: Sequence[float]) -> DataFrame:
     """key, p, q: for each of the shares p the exact quantile of value, between two values by linear interpolation. Nulls are left out."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))

@@ -16,18 +16,35 @@ from .prep import histogram
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """column, dtype, rows, non_null, n_distinct in one pass."""
-    cols = df.columns
-    one = df.agg(F.count("*").alias("rows"), *(e for i, c in enumerate(cols) for e in (F.count(c).alias(f"n{i}"), F.countDistinct(c).alias(f"d{i}"))))
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"n{i}").alias("non_null"), F.col(f"d{i}").alias("n_distinct")) for i, (c, t) in enumerate(df.dtypes))))
-    return one.select("rows", rows.alias("x")).select("x.column", "x.dtype", "rows", "x.non_null", "x.n_distinct", (100 * (1 - F.col("x.non_null") / F.col("rows"))).alias("null_pct"))
+    """column, dtype, rows, non_null, n_distinct, null_pct: distinct values in two steps, column by column, so each column is read once and no row is copied for another."""
+    out = None
+    for c, t in df.dtypes:
+        counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+        rows, known = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
+        one = counts.agg(F.lit(c).alias("column"), F.lit(t).alias("dtype"), rows.alias("rows"), known.alias("non_null"), F.count("value").alias("n_distinct"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("null_pct", 100 * (1 - F.col("non_null") / F.nullif("rows", F.lit(0))))
 
 
 def weekly_activity(tx: DataFrame) -> DataFrame:
-    week = F.date_trunc("week", "t_dat").cast("date")
-    rows = tx.groupBy(week.alias("week")).agg(F.count("*").alias("tx"), F.countDistinct("customer_id").alias("customers"), F.countDistinct("article_id").alias("articles"), F.sum("price").alias("revenue"))
+    """week, tx, customers, articles, revenue of whole weeks; distinct customers and articles in two steps."""
+    rows = tx.withColumn("week", F.date_trunc("week", "t_dat").cast("date"))
+    sums = rows.groupBy("week").agg(F.count("*").alias("tx"), F.sum("price").alias("revenue"))
+    for key, out in (("customer_id", "customers"), ("article_id", "articles")):
+        sums = sums.join(rows.groupBy("week", key).agg(F.lit(1).alias("one")).groupBy("week").agg(F.count(key).alias(out)), "week")
     newest = tx.agg(F.date_trunc("week", F.max("t_dat")).cast("date").alias("newest"))
-    return rows.crossJoin(F.broadcast(newest)).where("week < newest").drop("newest")
+    return sums.crossJoin(F.broadcast(newest)).where("week < newest").select("week", "tx", "customers", "articles", "revenue")
+
+
+def daily_sketches(tx: DataFrame, bits: int = 12) -> DataFrame:
+    """t_dat, tx, revenue and sketches of the day's customers and articles (2**bits small counters each): a table that grows by a row a day and answers for any period."""
+    return tx.groupBy("t_dat").agg(F.count("*").alias("tx"), F.sum("price").alias("revenue"), *(F.hll_sketch_agg(c, F.lit(bits)).alias(f"{c}_sketch") for c in ("customer_id", "article_id")))
+
+
+def activity(daily: DataFrame, period: str = "week") -> DataFrame:
+    """period, tx, customers, articles, revenue from daily_sketches; the distinct counts are estimates with a standard error of about 1.04 / sqrt(2**bits)."""
+    merged = daily.groupBy(F.date_trunc(period, "t_dat").cast("date").alias(period)).agg(F.sum("tx").alias("tx"), *(F.hll_union_agg(f"{c}_sketch").alias(c) for c in ("customer_id", "article_id")), F.sum("revenue").alias("revenue"))
+    return merged.select(period, "tx", F.hll_sketch_estimate("customer_id").alias("customers"), F.hll_sketch_estimate("article_id").alias("articles"), "revenue")
 
 
 def channel_summary(tx: DataFrame) -> DataFrame:
@@ -172,8 +189,16 @@ def repurchase_rate(tx: DataFrame, key: str, weeks: Sequence[int] = (1, 2, 3)) -
     return x.agg(F.lit(key).alias("key"), *((100 * F.count(F.when((F.col("days") > 0) & (F.col("days") <= 7 * w), 1)) / F.count("*")).alias(f"w{w}") for w in weeks))
 
 
-# Common words, and those of descriptions that say nothing.
-STOP_WORDS = ("cm", "item", "made", "product", "size", "wear", "a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+# A public list of English stop words (without forms that have an apostrophe, as words here are runs of letters),
+# and words of descriptions that say nothing.
+STOP_WORDS = tuple("""
+a about above after again against all also am an and any are as at be because been before being below between both but by can cannot com could
+did do does doing down during each else ever few for from further get had has have having he hence her here hers herself him himself his how however
+http i if in into is it its itself just k like me more most my myself no nor not of off on once only or other otherwise ought our ours ourselves out over own
+r same shall she should since so some such than that the their theirs them themselves then there therefore these they this those through to too
+under until up very was we were what when where which while who whom why with would www you your yours yourself yourselves
+cm item made product size wear
+""".split())
 
 
 def word_counts(articles: DataFrame, n: int = 200) -> DataFrame:

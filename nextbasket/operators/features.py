@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.order import running
+from ..functions.order import median, running
 from ..functions.ranks import age_group, top_k
 from .popularity import segment_top
 
 # The names of the compact features, in order.
 COMPACT = ("u_tx", "u_unique", "u_avg_price", "u_recency", "i_tx", "i_avg_price", "i_recency", "ui_cnt", "pop_bias", "recency_bias", "user_activity", "price_gap", "source_rank")
+# The number of each source.
+SOURCE_RANK = {"pop_14d": 1, "pop_7d": 2, "recent_user": 3}
 # What an unknown feature becomes; "median" is fitted.
 IMPUTE = {
     "n_tx": 0, "n_unique_articles": 0, "n_unique_categories": 0, "tx_14d": 0, "tx_30d": 0, "purchase_count": 0, "category_purchases": 0, "pop_1w": 0, "pop_2w": 0, "pop_4w": 0, "pop_all": 0,
@@ -33,30 +35,37 @@ def user_item_count(history: DataFrame) -> DataFrame:
     return history.groupBy("customer_id", "article_id").agg(F.count("*").alias("ui_cnt"))
 
 
+def derived() -> dict[str, Column]:
+    """Those of the compact features that come from the others and from the candidate's source."""
+    rank = F.lit(0)
+    for source, r in SOURCE_RANK.items():
+        rank = F.when(F.col("source") == source, r).otherwise(rank)
+    return {
+        "pop_bias": F.log1p(F.coalesce("i_tx", F.lit(0))), "recency_bias": 1 / (1 + F.coalesce("i_recency", F.lit(999))), "user_activity": F.log1p(F.coalesce("u_tx", F.lit(0))),
+        "price_gap": F.abs(F.col("u_avg_price") - F.col("i_avg_price")), "source_rank": rank,
+    }
+
+
 def compact(history: DataFrame, candidates: DataFrame, t: dt.date) -> DataFrame:
     """candidates with the 13 compact features; unknown is 0. Statistics of users are made for the candidates' users alone."""
     own = history.join(candidates.select("customer_id").distinct(), "customer_id", "left_semi")
     x = candidates.join(user_stats(own, t), "customer_id", "left").join(user_item_count(own), ["customer_id", "article_id"], "left").join(item_stats(history, t), "article_id", "left")
-    rank = F.when(F.col("source") == "recent_user", 3).when(F.col("source") == "pop_7d", 2).when(F.col("source") == "pop_14d", 1).otherwise(0)
-    x = x.withColumns(
-        {
-            "pop_bias": F.log1p(F.coalesce("i_tx", F.lit(0))), "recency_bias": 1 / (1 + F.coalesce("i_recency", F.lit(999))), "user_activity": F.log1p(F.coalesce("u_tx", F.lit(0))),
-            "price_gap": F.abs(F.col("u_avg_price") - F.col("i_avg_price")), "source_rank": rank,
-        }
-    )
+    x = x.withColumns(derived())
     return x.select(*candidates.columns, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in COMPACT))
 
 
 def user_features_full(history: DataFrame, customers: DataFrame, articles: DataFrame, t: dt.date) -> DataFrame:
     since = lambda days: F.sum((F.col("t_dat") >= F.lit(t - dt.timedelta(days=days))).cast("int"))
-    stats = history.join(articles.select("article_id", "product_group_name"), "article_id", "left").groupBy("customer_id").agg(
-        F.count("*").alias("n_tx"), F.datediff(F.lit(t), F.max("t_dat")).alias("days_since_last"), F.avg("price").alias("avg_price"), F.stddev_samp("price").alias("price_std"), F.countDistinct("article_id").alias("n_unique_articles"),
-        F.countDistinct("product_group_name").alias("n_unique_categories"), since(14).alias("tx_14d"), since(30).alias("tx_30d"), F.avg((F.col("sales_channel_id") == 2).cast("double")).alias("online_ratio"),
+    named = history.join(articles.select("article_id", "product_group_name"), "article_id", "left")
+    stats = history.groupBy("customer_id").agg(
+        F.count("*").alias("n_tx"), F.datediff(F.lit(t), F.max("t_dat")).alias("days_since_last"), F.avg("price").alias("avg_price"), F.stddev_samp("price").alias("price_std"),
+        since(14).alias("tx_14d"), since(30).alias("tx_30d"), F.avg((F.col("sales_channel_id") == 2).cast("double")).alias("online_ratio"),
         (F.count("*") / F.greatest(F.lit(1.0), F.datediff(F.lit(t), F.min("t_dat")) / 7)).alias("avg_tx_per_week"),
     )
-    again = user_item_count(history).groupBy("customer_id").agg(F.avg((F.col("ui_cnt") > 1).cast("double")).alias("repurchase_rate"))
+    again = user_item_count(history).groupBy("customer_id").agg(F.count("article_id").alias("n_unique_articles"), F.avg((F.col("ui_cnt") > 1).cast("double")).alias("repurchase_rate"))
+    groups = named.groupBy("customer_id", "product_group_name").agg(F.lit(1).alias("one")).groupBy("customer_id").agg(F.count("product_group_name").alias("n_unique_categories"))
     known = customers.select("customer_id", "age", F.coalesce((F.col("club_member_status") == "ACTIVE").cast("int"), F.lit(0)).alias("is_member"))
-    return stats.join(again, "customer_id").join(known, "customer_id", "left")
+    return stats.join(again, "customer_id").join(groups, "customer_id").join(known, "customer_id", "left")
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -108,7 +117,7 @@ def impute(df: DataFrame, rules: dict[str, float | str] | None = None, medians:
     """Nulls to the rules' values; a "median" that is not given is the frame's exact one."""
     rules = {c: v for c, v in (IMPUTE if rules is None else rules).items() if c in df.columns}
     fit = [c for c, v in rules.items() if v == "median" and c not in (medians or {})]
-    fitted = (medians or {}) | (df.agg(*(F.median(c).alias(c) for c in fit)).first().asDict() if fit else {})
+    fitted = (medians or {}) | {c: median(df, c) for c in fit}
     values = {c: fitted[c] if v == "median" else v for c, v in rules.items()}
     return df.fillna({c: v for c, v in values.items() if v is not None})
 

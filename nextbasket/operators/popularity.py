@@ -34,6 +34,17 @@ def user_history(transactions: DataFrame, users: DataFrame | None = None, top_n:
     return top_k(last, ["customer_id"], [F.desc("last"), F.col("article_id")], top_n)
 
 
+def merged_history(state: DataFrame | None, transactions: DataFrame, top_n: int = 100) -> DataFrame:
+    """The histories (customer_id, article_id, last, rank) after further days: state holds at most top_n rows of each customer, so a day's merge reads neither older days nor more.
+
+    An article that fell out of a customer's first top_n can come back by a new purchase alone, so the state after many merges is that of the whole history.
+    """
+    new = transactions.groupBy("customer_id", "article_id").agg(F.max("t_dat").alias("last"))
+    if state is not None:
+        new = state.select("customer_id", "article_id", "last").unionByName(new).groupBy("customer_id", "article_id").agg(F.max("last").alias("last"))
+    return top_k(new, ["customer_id"], [F.desc("last"), F.col("article_id")], top_n)
+
+
 def filled(users: DataFrame, own: DataFrame, fallback: DataFrame, k: int = 12, seen: DataFrame | None = None) -> DataFrame:
     """own rows (rank <= k), then fallback rows that are not among own (nor seen) until k."""
     own = own.where(F.col("rank") <= k).select("customer_id", F.lit(0).alias("late"), "rank", "article_id")

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from ..functions.order import median
+
 
 def reduce_memory(df: DataFrame) -> DataFrame:
     small = {"double": "float", "bigint": "int"}
@@ -49,7 +51,7 @@ def drop_obsolete(candidates: DataFrame, obsolete: DataFrame) -> DataFrame:
 def clean_customers(customers: DataFrame, age: float | None = None) -> DataFrame:
     """age: a fitted median; the exact median of the frame if it is not given."""
     if age is None:
-        age = customers.agg(F.median("age")).first()[0]
+        age = median(customers, "age")
     return customers.fillna({"club_member_status": "UNKNOWN", "fashion_news_frequency": "NONE"} | ({"age": age} if age is not None else {}))
 
 

@@ -1,65 +1,61 @@
-"""Training frame, ranker (pointwise gradient-boosted trees), scoring and rank fusion."""
+"""Rankers (listwise boosted trees, or pointwise ones), scoring and rank fusion."""
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import top_k
+from . import boosting as B
 from . import candidates as C
 from . import features as X
-from .prep import between, ground_truth, multi_week_splits
-
-
-def training_frame(history: DataFrame, test_start: dt.date, n_weeks: int = 2) -> DataFrame:
-    """Candidates of each label week's users with labels and compact features, stacked; t is the week's first day with sales."""
-    out = None
-    for start, past, labels in multi_week_splits(history, test_start, n_weeks):
-        t = labels.agg(F.min("t_dat")).first()[0]  # one row
-        if t is None:
-            continue
-        past = between(history, None, t)
-        users = labels.select("customer_id").distinct()
-        rows = C.candidate_labels(C.compact(past, users, t), ground_truth(labels))
-        frame = X.compact(past, rows, t).withColumn("label_week", F.lit(start))
-        out = frame if out is None else out.unionByName(frame)
-    return out
 
 
 def group_sizes(frame: DataFrame) -> DataFrame:
     return frame.groupBy("label_week", "customer_id").agg(F.count("*").alias("n"))
 
 
-def fit(frame: DataFrame, columns: tuple[str, ...] = X.COMPACT, trees: int = 10, depth: int = 4, rate: float = 0.1, seed: int = 42) -> PipelineModel:
+def fit(frame: DataFrame, columns: Sequence[str] = X.COMPACT, settings: B.Settings | None = None) -> B.Forest:
+    """Listwise: the order within (label_week, customer_id) is what is learnt."""
+    return B.fit(frame, columns, settings=settings)
+
+
+def fit_pointwise(frame: DataFrame, columns: Sequence[str] = X.COMPACT, trees: int = 10, depth: int = 4, rate: float = 0.1, seed: int = 42) -> PipelineModel:
+    """Each candidate by itself: a classifier of its label."""
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features"), GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)]
     return Pipeline(stages=stages).fit(frame)
 
 
-def save_model(model: PipelineModel, path: str) -> PipelineModel:
+def save_model(model: B.Forest | PipelineModel, spark: SparkSession, path: str) -> B.Forest | PipelineModel:
     """Writes the model, without data, and loads it again."""
+    if isinstance(model, B.Forest):
+        B.save(model, spark, path)
+        return B.load(spark, path)
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
 
 
-def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    return model.transform(frame).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+def score(model: B.Forest | PipelineModel, frame: DataFrame) -> DataFrame:
+    if isinstance(model, B.Forest):
+        return B.score(model, frame)
+    return model.transform(frame).withColumn("score", F.round(vector_to_array("probability")[1], 9)).select(*frame.columns, "score")
 
 
 def best(scored: DataFrame, k: int = 12) -> DataFrame:
     return top_k(scored, ["customer_id"], [F.desc("score"), F.col("article_id")], k).select("customer_id", "rank", "article_id", "score")
 
 
-def feature_importance(model: PipelineModel, frame: DataFrame, columns: tuple[str, ...] = X.COMPACT) -> DataFrame:
+def feature_importance(model: B.Forest | PipelineModel, frame: DataFrame, columns: Sequence[str] = X.COMPACT) -> DataFrame:
+    """feature, kind, importance: shares of the gain of all splits."""
     kind = lambda c: "user" if c.startswith("u_") or c == "user_activity" else "article" if c.startswith("i_") or c in ("pop_bias", "recency_bias") else "user-article"
-    rows = [(c, kind(c), float(v)) for c, v in zip(columns, model.stages[-1].featureImportances.toArray(), strict=True)]
-    return frame.sparkSession.createDataFrame(rows, "feature string, kind string, importance double")
+    gains = model.gains() if isinstance(model, B.Forest) else dict(zip(columns, map(float, model.stages[-1].featureImportances.toArray()), strict=True))
+    return frame.sparkSession.createDataFrame([(c, kind(c), v) for c, v in gains.items()], "feature string, kind string, importance double")
 
 
 def list_weights(models: Sequence[str], weights: Sequence[float]) -> dict[str, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import age_group
 from ..operators import analytics as E
+from ..operators import asof as A
 from ..operators import candidates as C
 from ..operators import features as X
 from ..operators import itemcf as I
@@ -102,7 +103,8 @@ class Context:
         return C.compact(self.past(), self.users, self.t)
 
     def full(self) -> DataFrame:
-        return C.full(self.past(), self.customers, self.articles, self.users, self.t, self.obsolete())
+        """Written once: the queries over it use it in many places."""
+        return written(C.full(self.past(), self.customers, self.articles, self.users, self.t, self.obsolete()))
 
     def own(self) -> DataFrame:
         return self.past().join(self.users, "customer_id", "left_semi")
@@ -110,13 +112,13 @@ class Context:
     def ap(self) -> DataFrame:
         return M.ap_at_k(self.repurchase(), self.truth)
 
-    def frame(self) -> DataFrame:
-        return L.training_frame(self.train, self.b.test_start, 2)
+    def frame(self, n_weeks: int = 2) -> DataFrame:
+        return A.training_frame(self.train, self.b.test_start, n_weeks)
 
-    def two_stage(self) -> tuple[DataFrame, object, DataFrame]:
+    def two_stage(self, n_weeks: int = 2, settings: L.B.Settings | None = None) -> tuple[DataFrame, L.B.Forest, DataFrame]:
         """Fitted on the whole frame, without a choice of negatives."""
-        frame = written(self.frame())
-        model = L.fit(frame)
+        frame = written(self.frame(n_weeks))
+        model = L.fit(frame, settings=settings)
         return L.score(model, X.compact(self.past(), self.compact(), self.t)), model, frame
 
 
@@ -149,8 +151,40 @@ def encoded(c: Context) -> DataFrame:
     return T.encode_ids(c.tx, "customer_id", "customer_id_int")
 
 
-def processed(c: Context) -> DataFrame:
-    return T.write_processed(S.week_index(c.tx), shared_folder(c.spark)).groupBy("week").agg(F.count("*").alias("tx"))
+def appended(c: Context) -> DataFrame:
+    """A dictionary of the customers of all but the last 60 days, then loaded again with all."""
+    old = T.encode_ids(S.between(c.tx, None, c.b.newest - dt.timedelta(days=60)), "customer_id", "customer_id_int")
+    return T.encode_ids(c.tx, "customer_id", "customer_id_int", written(old))
+
+
+def layout(c: Context) -> T.Layout:
+    customers, articles = S.clean_customers(S.reduce_memory(c.customers)), S.clean_articles(c.articles)
+    return T.write_layout(S.week_index(S.reduce_memory(c.tx)), customers, articles, c.obsolete(), shared_folder(c.spark), buckets=2)
+
+
+def stored_splits(c: Context) -> DataFrame:
+    out = None
+    for name, rows in layout(c).splits().items():
+        rows = rows.select(F.lit(name).alias("split"), "t_dat", "customer_id", "article_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def daily_history(c: Context) -> DataFrame:
+    """The histories from a state that three days were merged into one by one."""
+    days = [c.b.newest - dt.timedelta(days=k) for k in range(9, 6, -1)]  # the last of the training rows
+    state = written(P.merged_history(None, S.between(c.train, None, days[0])))
+    for day in days:
+        state = written(P.merged_history(state, S.between(c.train, day, day + dt.timedelta(days=1))))
+    return state
+
+
+def profiles(c: Context) -> DataFrame:
+    out = None
+    for name, rows in (("articles", c.articles), ("customers", c.customers), ("transactions", c.tx)):
+        one = E.profile_table(rows).drop("dtype").select(F.lit(name).alias("table"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def multi_week(c: Context) -> DataFrame:
@@ -182,8 +216,8 @@ def imputed(c: Context) -> DataFrame:
 
 def saved_model(c: Context) -> DataFrame:
     scored, model, _ = c.two_stage()
-    again = L.save_model(model, shared_folder(c.spark))
-    return L.best(L.score(again, scored.drop("features", "rawPrediction", "probability", "prediction", "score")))
+    again = L.save_model(model, c.spark, shared_folder(c.spark))
+    return L.best(L.score(again, scored.drop("score")))
 
 
 Q_HIST = Q.CTES + Q.F0
@@ -193,7 +227,11 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "load_pruned": (lambda c: c.tx.select("t_dat", "customer_id", "article_id"), f"{Q.CTES} SELECT t_dat, customer_id, article_id FROM tx"),
     "normalise_types": (lambda c: T.normalise_types(c.tx).withColumn("price", F.round(F.col("price").cast("double"), 2)), f"{Q.CTES} SELECT t_dat, CAST(customer_id AS VARCHAR) AS customer_id, CAST(article_id AS INTEGER) AS article_id, round(CAST(CAST(price AS FLOAT) AS DOUBLE), 2) AS price, sales_channel_id FROM tx"),
     "encode_ids": (encoded, f"{Q.CTES} SELECT customer_id, CAST(row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS customer_id_int FROM (SELECT DISTINCT customer_id FROM tx)"),
-    "write_processed": (processed, f"{Q.CTES} SELECT CAST(floor((mx - t_dat) / 7.0) AS INTEGER) AS week, count(*) AS tx FROM tx, b GROUP BY 1"),
+    "encode_ids_appended": (appended, f"{Q.CTES}, {Q.APPENDED}"),
+    "stored_splits": (stored_splits, f"{Q.CTES} SELECT CASE WHEN week < 1 THEN 'test' WHEN week < 2 THEN 'val' ELSE 'train' END AS split, t_dat, customer_id, article_id FROM {Q.WEEKS} WHERE week < 10"),
+    "stored_obsolete": (lambda c: layout(c).obsolete, f"{Q.CTES} {Q.OBSOLETE}"),
+    "stored_customers": (lambda c: layout(c).transactions.groupBy("customer_id").agg(F.count("*").alias("tx"), F.max("week").alias("oldest")), f"{Q.CTES} SELECT customer_id, count(*) AS tx, max(week) AS oldest FROM {Q.WEEKS} GROUP BY 1"),
+    "write_processed": (lambda c: layout(c).transactions.groupBy("week").agg(F.count("*").alias("tx")), f"{Q.CTES} SELECT CAST(floor((mx - t_dat) / 7.0) AS INTEGER) AS week, count(*) AS tx FROM tx, b GROUP BY 1"),
     "write_results": (lambda c: T.write_results(rounded(c.scores()), shared_folder(c.spark)), f"{Q.CTES} SELECT model, round(map, 6) AS map, users FROM ({Q.SCORES})"),
     "save_model": (saved_model, None),
     "reduce_memory": (lambda c: S.reduce_memory(c.tx).withColumn("price", F.round(F.col("price").cast("double"), 2)), f"{Q.CTES} SELECT t_dat, CAST(customer_id AS INTEGER) AS customer_id, CAST(article_id AS INTEGER) AS article_id, round(CAST(CAST(price AS FLOAT) AS DOUBLE), 2) AS price, sales_channel_id FROM tx"),
@@ -214,6 +252,7 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "global_popularity": (lambda c: c.models()["global"], f"{Q.CTES} {Q.GLOBAL}"),
     "recent_popularity": (lambda c: c.models()["recent"], f"{Q.CTES} {Q.RECENT_POP}"),
     "user_history": (lambda c: P.user_history(c.train), f"{Q.CTES} {Q.history(100, False)}"),
+    "user_history_daily": (daily_history, f"{Q.CTES} {Q.history(100, False)}"),
     "repurchase": (lambda c: c.repurchase(), f"{Q.CTES} {Q.REPURCHASE}"),
     "age_group": (lambda c: c.customers.select("customer_id", age_group(F.col("age")).alias("age_group")), f"{Q.CTES} SELECT customer_id, age_group FROM cust"),
     "segment_top": (lambda c: P.segment_top(c.train, c.customers), f"{Q.CTES} {Q.segment('train', 100)}"),
@@ -268,8 +307,9 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "ap_by_purchase_bin": (lambda c: M.ap_by_purchase_bin(c.ap(), c.past()), f"{Q.CTES} SELECT bin, round(avg(ap), 6) AS map, count(*) AS users FROM (SELECT customer_id, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 15 THEN '6-15' WHEN n <= 30 THEN '16-30' WHEN n <= 60 THEN '31-60' WHEN n <= 1000 THEN '61+' END AS bin FROM (SELECT customer_id, count(*) AS n FROM tx, b WHERE t_dat < test_start GROUP BY 1)) JOIN ({Q.ap(Q.REPURCHASE)}) USING (customer_id) WHERE bin IS NOT NULL GROUP BY 1"),
     "ap_zero_share": (lambda c: M.ap_zero_share(c.ap()), f"{Q.CTES} SELECT round(avg(CASE WHEN ap = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)})"),
     "ap_histogram": (lambda c: M.ap_histogram(c.ap()), f"{Q.CTES} SELECT CAST(least(floor(round(ap * 50, 9)), 49) AS INTEGER) AS bin, count(*) AS users FROM ({Q.ap(Q.REPURCHASE)}) GROUP BY 1"),
-    "profile_table": (lambda c: E.profile_table(c.customers).drop("dtype"), f"{Q.CTES} {Q.PROFILE}"),
+    "profile_table": (lambda c: profiles(c), f"{Q.CTES} {Q.PROFILE}"),
     "weekly_activity": (lambda c: E.weekly_activity(c.tx).withColumn("revenue", F.round("revenue", 4)), f"{Q.CTES} {Q.WEEKLY}"),
+    "weekly_activity_sketched": (lambda c: E.activity(written(E.daily_sketches(c.tx))), None),
     "channel_summary": (lambda c: E.channel_summary(c.tx), f"{Q.CTES} SELECT sales_channel_id, count(*) AS tx, round(avg(price), 6) AS mean_price, round(count(*) / (SELECT count(*) FROM tx), 6) AS share FROM tx GROUP BY 1"),
     "price_histogram": (lambda c: E.price_histogram(c.tx), f"{Q.CTES} SELECT CAST(least(floor((price - lo) / (hi - lo) * 80), 79) AS INTEGER) AS bin, count(*) AS n FROM tx, (SELECT min(price) AS lo, max(price) AS hi FROM tx) GROUP BY 1"),
     "price_quantiles": (lambda c: E.price_quantiles(c.tx), f"{Q.CTES} {Q.QUANTILES}"),
@@ -304,6 +344,6 @@ def _repurchase_rate(c: Context) -> DataFrame:
 #: One division of stored doubles: equal to the last bit, and often a tie of rounding.
 EXACT = {"load_tables", "sample_customers"}
 #: Queries that use the transactions in many places.
-STORED = {"run_baselines", "write_results", "compare_models", "item_cf", "rrf_fusion", "run_ensemble", "candidates_full"}
+STORED = {"run_baselines", "write_results", "compare_models", "item_cf", "rrf_fusion", "run_ensemble", "candidates_full", "profile_table", "interaction_features_full", "stratified_candidates", "hard_negatives", "candidate_labels", "candidate_recall", "write_processed", "stored_splits", "stored_customers", "user_history_daily"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda spark, path, f=f, store=k in STORED, r=(lambda df: df) if k in EXACT else rounded: r(f(Context(spark, path, store)))) for k, (f, _) in PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in PAIRS.items() if s}

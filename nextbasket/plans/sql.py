@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.analytics import STOP_WORDS
+
 TRAIN_START, CUTOFF = "1999-01-01", "2000-10-01"
 AGE = "CASE WHEN age > 15 AND age <= 25 THEN '16-24' WHEN age > 25 AND age <= 35 THEN '25-34' WHEN age > 35 AND age <= 45 THEN '35-44' WHEN age > 45 AND age <= 55 THEN '45-54' WHEN age > 55 AND age <= 65 THEN '55-64' WHEN age > 65 AND age <= 100 THEN '65+' END"
 CTES = f"""WITH tx AS (
@@ -165,7 +167,14 @@ INTERACTION = f"""SELECT g.customer_id, g.article_id, CASE WHEN n > 0 THEN 1 ELS
   LEFT JOIN (SELECT customer_id, product_group_name, count(*) AS cats FROM o GROUP BY 1, 2) USING (customer_id, product_group_name) LEFT JOIN (SELECT customer_id, avg(price) AS own_price FROM o GROUP BY 1) USING (customer_id) LEFT JOIN (SELECT article_id, avg(price) AS item_price FROM hist GROUP BY 1) USING (article_id)"""
 PLACES = f"{ranked('age_group, article_id, n', 'age_group', 'n DESC, article_id', '''(SELECT 'all' AS age_group, article_id, count(*) AS n FROM w14 GROUP BY 2 UNION ALL SELECT age_group, article_id, count(*) FROM w14 JOIN cust USING (customer_id) WHERE age_group IS NOT NULL GROUP BY 1, 2)''', rank='place')}"
 WEEKLY = "SELECT CAST(date_trunc('week', t_dat) AS DATE) AS week, count(*) AS tx, count(DISTINCT customer_id) AS customers, count(DISTINCT article_id) AS articles, round(sum(price), 4) AS revenue FROM tx GROUP BY 1 HAVING CAST(date_trunc('week', t_dat) AS DATE) < (SELECT CAST(date_trunc('week', max(t_dat)) AS DATE) FROM tx)"
-PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct, round(100 * (1 - count({c}) / count(*)), 6) AS null_pct FROM cust" for c in ("customer_id", "age", "club_member_status", "fashion_news_frequency"))
+PROFILED = {
+    "articles": ("art", ("article_id", "prod_name", "detail_desc", "product_code", "product_group_name", "index_group_name", "index_name", "colour_group_name", "product_type_name", "section_no", "garment_group_name")),
+    "customers": ("cust", ("customer_id", "age", "club_member_status", "fashion_news_frequency")), "transactions": ("tx", ("t_dat", "customer_id", "article_id", "price", "sales_channel_id")),
+}
+PROFILE = " UNION ALL ".join(f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct, round(100 * (1 - count({c}) / count(*)), 6) AS null_pct FROM {rows}" for name, (rows, columns) in PROFILED.items() for c in columns)
+WEEKS = "(SELECT tx.*, CAST(floor((mx - t_dat) / 7.0) AS INTEGER) AS week FROM tx, b)"
+APPENDED = """known AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS code FROM (SELECT DISTINCT customer_id FROM tx, b WHERE t_dat < mx - 60)) SELECT customer_id, CAST(code AS INTEGER) AS customer_id_int FROM known
+  UNION ALL SELECT customer_id, CAST((SELECT count(*) FROM known) + row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) FROM (SELECT DISTINCT customer_id FROM tx WHERE customer_id NOT IN (SELECT customer_id FROM known))"""
 def histogram(rows: str, value: str, bins: int, more: str = "") -> str:
     """bin and counts of rows by equal bins between the ends of value."""
     at = f"floor(round((v - CASE WHEN hi = lo THEN lo - 0.5 ELSE lo END) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * {bins}, 9))"
@@ -213,5 +222,5 @@ def sample(rows: str, n: int) -> str:
 
 
 AGAIN = " UNION ALL ".join(f"SELECT '{k}' AS key, " + ", ".join(f"round(100.0 * count(*) FILTER (days > 0 AND days <= {7 * w}) / count(*), 6) AS w{w}" for w in (1, 2, 3)) + f" FROM (SELECT lead(t_dat) OVER (PARTITION BY customer_id, {k} ORDER BY t_dat) - t_dat AS days FROM (SELECT tx.*, product_code, product_group_name FROM tx JOIN art USING (article_id)))" for k in ("article_id", "product_code", "product_group_name"))
-WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(regexp_replace(lower(detail_desc), '[^a-z]+', ' ', 'g')), ' +')) AS word FROM art) WHERE word <> '' AND word NOT IN ('cm', 'item', 'made', 'product', 'size', 'wear', 'a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with') GROUP BY 1 ORDER BY n DESC, word LIMIT 200"
+WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(regexp_replace(lower(detail_desc), '[^a-z]+', ' ', 'g')), ' +')) AS word FROM art) WHERE word <> '' AND word NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ") GROUP BY 1 ORDER BY n DESC, word LIMIT 200"
 

@@ -128,7 +128,7 @@ def test_ranker_finds_a_planted_signal(spark):
     rows_ = [(f"u{u}", str(i), "pop_7d", i, int(i == 0)) + tuple(float(i == 0) if c == "ui_cnt" else 0.0 for c in features.COMPACT) for u in range(30) for i in range(8)]
     names = ", ".join(f"{c} double" for c in features.COMPACT)
     frame = spark.createDataFrame(rows_, f"customer_id string, article_id string, source string, cand_rank int, label int, {names}")
-    model = ranker.fit(frame, trees=2, depth=2)
+    model = ranker.fit_pointwise(frame, trees=2, depth=2)
     best = ranker.best(ranker.score(model, frame), 1)
     assert {r["article_id"] for r in best.collect()} == {"0"}
     assert ranker.feature_importance(model, frame).orderBy("importance", ascending=False).first()["feature"] == "ui_cnt"
