@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 #: A capital word after a word that ends no sentence: a name.
 NAME = r"(?<=[^.!?:\s]\s)(?=\p{Lu}\p{Ll})"
@@ -77,13 +77,33 @@ def _joined(step: int):
     return F.transform(F.slice("hash", 1, F.greatest(F.size("hash") - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("hash", i + step)))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_row, item_form, item_at, item_tokens, item_slice, slots, hash; windows of more than half placeholders are left out."""
-    items = formed(benchmark.withColumn("item_row", F.monotonically_increasing_id()), ["item_id", "item_row"], "item_form")
+def reach(windows_: DataFrame) -> DataFrame:
+    """item_row, item_form, reach: the tokens that an item's windows cover together."""
+    form = ["item_row", "item_form"]
+    new = F.least(F.lit(WIDTH), F.coalesce(F.col("item_at") - F.lag("item_at").over(Window.partitionBy(*form).orderBy("item_at")), F.lit(WIDTH)))
+    return windows_.select(*form, new.alias("new")).groupBy(*form).agg(F.sum("new").alias("reach"))
+
+
+def item_windows(benchmark: DataFrame, least: int, share: float) -> DataFrame:
+    """Of benchmark(item_id, item_row, text): item_id, item_row, item_form, item_at, item_tokens, item_slice, slots, hash.
+
+    Windows of more than half placeholders are left out, as they fit too much. Where the others cover less than a hit needs, as in short questions full of names and values,
+    dense ones stay that have two plain tokens or more, if the item has three or more.
+    """
+    items = formed(benchmark, ["item_id", "item_row"], "item_form")
     each = windows(items).select("item_id", "item_row", "item_form", "token", F.posexplode_outer("hash").alias("item_at", "hash"))
     slot = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: _slot(F.get("token", F.col("item_at") + k), F.get("token", F.col("item_at") + k - 1)))
-    out = each.where("hash is not null").select("item_id", "item_row", "item_form", "item_at", F.size("token").alias("item_tokens"), F.slice("token", F.col("item_at") + 1, WIDTH).alias("item_slice"), slot.alias("slots"), "hash")
-    return out.where(F.size(F.filter("slots", lambda x: x)) * 2 <= WIDTH)
+    item_plain = F.size(F.filter(F.transform("token", lambda x, i: _slot(x, F.when(i > 0, F.get("token", i - 1)))), lambda x: ~x))
+    out = each.where("hash is not null").select("item_id", "item_row", "item_form", "item_at", F.size("token").alias("item_tokens"), item_plain.alias("item_plain"), F.slice("token", F.col("item_at") + 1, WIDTH).alias("item_slice"), slot.alias("slots"), "hash")
+    out, dense = saved(out), F.size(F.filter("slots", lambda x: x)) * 2 > WIDTH
+    plain = F.size(F.filter("slots", lambda x: ~x))
+    out = out.join(reach(out.where(~dense)), ["item_row", "item_form"], "left").where(~dense | (plain >= 2) & (F.col("item_plain") >= 3) & (F.coalesce("reach", F.lit(0)) < needs(least, share)))
+    return saved(out.drop("reach", "item_plain"))
+
+
+def needs(least: int, share: float):
+    """The tokens that a hit of an item has to cover."""
+    return F.least(F.lit(least), F.ceil(F.col("item_tokens") * share))
 
 
 def whole_keys(benchmark: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
@@ -93,11 +113,9 @@ def whole_keys(benchmark: DataFrame, items: DataFrame, least: int, share: float)
     prevail or the item is longer, of the tokens (raw). item_slice and slots are those of the whole item.
     """
     form = ["item_row", "item_form"]
-    new = F.least(F.lit(WIDTH), F.coalesce(F.col("item_at") - F.lag("item_at").over(Window.partitionBy(*form).orderBy("item_at")), F.lit(WIDTH)))
-    reach = items.select(*form, new.alias("new")).groupBy(*form).agg(F.sum("new").alias("reach"))
-    all_items = formed(benchmark.withColumn("item_row", F.monotonically_increasing_id()), ["item_id", "item_row"], "item_form").where(F.get("token", F.lit(0)) != "")
+    all_items = formed(benchmark, ["item_id", "item_row"], "item_form").where(F.get("token", F.lit(0)) != "")
     n = F.size("token")
-    short = all_items.join(reach, form, "left").where(F.coalesce("reach", F.lit(0)) < F.least(F.lit(least), F.ceil(n * share)))
+    short = all_items.join(reach(items), form, "left").where(F.coalesce("reach", F.lit(0)) < F.least(F.lit(least), F.ceil(n * share)))
     slots = F.transform("token", lambda x, i: _slot(x, F.when(i > 0, F.get("token", i - 1))))
     short = short.select("item_id", *form, n.alias("item_tokens"), F.col("token").alias("item_slice"), slots.alias("slots"), F.least(n, F.lit(WIDTH)).alias("width"))
     raw = (F.col("item_tokens") >= WIDTH) | (F.size(F.filter("slots", lambda x: x)) * 2 > F.col("item_tokens"))
@@ -142,12 +160,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
 
     A hit covers `least` tokens, or `share` of a shorter item. kind: verbatim (`share` of the item at least, with its values), partial (less of it,
     with its values) or reparameterised; hits whose slots are replaced inconsistently are left out. Items whose windows cover less, as they are short or made mainly of placeholders, are
-    found where they stand whole, by one key each: short ones by their template, those made mainly of placeholders and longer ones
+    found where they stand whole, by one key each: short ones by their template, those made almost wholly of placeholders and longer ones
     verbatim. An item without any token is never found. The windows of the benchmark go to the tasks where they take at most broadcast_bytes, which are summed; otherwise both sides shuffle.
     Nulls: null texts have no window, null ids stay. Repeated rows of documents each give a row, repeated items each count.
     Empty tables give no rows. Other columns, whatever their names, are dropped.
     """
-    items = item_windows(benchmark)
+    benchmark = saved(benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("item_row")))  # written once, so that a row keeps its number
+    items = item_windows(benchmark, least, share)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
     texts = formed(texts, ["doc_id", "text_hash", "row"], "form")
     item = ["item_id", "item_row", "item_form", "item_at", "item_tokens", "item_slice", "slots"]
@@ -180,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
         each = each.select(*line[:-1], (F.col("doc_at") + 0).alias("diagonal"), "doc_at", F.lit(0).alias("item_at"), F.col("item_tokens").cast("long").alias("covered"), F.array_distinct(pair).alias("pairs"))
         found = found.unionByName(each)
     distinct = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
-    found = found.where((F.col("covered") >= F.least(F.lit(least), F.ceil(F.col("item_tokens") * share))) & (distinct == F.size("pairs")))
+    found = found.where((F.col("covered") >= needs(least, share)) & (distinct == F.size("pairs")))
     best = F.row_number().over(Window.partitionBy("row", "item_row").orderBy(F.desc("covered"), "diagonal", "form", "item_form"))
     same = F.forall("pairs", lambda x: x["item"] == x["doc"])
     return found.withColumn("best", best).where("best = 1").select("doc_id", "text_hash", "item_id", "doc_at", "item_at", "covered", "item_tokens", F.size("pairs").alias("slots"), F.when(~same, "reparameterised").when(F.col("covered") < F.col("item_tokens") * share, "partial").otherwise("verbatim").alias("kind"))

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import math
 import os
 import random
 import re
@@ -509,6 +510,90 @@ def test_decontamination_of_items_without_windows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {14, 21, 22, 24}
 
 
+def typed(tokens):
+    """(template, slot) of each (word, is it a name)."""
+    out = []
+    for k, (w, name) in enumerate(tokens):
+        number = w[0].isdigit() or w in decontaminate.NUMBERS
+        unit = w in decontaminate.UNITS and k > 0 and not tokens[k - 1][1] and (tokens[k - 1][0][0].isdigit() or tokens[k - 1][0] in decontaminate.NUMBERS)
+        out.append(("<name>", True) if name else ("<number>", True) if number else ("<unit>", True) if unit else (w, False))
+    return out
+
+
+def plain_hit(doc, item, least=13, share=0.8, width=8):
+    """kind and covered tokens of the best hit of an item (both lists of (word, is it a name)), by the definition."""
+    d, t, n = typed(doc), typed(item), len(item)
+    need = min(least, math.ceil(n * share))
+    union = lambda places: len({p + k for p in places for k in range(width)})
+    slots = lambda p: sum(x[1] for x in t[p : p + width])
+    every = range(n - width + 1)
+    kept = [p for p in every if slots(p) * 2 <= width]
+    if union(kept) < need and sum(not x[1] for x in t) >= 3:
+        kept = [p for p in every if p in kept or width - slots(p) >= 2]
+    found = []
+
+    def judge(diagonal, covered, places):
+        pairs = {(item[p], doc[p + diagonal]) for p in places if t[p][1]}
+        if covered >= need and len({a for a, _ in pairs}) == len(pairs):
+            kind = "reparameterised" if any(a != b for a, b in pairs) else "partial" if covered < n * share else "verbatim"
+            found.append((-covered, diagonal, kind))
+
+    for diagonal in range(-n, len(doc)):
+        hit = [p for p in kept if 0 <= p + diagonal <= len(doc) - width and [x[0] for x in t[p : p + width]] == [x[0] for x in d[p + diagonal : p + diagonal + width]]]
+        if hit:
+            judge(diagonal, union(hit), {p + k for p in hit for k in range(width)})
+    if union(kept) < need:
+        raw = n >= width or sum(x[1] for x in t) * 2 > n
+        for at in range(len(doc) - n + 1):
+            part = [(doc[at][0], False), *doc[at + 1 : at + n]]
+            own = [(item[0][0], False), *item[1:]]
+            if part == own if raw else [x[0] for x in typed(part)] == [x[0] for x in typed(own)]:
+                judge(at, n, range(n) if not raw else [])
+    return min(found)[2], -min(found)[0]
+
+
+def test_decontamination_equals_the_plain_definition(spark):
+    r = random.Random(21)
+    word = lambda: r.choice(("red", "box", "carry", "bridge", "before", "other", "sell", "hour", "more"))
+    name, number, unit = (lambda: (r.choice(("Bob", "Ann", "Tom", "Eve")), True)), (lambda: (str(r.randrange(2, 60)), False)), (lambda: (r.choice(("kg", "km", "hours")), False))
+
+    def question(n, share):
+        out = [("if", False)]
+        while len(out) < n:
+            kind = r.random()
+            out += [("has", False), name()] if kind < share / 2 else [number(), unit()] if kind < share else [(word(), False)]
+        return out[:n]
+
+    def changed(q):
+        """Values replaced, consistently or once at random."""
+        held = {}
+        new = lambda x: name() if x[1] else number() if x[0][0].isdigit() else unit() if x[0] in ("kg", "km", "hours") else x
+        out = [held.setdefault(x, new(x)) for x in q]
+        if r.random() < 0.3:
+            k = r.randrange(len(q))
+            out[k] = new(out[k])
+        return out
+
+    items = [question(r.choice((4, 6, 9, 12, 18, 26)), r.choice((0.1, 0.5, 0.8))) for _ in range(60)] + [[("if", False), ("Bob", True), ("has", False), ("12", False), ("kg", False), ("and", False), ("Ann", True), ("7", False), ("kg", False)]]
+    bodies = [[(word(), False) for _ in range(r.randrange(9))] + (changed(q) if r.random() < 0.7 else q)[: None if r.random() < 0.8 else len(q) - 3] + [(word(), False) for _ in range(6)] for q in items for _ in range(4)]
+    bodies += [[("if", False), ("Tom", True), ("has", False), ("15", False), ("kg", False), ("and", False), ("Eve", True), ("9", False), ("kg", False)]]
+    text = lambda tokens: "so " + " ".join(w for w, _ in tokens)  # noqa: E731  two words before a name: the first is never one
+    bodies = [[("so", False), *b] for b in bodies]
+    bench = spark.createDataFrame([(k, " ".join(w for w, _ in q)) for k, q in enumerate(items)], "item_id long, text string")
+    rows = docs(spark, [(k, text(b[1:])) for k, b in enumerate(bodies)])
+    got = {(x["doc_id"], x["item_id"]): (x["kind"], x["covered"]) for x in decontaminate.leaks(rows, bench).collect()}
+    low = lambda tokens: [(w.lower(), n) for w, n in tokens]
+    want = {}
+    for i, b in enumerate(bodies):
+        for k, q in enumerate(items):
+            try:
+                want[i, k] = plain_hit(low(b), low(q))
+            except ValueError:
+                continue
+    assert got == want and len(want) > 120 and (len(bodies) - 1, len(items) - 1) in want
+    assert collections.Counter(k for k, _ in want.values()).keys() == {"verbatim", "partial", "reparameterised"}
+
+
 # 9 ---------------------------------------------------------------------------------------------
 def test_boundaries_are_optimal():
     import itertools
