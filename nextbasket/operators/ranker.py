@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Pipeline
@@ -12,9 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import top_k
+from ..sources.scratch import written
 from . import boosting as B
 from . import candidates as C
 from . import features as X
+from .prep import between, ground_truth, multi_week_splits
+
+
+def full_rows(history: DataFrame, customers: DataFrame, articles: DataFrame, users: DataFrame, t: dt.date, obsolete: DataFrame | None = None) -> DataFrame:
+    """customer_id, article_id, source and all features at t: the candidates of all six sources for users, with the features of the user, the article and the pair; unknown ones are imputed, the age by its median.
+
+    Only rows before t count, whatever history holds.
+    """
+    history = between(history, None, t)
+    candidates = written(C.full(history, customers, articles, users, t, obsolete))
+    own = history.join(users.select("customer_id"), "customer_id", "left_semi")
+    user = X.user_features_full(own, customers, articles, t)
+    article = X.article_features_full(history, articles, t).withColumnRenamed("avg_price", "article_avg_price")
+    pair = X.interaction_features_full(history, candidates, articles, t, C.PRIORITY)
+    rows = candidates.select("customer_id", "article_id", "source").join(pair, ["customer_id", "article_id"]).join(user, "customer_id", "left").join(article, "article_id", "left")
+    return X.impute(written(rows))
+
+
+def full_training_frame(history: DataFrame, customers: DataFrame, articles: DataFrame, test_start: dt.date, n_weeks: int = 2, obsolete: DataFrame | None = None) -> DataFrame:
+    """full_rows of each label week's users at the week's first day with sales, with label and label_week. Weeks without sales give no rows; None where all have none."""
+    out = None
+    for start, _, labels in multi_week_splits(history, test_start, n_weeks):
+        t = labels.agg(F.min("t_dat")).first()[0]  # one row
+        if t is None:
+            continue
+        rows = full_rows(history, customers, articles, labels.select("customer_id").distinct(), t, obsolete)
+        rows = C.candidate_labels(rows, ground_truth(labels)).withColumn("label_week", F.lit(start))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def group_sizes(frame: DataFrame) -> DataFrame:

@@ -122,6 +122,12 @@ class Context:
         return L.score(model, X.compact(self.past(), self.compact(), self.t)), model, frame
 
 
+def two_stage_full(c: Context) -> DataFrame:
+    """The whole model: six candidate sources, all features, listwise trees; twelve articles for each customer of the test week."""
+    frame = written(L.full_training_frame(c.train, c.customers, c.articles, c.b.test_start, 2, c.obsolete()))
+    return L.best(L.score(L.fit(frame, X.feature_columns(frame)), L.full_rows(c.tx, c.customers, c.articles, c.users, c.t, c.obsolete())))
+
+
 def linear(c: Context) -> DataFrame:
     x = rounded(X.compact(c.past(), c.compact(), c.t))
     return L.best(x.withColumn("score", F.round(F.col("ui_cnt") + F.col("pop_bias") + F.col("recency_bias"), 6)))
@@ -296,6 +302,7 @@ PAIRS: dict[str, tuple[Callable[[Context], DataFrame], str | None]] = {
     "training_frame": (lambda c: c.frame(), f"{Q.CTES} {Q.FRAME}"),
     "group_sizes": (lambda c: L.group_sizes(c.frame()), f"{Q.CTES} SELECT label_week, customer_id, count(*) AS n FROM ({Q.FRAME}) GROUP BY 1, 2"),
     "fit_ranker": (lambda c: c.two_stage()[0].select("customer_id", "article_id", "score"), None),
+    "two_stage_full": (two_stage_full, None),
     "score_top_k": (linear, f"{Q_HIST}, f AS ({Q.feature_sql(Q.COMPACT, 'hist', Q.T0)}) {Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', '(SELECT customer_id, article_id, round(ui_cnt + pop_bias + recency_bias, 6) AS score FROM f)', 12)}"),
     "feature_importance": (lambda c: L.feature_importance(*c.two_stage()[1:]), None),
     "rrf_fusion": (fused, f"{Q.CTES}{Q.CF} SELECT customer_id, rank, article_id, round(score, 6) AS score FROM ({Q.ranked('customer_id, article_id, score', 'customer_id', 'score DESC, article_id', f'(SELECT customer_id, article_id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT 3.0::DOUBLE AS w, customer_id, rank, article_id FROM ({Q.REPURCHASE}) UNION ALL SELECT 2.0, customer_id, rank, article_id FROM ({Q.ITEM_CF}) UNION ALL SELECT 1.0, customer_id, rank, article_id FROM ({Q.RECENT_POP})) GROUP BY 1, 2)', 12)})"),
@@ -344,6 +351,6 @@ def _repurchase_rate(c: Context) -> DataFrame:
 #: One division of stored doubles: equal to the last bit, and often a tie of rounding.
 EXACT = {"load_tables", "sample_customers"}
 #: Queries that use the transactions in many places.
-STORED = {"run_baselines", "write_results", "compare_models", "item_cf", "rrf_fusion", "run_ensemble", "candidates_full", "profile_table", "interaction_features_full", "stratified_candidates", "hard_negatives", "candidate_labels", "candidate_recall", "write_processed", "stored_splits", "stored_customers", "user_history_daily"}
+STORED = {"run_baselines", "write_results", "compare_models", "item_cf", "rrf_fusion", "run_ensemble", "candidates_full", "profile_table", "interaction_features_full", "stratified_candidates", "hard_negatives", "candidate_labels", "candidate_recall", "write_processed", "stored_splits", "stored_customers", "user_history_daily", "two_stage_full"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: (lambda spark, path, f=f, store=k in STORED, r=(lambda df: df) if k in EXACT else rounded: r(f(Context(spark, path, store)))) for k, (f, _) in PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in PAIRS.items() if s}

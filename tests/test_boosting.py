@@ -1,12 +1,15 @@
 """Listwise boosting against plain loops."""
 
+import datetime as dt
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nextbasket.operators import boosting as B
+from nextbasket.operators import features as X
 from nextbasket.operators import metrics as M
 from nextbasket.operators import ranker as L
 
@@ -127,3 +130,29 @@ def test_edges(spark):
     assert B.score(B.fit(none, COLUMNS, settings=s), none).count() == 0
     same = frame(spark, 5).selectExpr("label_week", "customer_id", "article_id", "0 as label", "a", "b", "c")
     assert {r["score"] for r in B.score(B.fit(same, COLUMNS, settings=s), same).collect()} == {0.0}
+
+
+def test_full_frame_holds_all_features_and_nothing_from_later_days(spark):
+    day, r = dt.date(2020, 9, 22), random.Random(5)
+    rows = [(day - dt.timedelta(days=r.randrange(80)), r.randrange(20), r.randrange(40), float(r.randrange(1, 50)), 1 + r.randrange(2)) for _ in range(900)]
+    tx = spark.createDataFrame(rows, "t_dat date, customer_id long, article_id long, price double, sales_channel_id int")
+    customers = spark.createDataFrame([(i, 20.0 + i if i % 4 else None, "ACTIVE") for i in range(20)], "customer_id long, age double, club_member_status string")
+    text = lambda e, c: F.concat(F.lit(c), (F.col("id") % e).cast("string")).alias
+    articles = spark.range(40).select(F.col("id").alias("article_id"), text(20, "p")("product_code"), text(5, "g")("product_group_name"), text(4, "c")("colour_group_name"), text(3, "t")("product_type_name"), (F.col("id") % 2).cast("int").alias("section_no"))
+    test_start = day - dt.timedelta(days=6)
+    frame = L.full_training_frame(tx, customers, articles, test_start, 2)
+    weeks = {x["label_week"] for x in frame.select("label_week").distinct().collect()}
+    assert weeks == {test_start - dt.timedelta(days=d) for d in (14, 21)}
+    found = frame.collect()
+    keys = [(x["label_week"], x["customer_id"], x["article_id"]) for x in found]
+    assert len(set(keys)) == len(keys) and {x["label"] for x in found} == {0, 1} and {x["source"] for x in found} >= {"repurchase_short", "popular_global"}
+    features = X.feature_columns(frame)
+    assert {"n_unique_categories", "trend", "recency_score", "age", "candidate_source", "article_avg_price"} <= set(features)
+    assert all(x["age"] is not None for x in found)
+    # the same from a history that ends where the later label week begins
+    earlier = tx.where(F.col("t_dat") < F.lit(max(weeks)))
+    again = L.full_training_frame(earlier, customers, articles, test_start, 2).where(F.col("label_week") == F.lit(min(weeks)))
+    key = lambda x: tuple(round(v, 9) if isinstance(v, float) else str(v) for v in (x[c] for c in sorted(features + ["customer_id", "article_id", "label"])))
+    assert sorted(map(key, again.collect())) == sorted(key(x) for x in found if x["label_week"] == min(weeks))
+    best = L.best(L.score(L.fit(frame, features, B.Settings(trees=2, depth=2, least_rows=5)), frame.where(F.col("label_week") == F.lit(max(weeks)))))
+    assert best.groupBy("customer_id").count().agg(F.max("count")).first()[0] == 12
