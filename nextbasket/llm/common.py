@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,17 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; where it is unset, a local session makes a temporary one, and on a cluster this fails."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return f"{base}/llm-{uuid.uuid4().hex}"
 
 
-#: The folders that saved() has written in this process and removed() has not taken away.
-WRITTEN: list[str] = []
+#: The folders that saved() has written inside the innermost tracked(); other threads and runs have lists of their own.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The folders that saved() writes inside, in order."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -39,13 +54,17 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        WRITTEN.remove(path)
+
+
+#: corpus_pipeline.py tracks its own folders.
+WRITTEN: list[str] = []
 
 
 def saved(df: DataFrame, **options: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    WRITTEN.append(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

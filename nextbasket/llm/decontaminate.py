@@ -163,6 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float =
     found where they stand whole, by one key each: short ones by their template, those made almost wholly of placeholders and longer ones
     verbatim. An item without any token is never found. The windows of the benchmark go to the tasks where they take at most broadcast_bytes, which are summed; otherwise both sides shuffle.
     Nulls: null texts have no window, null ids stay. Repeated rows of documents each give a row, repeated items each count.
+    Of diagonals that cover as much the first in the document counts. Texts of any length are whole, also runs of separators alone.
     Empty tables give no rows. Other columns, whatever their names, are dropped.
     """
     benchmark = saved(benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("item_row")))  # written once, so that a row keeps its number
@@ -213,4 +214,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataF
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds, with place, covered tokens and kind."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")

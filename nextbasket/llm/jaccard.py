@@ -437,7 +437,7 @@ def near_duplicates(docs: DataFrame, **settings: int) -> DataFrame:
     Links are those of a Jaccard similarity of percent or more; component_id is the smallest doc_id reachable by links.
     Nulls: a null text is empty; empty texts have no shingles, link with nothing and are their own component. A row with
     a null doc_id takes part; it gets the component's smallest id, null if all are null. Rows that repeat a doc_id are
-    documents of their own. An empty table gives no rows. Other columns are dropped. Shingles are told apart by 64-bit hashes.
+    documents of their own. An empty table gives no rows. Other columns are dropped. Shingles are told apart by 64-bit hashes. Texts of any length are whole.
     """
     return Join(**settings).run(docs)
 
@@ -450,4 +450,5 @@ def one_of_each(docs: DataFrame, **settings: int) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

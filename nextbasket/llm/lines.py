@@ -226,7 +226,7 @@ def dedup_runs(docs: DataFrame, long: int = LONG, drop_emptied: bool = False) ->
 
     A line goes where it and a neighbour, or it alone if it has at least long bytes, stand at an earlier place by doc_id, also
     of the same document; so each repeated run of two or more lines goes whole, wherever it begins. Neighbours may have lines of
-    white space between them, which have to be the same and go with them. Nulls, n_chars, repeated rows and drop_emptied are as in dedup_lines.
+    white space between them, which have to be the same and go with them. Texts of any length are whole. Nulls, n_chars, repeated rows and drop_emptied are as in dedup_lines.
     """
     whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"))
     held = saved(whole.withColumn("_row", F.monotonically_increasing_id()))
@@ -253,4 +253,5 @@ def dedup_runs(docs: DataFrame, long: int = LONG, drop_emptied: bool = False) ->
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated runs of lines."""
     return dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -273,7 +273,7 @@ class Trie:
 
 
 def score(docs: DataFrame, held_out, order: int = 5, common: int = 1 << 18, common_runs: int = 1 << 20) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. Texts of any length are whole.
 
     held_out: a boolean column, the rows not to learn from. order: bytes of the longest contexts, 3 to 6. The most frequent words
     (at most `common`) and runs of bytes (at most common_runs) go to the tasks as arrays of that size; all others are looked up by a

@@ -45,8 +45,8 @@ def pack(docs: DataFrame, max_len: int = 4096, buckets: int = 16, token_budget:
     A document's tokens are its words and one end token. Documents of more than max_len tokens become pieces of max_len
     tokens and a rest, so nothing is cut off. A batch holds token_budget // bucket_len pieces (one at least) of one
     bucket, all padded to bucket_len; only the last batch of a bucket may be smaller. Pieces are numbered over the whole
-    bucket: within shards of about rows_per_shard by a window, plus the sizes of the shards before, so no task holds a
-    bucket. Nulls: a null text is empty (one token); a null doc_id stays. Repeated rows are packed each. Order:
+    bucket: within shards of about rows_per_shard, dealt by row and piece, by a window, plus the sizes of the shards before, so no task holds a
+    bucket, nor the rows of a doc_id that repeats. Texts of any length are whole. Nulls: a null text is empty (one token); a null doc_id stays. Repeated rows are packed each. Order:
     shard, doc_id, piece. An empty table gives no rows. Other columns are dropped.
     """
     if not 0 < max_len <= token_budget:
@@ -61,7 +61,7 @@ def pack(docs: DataFrame, max_len: int = 4096, buckets: int = 16, token_budget:
     else:
         ends = boundaries(np.array([r["length"] for r in histogram]), np.array([r["count"] for r in histogram]), buckets)
     shards = max(1, -(-sum(r["count"] for r in histogram) // rows_per_shard))
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), "piece"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards))
     dealt = pieces.select("*", F.coalesce(*(F.when(F.col("length") <= e, F.lit(e)) for e in ends)).alias("bucket_len"), shard.alias("shard"))
     before = F.sum("count").over(Window.partitionBy("bucket_len").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = dealt.groupBy("bucket_len", "shard").count().select("bucket_len", "shard", F.coalesce(before, F.lit(0)).alias("before"))
@@ -75,4 +75,5 @@ def pack(docs: DataFrame, max_len: int = 4096, buckets: int = 16, token_budget:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bucket, batch and slot."""
     return pack(table(spark, sf_dir, "documents"))

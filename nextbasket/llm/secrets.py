@@ -126,7 +126,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, odds: float = 1000.0
 
     samples(value, secret) trains the models; labelled_samples by default. A token of 16 characters or more is a secret if its
     likelihood ratio exceeds odds. Model spans that overlap a base span are not added. Nulls: a null text is empty, a null
-    doc_id stays; samples of a null value are left out. Repeated rows are scanned each. An empty table gives no rows; with an
+    doc_id stays; samples of a null value are left out. Repeated rows are scanned each. Texts and tokens of any length are whole, in time by their length. An empty table gives no rows; with an
     empty table of samples the ratio is 1, so nothing is added. Other columns are dropped.
     """
     found = matches(docs)
@@ -145,4 +145,5 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, odds: float = 1000.0
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base digest and all spans of every document."""
     return scan(table(spark, sf_dir, "documents"))

@@ -187,6 +187,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages"), rules)
 

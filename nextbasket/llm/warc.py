@@ -249,7 +249,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record and each quarantined gap of archives(name, content); gap is the failed check, null for records.
 
     payload_digest is the one in the header; payload_ok tells whether the payload at hand has it (null for revisits, which have none).
-    A null or empty content gives no rows.
+    A null or empty content gives no rows. Contents and records of any length are whole.
     """
 
     def rows(name: str | None, content: bytes) -> Iterator[dict[str, object]]:

@@ -758,6 +758,39 @@ def test_queries_keep_their_contracts(spark, tmp_path):
     assert len(texts) == len(rows)
 
 
+def test_queries_of_long_runs(spark, tmp_path):
+    """1 MB of one separator, or of one token, ends no query and no stage."""
+    import corpus_pipeline
+    from nextbasket.llm import queries
+
+    r = random.Random(30)
+    token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    docs(spark, [(k, (c * (1 << 20))[: 1 << 20]) for k, c in enumerate(("-", " ", "\n", ". ", token))] + [(9, "plain words " * 9)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, sentence(r, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, f in queries.QUERIES.items():
+        if name not in ("op3_url_filter", "op5_warc", "op8_decontaminate", "op9_packing", "op12_negatives"):
+            assert f(spark, str(tmp_path)).count() == 6, name
+    assert queries.QUERIES["op8_decontaminate"](spark, str(tmp_path)).count() == 0
+    kept = queries.QUERIES["op9_packing"](spark, str(tmp_path))
+    assert kept.select("doc_id").distinct().count() == 6
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_written_folders_are_tracked_by_run(spark):
+    from nextbasket.llm import common
+
+    one = spark.range(3)
+    with common.tracked() as outer:
+        a = common.saved(one)
+        with common.tracked() as inner:
+            b = common.saved(one)
+        common.removed(spark, inner)
+        assert len(outer) == len(inner) == 1 and a.count() == 3 and not os.path.exists(inner[0].removeprefix("file:"))
+        common.removed(spark, outer)
+    assert b is not None and common._written.get() is None
+
+
 def test_queries_of_empty_tables(spark, tmp_path):
     import corpus_pipeline
     from nextbasket.llm import queries
