@@ -56,10 +56,6 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: corpus_pipeline.py tracks its own folders.
-WRITTEN: list[str] = []
-
-
 def saved(df: DataFrame, **options: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
