@@ -232,11 +232,11 @@ class Trie:
         three = self.runs[3].toArrow()  # 2**24 rows of two numbers at most
         self.low = Low(three["key"].to_numpy(), three["n"].to_numpy())
 
-    def contexts(self, k: int) -> DataFrame:
-        """ctx (k bytes), t: their uses, d: distinct next bytes, x: uses of these in the context of k - 1 bytes, after: next byte -> uses, 256 at most."""
+    def contexts(self, k: int, wanted: DataFrame) -> DataFrame:
+        """Of the wanted(ctx): ctx (k bytes), t: their uses, d: distinct next bytes, x: uses of these in the context of k - 1 bytes, after: next byte -> uses, 256 at most."""
         shorter = self.runs[k].select(F.col("key").alias("short"), F.col("n").alias("uses"))
         each = self.runs[k + 1].select(F.shiftright("key", 8).alias("ctx"), low("key", 1).cast("int").alias("next"), "n", low("key", k).alias("short"))
-        each = each.join(shorter, "short")
+        each = each.join(wanted, "ctx", "left_semi").join(shorter, "short")
         return each.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum("uses").alias("x"), F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("after"))
 
     def known_logs(self, common: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,8 @@ class Trie:
         """key, log for distinct runs that were not seen: down the orders, as long as their last byte does not follow the context."""
         q = keys.select("key", F.lit(0.0).alias("log"), F.lit(0.0).alias("drop_n"), F.lit(0.0).alias("drop_d"), F.lit(True).alias("open"))
         for k in range(self.order, 2, -1):
-            q = q.withColumns({"ctx": F.shiftright(low("key", k + 1), 8)}).join(self.contexts(k), "ctx", "left")
+            q = saved(q.withColumn("ctx", F.shiftright(low("key", k + 1), 8)))
+            q = q.join(self.contexts(k, q.where("open").select("ctx").distinct()), "ctx", "left")
             n, t, d = F.expr("try_element_at(after, cast(key & 255 as int))"), F.col("t") - F.col("drop_n"), F.col("d") - F.col("drop_d")
             use = F.col("open") & F.col("t").isNotNull() & F.coalesce(d > 0, F.lit(False))
             hit = use & n.isNotNull()
