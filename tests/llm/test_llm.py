@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from nextbasket.llm import decontaminate, jaccard, lines, lm, mpeg, packing, secrets, toxicity, url_filter, warc
 from nextbasket.llm.common import shingles, slices, words
@@ -380,6 +381,41 @@ def test_repeated_runs_equal_brute_force(spark):
     assert [x["doc_id"] for x in lines.dedup_runs(docs(spark, [(1, "a b\nc"), (2, "a b\nc"), (3, " ")]), drop_emptied=True).collect()] in ([1, 3], [3, 1])
 
 
+def test_line_chunks_do_not_depend_on_what_stands_around():
+    r = random.Random(21)
+    body = [sentence(r, 4) for _ in range(40)]
+    cut = lambda own: {("\n".join(own)).encode()[x:y] for x, y in zip(*lines.line_chunks(np.frombuffer("\n".join(own).encode(), np.uint8), np.array([0, len("\n".join(own).encode())]))[2:4])}
+    alone = cut(body)
+    for k in range(12):
+        around = cut([sentence(r, 5) for _ in range(k)] + body + [sentence(r, 5) for _ in range(k)])
+        assert len(alone - around) <= 2  # those at the two ends alone
+    assert len(alone) > 5 and not cut([" ", ""]) and not cut(["one"])
+
+
+def test_repeated_runs_go_as_chunks_and_their_ends_by_windows(spark):
+    r = random.Random(22)
+    shared = [sentence(r, 4) for _ in range(60)]
+    some = [sentence(r, 2) for _ in range(9)] + ["", " ", sentence(r, 80)]
+    rows = [(i, "\n".join([sentence(r, 3), *shared[i % 7 : 60 - i % 5], sentence(r, 3)])) for i in range(20)]
+    rows += [(100 + i, "\n".join(r.choice(some) for _ in range(r.randrange(1, 30)))) for i in range(60)]
+    d = docs(spark, rows)
+    texts = d.select(F.col("doc_id").alias("_row"), F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("base"), F.lit(True).alias("whole"), F.col("text").cast("binary").alias("text"))
+    gone, _, _ = lines.repeated(texts, lambda data, at, whole: lines.line_chunks(data, at))
+    by_chunks = sum((x["code"] & 0xFFFFFFFF) - (x["code"] >> 32) + 1 for x in gone.where("_row < 100").collect())
+    first, want = {}, []
+    for i, t in rows:
+        own = t.split("\n")
+        filled = [k for k, x in enumerate(own) if x.strip()]
+        out = set()
+        for a, b in [(a, b) for a, b in zip(filled, filled[1:])] + [(k, k) for k in filled if len(own[k]) >= 300]:
+            at = first.setdefault(tuple(own[a : b + 1]), (i, a, b))
+            if at != (i, a, b) and not (at[0] == i and at[2] == a < b):
+                out |= set(range(a, b + 1))
+        want.append((i, "\n".join(x for k, x in enumerate(own) if k not in out), len(out)))
+    assert sorted(map(tuple, lines.dedup_runs(d).select("doc_id", "text", "removed_lines").collect())) == want
+    assert by_chunks > 0.5 * sum(n for i, _, n in want if i < 100)
+
+
 # 7 ---------------------------------------------------------------------------------------------
 def test_lm_base_and_model(spark):
     r = random.Random(5)
