@@ -65,6 +65,12 @@ def test_layout_reads_few_folders_and_needs_no_exchange_by_customer(spark, layou
     assert test.select(F.input_file_name().alias("f")).where("f not like '%/week=0/%'").count() == 0
 
 
+def test_a_bucket_does_not_grow_with_the_table(spark):
+    n = [tables.buckets_for(spark.range(k * 1000), rows=700) for k in (0, 1, 6, 60)]
+    assert n == [2, 2, 9, 86]
+    assert tables.buckets_for(spark.range(3 * tables.BUCKET_ROWS + 1)) == 4
+
+
 def test_history_of_daily_merges_is_that_of_all_days(spark, tx):
     for top in (3, 100):
         state, days = popularity.merged_history(None, prep.between(tx, None, DAY - dt.timedelta(days=4)), top), range(4, -1, -1)
