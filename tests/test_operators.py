@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from nextbasket.functions.ranks import age_group
 from nextbasket.operators import analytics, candidates, features, itemcf, metrics, popularity, prep, ranker
@@ -187,6 +188,22 @@ def test_similarity_is_the_same_in_blocks(spark):
     assert whole == split and whole
 
 
+def test_similarity_is_the_same_dealt_over_tasks_of_few_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = spark.createDataFrame([(c, a) for c in range(30) for a in range(25) if r.random() < (1 if a == 0 else 0.2)], "customer_id int, article_id int")
+    whole = sorted(map(tuple, itemcf.item_similarity(pairs).collect()))
+    for most in (20, 90, 400):  # article 0 has more pairs than a task counts
+        dealt = itemcf.item_similarity(pairs, 4, most)
+        assert sorted(map(tuple, dealt.collect())) == whole
+        sizes = [x["count"] for x in dealt.groupBy(F.spark_partition_id()).count().collect()] if most == 20 else []
+        assert not sizes or len(sizes) > 10
+    few = itemcf.item_similarity(pairs, of=spark.createDataFrame([(3,), (7,), (99,)], "article_id int"))
+    assert sorted(map(tuple, few.collect())) == [x for x in whole if x[0] in (3, 7)]
+    assert itemcf.item_similarity(pairs.limit(0)).count() == 0
+
+
 def test_comparison_with_the_best_baseline(spark):
     scores = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("item_cf", 0.3), ("two_stage", 0.5)], "model string, map double")
     got = {x["model"]: (x["place"], x["lift"]) for x in metrics.compare_models(scores).collect()}
