@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nextbasket.operators import boosting as B
+from nextbasket.operators import candidates as C
 from nextbasket.operators import features as X
 from nextbasket.operators import metrics as M
 from nextbasket.operators import ranker as L
@@ -156,3 +157,17 @@ def test_full_frame_holds_all_features_and_nothing_from_later_days(spark):
     assert sorted(map(key, again.collect())) == sorted(key(x) for x in found if x["label_week"] == min(weeks))
     best = L.best(L.score(L.fit(frame, features, B.Settings(trees=2, depth=2, least_rows=5)), frame.where(F.col("label_week") == F.lit(max(weeks)))))
     assert best.groupBy("customer_id").count().agg(F.max("count")).first()[0] == 12
+
+
+def test_the_users_rows_and_sixty_days_give_the_candidates_of_the_whole_history(spark):
+    day, r = dt.date(2020, 9, 22), random.Random(31)
+    rows = [(day - dt.timedelta(days=r.randrange(1, 120)), r.randrange(30), int(r.expovariate(1 / 15)), float(r.randrange(1, 90)), 1) for _ in range(2500)]
+    history = spark.createDataFrame(rows, "t_dat date, customer_id long, article_id long, price double, sales_channel_id int")
+    articles = history.select("article_id", (F.col("article_id") % 9).cast("string").alias("product_code"), (F.col("article_id") % 4).cast("string").alias("product_group_name")).distinct()
+    customers = history.select("customer_id", (F.col("customer_id") + 16.0).alias("age")).distinct()
+    users = spark.createDataFrame([(c,) for c in (1, 4, 9, 99)], "customer_id long")
+    own, last = history.join(users, "customer_id", "left_semi"), C.window_before(history, day, 60)
+    got, want = (c.sort("customer_id", "article_id") for c in (C.full(last, customers, articles, users, day, own=own), C.full(history, customers, articles, users, day)))
+    assert got.collect() == want.collect() and want.count() > 100
+    pair = lambda **k: X.interaction_features_full(history, want, articles, day, C.PRIORITY, **k).sort("customer_id", "article_id").collect()
+    assert pair(own=own) == pair()
